@@ -33,6 +33,12 @@ postings AS (
     description,
     experience_raw, employment_raw, pay_text, format_text, benefits, hours_text,
     concat_ws('. ', description, experience_raw, employment_raw, pay_text, format_text, hours_text) AS full_text,
+    CASE l_partkey % 3 WHEN 0 THEN 'Обязанности: приготовление блюд; уборка рабочего места. Требования: аккуратность'
+         WHEN 1 THEN '- выкладка товара - работа с кассой' ELSE NULL END AS duties_raw,
+    CASE l_orderkey % 6 WHEN 0 THEN 'сегодня в ' || CAST(l_linenumber + 8 AS VARCHAR) || ':30' WHEN 1 THEN 'вчера'
+         WHEN 2 THEN CAST(l_linenumber AS VARCHAR) || ' часов назад' WHEN 3 THEN CAST(l_linenumber AS VARCHAR) || ' дней назад'
+         WHEN 4 THEN CAST(l_linenumber AS VARCHAR) || ' недели назад'
+         ELSE CAST(l_linenumber + 10 AS VARCHAR) || '.0' || CAST(l_suppkey % 9 + 1 AS VARCHAR) || '.24' END AS posted_raw,
     CASE WHEN l_orderkey % 50 = 0 THEN NULL ELSE
       (CASE WHEN l_partkey % 2 = 0 THEN 'https://' ELSE 'http://' END)
       || (CASE l_linenumber % 4 WHEN 0 THEN 'www.' WHEN 1 THEN 'm.' WHEN 2 THEN '' ELSE 'www.www.' END)

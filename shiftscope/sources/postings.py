@@ -78,6 +78,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 "Пн–Пт 9:00–18:00, Сб 10–16, Вс выходной",
                                 "Перерыв 1 час, смена 8 часов", "круглосуточно, без выходных",
                                 "Гибкий график"])
+    duties_raw = _case(pk % 3, ["Обязанности: приготовление блюд; уборка рабочего места. Требования: аккуратность",
+                                "- выкладка товара - работа с кассой"])
+    posted_raw = _case(ok % 6, [F.concat(F.lit("сегодня в "), _s(ln + 8), F.lit(":30")), F.lit("вчера"),
+                                F.concat(_s(ln), F.lit(" часов назад")), F.concat(_s(ln), F.lit(" дней назад")),
+                                F.concat(_s(ln), F.lit(" недели назад"))],
+                       F.concat(_s(ln + 10), F.lit(".0"), _s(sk % 9 + 1), F.lit(".24")))
     host = _case(ln % 4, ["www.", "m.", ""], "www.www.")
     path = (F.when(source == "hh.ru", F.concat(F.lit("/vacancy/"), _s(pid)))
              .when(source == "avito.ru",
@@ -124,6 +130,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         hours_text.alias("hours_text"),
         F.concat_ws(". ", description, experience_raw, employment_raw, pay_text,
                     format_text, hours_text).alias("full_text"),
+        duties_raw.alias("duties_raw"),
+        posted_raw.alias("posted_raw"),
         url.alias("url"),
         period.alias("salary_period"),
         currency.alias("salary_currency"),
