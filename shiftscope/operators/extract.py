@@ -278,9 +278,11 @@ def duties(text: Column, fallback: Column | None = None) -> Column:
 
 # -- T12 ------------------------------------------------------------------
 def relative_datetime(raw: Column, as_of: Column) -> Column:
-    """today / yesterday / N hours|days|weeks ago / dd.mm[.yy[yy]] -> timestamp
-    relative to ``as_of`` (a parameter, never now()); 2-digit years + 2000."""
+    """today / yesterday / N hours|days|weeks ago / dd.mm[.yy[yy]] -> local
+    (zone-free) timestamp relative to ``as_of`` (a parameter, never now());
+    2-digit years + 2000."""
     t = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    as_of = as_of.cast("timestamp_ntz")
     hh = F.regexp_extract(t, r"(\d{1,2}):(\d{2})", 1)
     mm = F.regexp_extract(t, r"(\d{1,2}):(\d{2})", 2)
     has_time = (hh != "") & (hh.cast("int") < 24) & (mm.cast("int") < 60)
@@ -300,8 +302,8 @@ def relative_datetime(raw: Column, as_of: Column) -> Column:
     year = (F.when(yy == "", F.year(as_of))
              .when(F.length(yy) == 2, yy.cast("int") + 2000)
              .otherwise(yy.cast("int")))
-    date = F.try_make_timestamp(year, mo.cast("int"), dd.cast("int"), F.lit(0), F.lit(0), F.lit(0))
-    return (F.when(t == "", F.lit(None).cast("timestamp"))
+    date = F.try_make_timestamp_ntz(year, mo.cast("int"), dd.cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    return (F.when(t == "", F.lit(None).cast("timestamp_ntz"))
              .when(t.contains("сегодня"), combine(day0))
              .when(t.contains("вчера"), combine(day0 - F.expr("INTERVAL 1 DAY")))
              .when(ago & (n_h != ""), as_of - F.make_dt_interval(F.lit(0), n_h.cast("int")))

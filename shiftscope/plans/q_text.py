@@ -1 +1,343 @@
-"""Queries (filled in below)."""
+"""Text-extraction queries over the postings view and the documents corpus.
+
+Oracle regexes are RE2: ``\\b`` there is ASCII-only, so word edges next
+to Cyrillic letters are written as explicit classes (``W0``/``W1``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import lexicon as lx
+from ..functions.lookups import schedule_hours, schedule_shifts  # noqa: F401
+from ..operators import extract as X
+from ..operators import marts
+from ..session import read_table
+from ..sources.postings import postings
+from .catalog import register
+from .oracle import sql_str, with_postings
+
+W = "[^0-9a-zа-яёієїґ_]"
+W0 = f"(?:^|{W})"
+W1 = f"(?:$|{W})"
+
+
+def re2(p: str) -> str:
+    """Java-style marker -> RE2: \\b next to letters becomes an explicit
+    class, \\w the letter class (text is lower-cased first)."""
+    p = p.replace(r"\w", "[0-9a-zа-яёієїґ_]")
+    out, i = [], 0
+    while i < len(p):
+        if p.startswith(r"\b", i):
+            nxt = p[i + 2:i + 3]
+            out.append(W0 if (i == 0 or p[i - 1] in "(|") and nxt not in ("", ")", "|") else W1)
+            i += 2
+        else:
+            out.append(p[i])
+            i += 1
+    return "".join(out)
+
+
+def rx_any(patterns) -> str:
+    return sql_str("(?:" + ")|(?:".join(re2(p) for p in patterns) + ")")
+
+
+# ------------------------------------------------------------------ T5 ----
+_SCHED_SEP = r"\s*[/\-–xх×]\s*"
+_P_NUM = r"\b([1-9]\d?)" + _SCHED_SEP + r"([1-9]\d?)\b"
+_P_WORD = W0 + "(" + X.NUM_WORDS + r")\s+через\s+(" + X.NUM_WORDS + ")" + W1
+_P_DIG = r"\b([1-9]\d?)\s+через\s+([1-9]\d?)\b"
+_P_VAHTA = W0 + r"вахт[0-9a-zа-яёієїґ_]*\s*([1-9]\d?)" + _SCHED_SEP + r"([1-9]\d?)\b"
+_WORD_NUM = "CASE x " + " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in lx.SCHEDULE_NUMBER_WORDS) + " END"
+_WORD_NUM_B = _WORD_NUM.replace("CASE x", "CASE b[i]")
+
+
+def _pairs_sql(p: str, conv_a="x", conv_b="b[i]") -> str:
+    return (f"list_transform(regexp_extract_all(t, {sql_str(p)}, 1), lambda x, i: {conv_a} || '/' || "
+            f"{conv_b.replace('b[i]', f'regexp_extract_all(t, {sql_str(p)}, 2)[i]')})")
+
+
+def _phrase_sql() -> str:
+    return " ".join(
+        f"|| (CASE WHEN regexp_matches(t, {sql_str(re2(pat))}) THEN ['{val}'] ELSE []::VARCHAR[] END)"
+        for pat, val in lx.SCHEDULE_PHRASES)
+
+
+SCHED_CTE = f"""
+sched_t AS (
+  SELECT posting_id, schedule, translate(lower(coalesce(full_text, '') || ' '), '–х', '-x') AS t FROM postings
+),
+sched_l AS (
+  SELECT posting_id, schedule,
+    {_pairs_sql(_P_NUM)} || {_pairs_sql(_P_WORD, _WORD_NUM, _WORD_NUM_B)}
+    || {_pairs_sql(_P_DIG)} || {_pairs_sql(_P_VAHTA)} {_phrase_sql()} AS l
+  FROM sched_t
+),
+sched AS (
+  SELECT posting_id, schedule,
+    CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') END AS schedules
+  FROM sched_l
+)"""
+
+
+@register("schedule_mentions", with_postings("SELECT posting_id, schedules FROM sched", SCHED_CTE))
+def q_schedule_mentions(spark, sf_dir):
+    return postings(spark, sf_dir).select("posting_id", X.schedule_list(F.col("full_text")).alias("schedules"))
+
+
+@register("sched_sane", with_postings(
+    "SELECT posting_id, CASE WHEN regexp_full_match(trim(s), '\\d+/\\d+(?:\\s*,\\s*\\d+/\\d+)*') THEN trim(s) END AS schedule"
+    " FROM (SELECT posting_id, coalesce(schedules, schedule) AS s FROM sched)", SCHED_CTE))
+def q_sched_sane(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    s = F.coalesce(X.schedule_list(F.col("full_text")), F.col("schedule"))
+    return p.select("posting_id", X.sane_schedule(s).alias("schedule"))
+
+
+# ------------------------------------------------------------------ T7 ----
+_LANG_SQL = ("CASE WHEN regexp_matches(lower(coalesce({c}, '')), '[ієїґ]') THEN 'uk' "
+             "WHEN regexp_matches(lower(coalesce({c}, '')), '[а-яё]') THEN 'ru' "
+             "WHEN regexp_matches(lower(coalesce({c}, '')), '[a-z]') THEN 'en' END")
+
+
+@register("script_lang",
+          "SELECT doc_id, lang, " + _LANG_SQL.format(c="text") + " AS script_lang FROM documents")
+def q_script_lang(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return d.select("doc_id", "lang", X.script_lang(F.col("text")).alias("script_lang"))
+
+
+@register("posting_lang", with_postings(
+    "SELECT " + _LANG_SQL.format(c="full_text") + " AS script_lang, count(*) AS n FROM postings GROUP BY 1"))
+def q_posting_lang(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return p.groupBy(X.script_lang(F.col("full_text")).alias("script_lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ T8 ----
+def _first_label_sql(expr: str, rules) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({expr}, {sql_str(p)}) THEN {sql_str(l)}" for p, l in rules) + " END"
+
+
+@register("pay_freq", with_postings(
+    f"SELECT posting_id, {_first_label_sql('lower(full_text)', lx.PAY_FREQUENCY_RULES)} AS pay_frequency FROM postings"))
+def q_pay_freq(spark, sf_dir):
+    return postings(spark, sf_dir).select("posting_id", X.pay_frequency(F.col("full_text")).alias("pay_frequency"))
+
+
+_EMP_SQL = ("CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(full_text, '')), {sql_str(p)}) THEN {sql_str(l)}"
+                                for p, l in lx.EMPLOYMENT_TEXT_RULES)
+            + f" WHEN regexp_matches(lower(coalesce(employment_raw, '')), {sql_str(lx.EMPLOYMENT_NAME_RULE[0])})"
+            + f" THEN {sql_str(lx.EMPLOYMENT_NAME_RULE[1])} END")
+
+
+@register("employment", with_postings(f"SELECT posting_id, {_EMP_SQL} AS employment FROM postings"))
+def q_employment(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return p.select("posting_id", X.employment_type(F.col("full_text"), F.col("employment_raw")).alias("employment"))
+
+
+def _clean_sql(c: str) -> str:
+    t = f"regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g')"
+    t = f"regexp_replace({t}, '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')"
+    t = f"translate({t}, '  ', '  ')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+_FORMAT_CHUNKS = ["employment_raw", "duties_raw", "format_text", "benefits", "hours_text"]
+
+
+def _format_sql() -> str:
+    blob = "concat_ws(' ', " + ", ".join(f"lower({_clean_sql(c)})" for c in _FORMAT_CHUNKS) + ")"
+    whens = []
+    for stems, label in lx.WORK_FORMAT_RULES:
+        cond = " OR ".join(f"contains(blob, {sql_str(s)})" for s in stems)
+        whens.append(f"WHEN {cond} THEN {sql_str(label)}")
+    return f"(SELECT posting_id, CASE {' '.join(whens)} ELSE '' END AS work_format FROM (SELECT posting_id, {blob} AS blob FROM postings))"
+
+
+def _format_col():
+    return X.work_format([F.col(c) for c in _FORMAT_CHUNKS])
+
+
+@register("work_format", with_postings(f"SELECT posting_id, work_format FROM {_format_sql()}"))
+def q_work_format(spark, sf_dir):
+    return postings(spark, sf_dir).select("posting_id", _format_col().alias("work_format"))
+
+
+# ------------------------------------------------------------------ T9 ----
+def _exp_bucket_sql(c: str) -> str:
+    t = f"lower({_clean_sql(c)})"
+    return (f"CASE WHEN {t} = '' THEN '' "
+            f"WHEN contains({t}, 'без опыта') OR contains({t}, 'не требуется') THEN {sql_str(lx.EXPERIENCE_NONE_LABEL)} "
+            f"WHEN regexp_matches({t}, '(1|один).*?([23]|тр)[^\\d]*год') THEN '1-3' "
+            f"WHEN regexp_matches({t}, '(3|три).*?6') OR contains({t}, '3-6') THEN '3-6' "
+            f"WHEN regexp_matches({t}, '(6|шест).*(лет|год)') THEN '6+' "
+            f"WHEN contains({t}, 'от 1') THEN '1-3' WHEN contains({t}, 'от 3') THEN '3-6' "
+            f"WHEN contains({t}, 'от 5') OR contains({t}, 'от 6') THEN '6+' ELSE {t} END")
+
+
+@register("experience_bucket", with_postings(
+    f"SELECT posting_id, {_exp_bucket_sql('experience_raw')} AS experience FROM postings"))
+def q_experience_bucket(spark, sf_dir):
+    return postings(spark, sf_dir).select("posting_id", X.experience_bucket(F.col("experience_raw")).alias("experience"))
+
+
+def _share_sql(expr_sql: str) -> str:
+    return ("SELECT category, round_even(n * 100.0 / sum(n) OVER (), 1) AS share_pct FROM ("
+            f" SELECT coalesce(v, {sql_str(lx.UNKNOWN_LABEL)}) AS category, count(*) AS n FROM ({expr_sql}) GROUP BY 1)")
+
+
+@register("exp_share", with_postings(_share_sql(
+    f"SELECT {_exp_bucket_sql('experience_raw')} AS v FROM postings")))
+def q_exp_share(spark, sf_dir):
+    return marts.share(postings(spark, sf_dir), X.experience_bucket(F.col("experience_raw")))
+
+
+@register("format_share", with_postings(_share_sql(f"SELECT work_format AS v FROM {_format_sql()}")))
+def q_format_share(spark, sf_dir):
+    return marts.share(postings(spark, sf_dir), _format_col())
+
+
+# ------------------------------------------------------------------ T10 ---
+def _benefit_tags_sql(c: str) -> str:
+    t = f"lower(coalesce({c}, ''))"
+    items = ", ".join(f"CASE WHEN contains({t}, {sql_str(k)}) THEN {sql_str(k.upper() if k == 'дмс' else k)} END"
+                      for k in lx.BENEFIT_KEYWORDS)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+_BT_SRC = "concat_ws(' ', benefits, full_text)"
+
+
+@register("benefit_tags", with_postings(
+    f"SELECT posting_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ', ') END AS benefit_tags FROM"
+    f" (SELECT posting_id, {_benefit_tags_sql(_BT_SRC)} AS l FROM postings)"))
+def q_benefit_tags(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return p.select("posting_id", X.benefit_tags(F.concat_ws(" ", "benefits", "full_text")).alias("benefit_tags"))
+
+
+# ------------------------------------------------------------------ F6 ----
+def _gross_sql(c: str) -> str:
+    norm = f"trim(regexp_replace(translate(lower(coalesce({c}, '')), ' ', ' '), '\\s+', ' ', 'g'))"
+    coll = f"regexp_replace({norm}, '\\s+', '', 'g')"
+    neg, pos = rx_any(lx.GROSS_NEGATIVE), rx_any(lx.GROSS_POSITIVE)
+    mark = " OR ".join(f"contains({coll}, {sql_str(m)})" for m in lx.GROSS_COLLAPSED_MARKERS)
+    return (f"CASE WHEN {norm} = '' THEN false WHEN regexp_matches({norm}, {neg}) OR regexp_matches({coll}, {neg}) "
+            f"THEN false WHEN regexp_matches({norm}, {pos}) OR regexp_matches({coll}, {pos}) THEN true ELSE ({mark}) END")
+
+
+@register("gross_flag", with_postings(f"SELECT posting_id, {_gross_sql('pay_text')} AS is_gross FROM postings"))
+def q_gross_flag(spark, sf_dir):
+    return postings(spark, sf_dir).select("posting_id", X.gross_flag(F.col("pay_text")).alias("is_gross"))
+
+
+# ------------------------------------------------------------------ F7 ----
+def _match_form_sql(c: str) -> str:
+    return (f"regexp_replace(lower(trim(regexp_replace(translate(coalesce({c}, ''), ' ', ' '), '\\s+', ' ', 'g'))),"
+            " '\\s+', ' ', 'g')")
+
+
+@register("rate_flag", with_postings(
+    f"SELECT posting_id, regexp_matches({_match_form_sql('full_text')}, {rx_any(lx.HOURLY_MARKERS)}) AS is_hourly,"
+    f" regexp_matches({_match_form_sql('full_text')}, {rx_any(lx.SHIFT_MARKERS)}) AS is_shift FROM postings"))
+def q_rate_flag(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return p.select("posting_id", X.is_hourly_rate(F.col("full_text")).alias("is_hourly"),
+                    X.is_shift_rate(F.col("full_text")).alias("is_shift"))
+
+
+# ------------------------------------------------------------------ T3 ----
+def _period_sql(c: str) -> str:
+    t = f"lower(coalesce({c}, ''))"
+    rules = [(r"в\s*час|/\s*ч|за\s*час|per\s*hour|hourly", "per_hour"), (r"за\s*смен|per\s*shift", "per_shift"),
+             (r"в\s*день|per\s*day", "per_day"), (r"в\s*недел", "per_week"), (r"в\s*месяц|per\s*month", "per_month")]
+    return "CASE " + " ".join(f"WHEN regexp_matches({t}, {sql_str(p)}) THEN '{v}'" for p, v in rules) + " END"
+
+
+@register("salary_period", with_postings(f"SELECT posting_id, {_period_sql('description')} AS period FROM postings"))
+def q_salary_period(spark, sf_dir):
+    return postings(spark, sf_dir).select("posting_id", X.salary_period(F.col("description")).alias("period"))
+
+
+# ------------------------------------------------------------------ T11 ---
+def _duties_sql(c: str) -> str:
+    txt = f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    starts = []
+    for h in lx.DUTY_HEADINGS:
+        for sep in (":", " :"):
+            starts.append(f"CASE WHEN strpos(lower(txt), {sql_str(h + sep)}) > 0 THEN "
+                          f"strpos(lower(txt), {sql_str(h + sep)}) - 1 + {len(h) + len(sep)} END")
+    ends = ", ".join(f"CASE WHEN strpos(lower(tail), {sql_str(nh + ':')}) > 0 THEN strpos(lower(tail), {sql_str(nh + ':')}) - 1 END"
+                     for nh in lx.DUTY_NEXT_HEADINGS)
+    return f"""(SELECT posting_id,
+        CASE WHEN st IS NULL THEN coalesce(
+               CASE WHEN regexp_matches(txt, '^[—\\-•]') AND trim(txt, ' -•—\t') <> '' THEN substr(trim(txt, ' -•—\t'), 1, 3000) END,
+               CASE WHEN txt <> '' THEN substr(txt, 1, 3000) END)
+             WHEN body <> '' THEN substr(body, 1, 3000) END AS duties
+      FROM (SELECT *, trim(regexp_replace(substr(tail, 1, coalesce(least({ends}), length(tail))), '^[\\s\\-•—]+', '')) AS body
+            FROM (SELECT *, substr(txt, st + 1) AS tail
+                  FROM (SELECT posting_id, txt, coalesce({', '.join(starts)}) AS st
+                        FROM (SELECT posting_id, {txt} AS txt FROM postings)))))"""
+
+
+@register("duties", with_postings(f"SELECT posting_id, duties FROM {_duties_sql('duties_raw')}"))
+def q_duties(spark, sf_dir):
+    return postings(spark, sf_dir).select("posting_id", X.duties(F.col("duties_raw")).alias("duties"))
+
+
+# ------------------------------------------------------------------ T12 ---
+AS_OF = "1998-08-02 12:00:00"
+
+
+def _reldate_sql(c: str) -> str:
+    t = f"lower(trim(coalesce({c}, '')))"
+    asof = f"TIMESTAMP '{AS_OF}'"
+    hh = f"regexp_extract({t}, '(\\d{{1,2}}):(\\d{{2}})', 1)"
+    mm = f"regexp_extract({t}, '(\\d{{1,2}}):(\\d{{2}})', 2)"
+    has_t = f"({hh} <> '' AND CAST({hh} AS INT) < 24 AND CAST({mm} AS INT) < 60)"
+
+    def comb(d):
+        return (f"(CASE WHEN {has_t} THEN {d} + to_hours(CAST({hh} AS INT)) + to_minutes(CAST({mm} AS INT)) "
+                f"ELSE {d} END)")
+    day0 = f"date_trunc('day', {asof})"
+    n = lambda p: f"regexp_extract({t}, '(\\d+)\\s*(?:{p})', 1)"
+    d_re = "'(\\d{1,2})\\.(\\d{1,2})(?:\\.(\\d{2,4}))?'"
+    dd, mo, yy = (f"regexp_extract({t}, {d_re}, {k})" for k in (1, 2, 3))
+    year = f"(CASE WHEN {yy} = '' THEN year({asof}) WHEN length({yy}) = 2 THEN CAST({yy} AS INT) + 2000 ELSE CAST({yy} AS INT) END)"
+    mk = (f"(CASE WHEN CAST({mo} AS INT) BETWEEN 1 AND 12 AND CAST({dd} AS INT) >= 1 AND "
+          f"CAST({dd} AS INT) <= day(last_day(make_date({year}, CAST({mo} AS INT), 1))) THEN "
+          f"CAST(make_date({year}, CAST({mo} AS INT), CAST({dd} AS INT)) AS TIMESTAMP) END)")
+    return f"""CASE WHEN {t} = '' THEN NULL
+      WHEN contains({t}, 'сегодня') THEN {comb(day0)}
+      WHEN contains({t}, 'вчера') THEN {comb(f"({day0} - INTERVAL 1 DAY)")}
+      WHEN contains({t}, 'назад') AND {n('час|ч')} <> '' THEN {asof} - to_hours(CAST({n('час|ч')} AS INT))
+      WHEN contains({t}, 'назад') AND {n('дн|day')} <> '' THEN {comb(f"date_trunc('day', {asof} - to_days(CAST({n('дн|day')} AS INT)))")}
+      WHEN contains({t}, 'назад') AND {n('нед|week')} <> '' THEN {comb(f"date_trunc('day', {asof} - to_days(7 * CAST({n('нед|week')} AS INT)))")}
+      WHEN {dd} <> '' THEN {comb(mk)} END"""
+
+
+@register("rel_dates", with_postings(f"SELECT posting_id, {_reldate_sql('posted_raw')} AS posted_at FROM postings"))
+def q_rel_dates(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return p.select("posting_id", X.relative_datetime(F.col("posted_raw"), F.lit(AS_OF).cast("timestamp")).alias("posted_at"))
+
+
+# ------------------------------------------------------------------ T4 ----
+@register("shift_len")
+def q_shift_len(spark, sf_dir):
+    """Shift-length mentions resolved per posting (rows-only check; the
+    fixture tests pin the reference's examples)."""
+    p = postings(spark, sf_dir)
+    s = X.shift_length(F.concat_ws(". ", "hours_text", "description"))
+    return p.select("posting_id", s["hours"].alias("shift_hours"), s["source"].alias("source"),
+                    s["confidence"].alias("confidence"), s["ambiguous"].alias("ambiguous"))
+
+
+# ------------------------------------------------------------------ T3 ----
+@register("explicit_pay")
+def q_explicit_pay(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    e = X.explicit_pay(F.col("full_text"))
+    return p.select("posting_id", e["hourly"].alias("hourly"), e["shift_pay"].alias("shift_pay"))

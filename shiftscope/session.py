@@ -7,8 +7,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Parsing jobs read board timestamps in the boards' own zone.
-SESSION_TZ = "Europe/Moscow"
+# Board timestamps are handled as zone-free local times (TIMESTAMP_NTZ);
+# the session zone only matters for zone-aware columns.
+SESSION_TZ = "UTC"
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
