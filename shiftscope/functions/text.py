@@ -62,3 +62,23 @@ def ctrl_clean(c: Column) -> Column:
 def fmt_g(x: Column) -> Column:
     """Python ':g'-like rendering for moderate values: 12.0 -> '12', 10.5 -> '10.5'."""
     return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def coerce_number(c: Column) -> Column:
+    """',' -> '.', drop everything but digits, '.' and '-', then a safe
+    double cast ('1-2' and '' become NULL)."""
+    s = F.regexp_replace(F.replace(c.cast("string"), F.lit(","), F.lit(".")), r"[^\d.\-]", "")
+    return s.try_cast("double")
+
+
+def slugify(c: Column) -> Column:
+    """City dictionary first, else Russian -> Latin transliteration with
+    non-alphanumerics collapsed to '_' (fallback 'vakansii')."""
+    from .lookups import lookup
+    t = F.lower(F.trim(c))
+    tr = t
+    for a, b in lx.TRANSLIT_MULTI:
+        tr = F.replace(tr, F.lit(a), F.lit(b))
+    tr = F.translate(tr, lx.TRANSLIT_SINGLE_FROM + lx.TRANSLIT_DROP, lx.TRANSLIT_SINGLE_TO)
+    s = F.btrim(F.regexp_replace(tr, "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.coalesce(lookup(lx.CITY_SLUGS, t), F.nullif(s, F.lit("")), F.lit("vakansii"))

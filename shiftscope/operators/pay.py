@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.lookups import schedule_hours, schedule_shifts
+from ..functions.text import clean_text, fmt_g
 
 
 def _truthy(c: Column) -> Column:
@@ -134,14 +135,13 @@ def shift_params(df: DataFrame, schedule_hint="schedule_hint", pattern="shift_pa
     structured = F.when(hs.isNotNull() & (hs > 0), hs)
     text_h = F.aggregate(
         F.transform(F.coalesce(F.col(raw_matches), F.array().cast("array<string>")),
-                    lambda m: F.regexp_extract(F.lower(m), r"(\d{1,2})\s*(?:час|ч)", 1)),
+                    lambda m: F.regexp_extract(F.lower(clean_text(m)), r"(\d{1,2})\s*(?:час|ч)", 1)),
         F.lit(""), lambda acc, x: F.when(acc != "", acc).otherwise(x))
     text_hours = F.when(text_h != "", text_h.cast("double"))
     dflt_h = F.when(sched != "", hrs_of(sched))
     hours = F.coalesce(structured, text_hours, dflt_h)
     spm = F.when(sched != "", spm_of(sched))
-    def fmt(x):
-        return F.regexp_replace(F.format_number(x, 6), r"\.?0+$", "")
+    fmt = fmt_g
     notes = F.array_compact(F.array(
         F.when(structured.isNotNull(), F.concat(F.lit("часы/смену="), fmt(structured), F.lit(" (из normalized)"))),
         F.when(structured.isNull() & text_hours.isNotNull(),
@@ -191,7 +191,7 @@ def monthly_pay(df: DataFrame, pay_from="pay_from", pay_to="pay_to", period="sal
                     .when(is_day & _truthy(s) & f.isNotNull(), f))
     income = (F.when(hour.isNotNull(), F.bround(hour * 12.0, 1))
                .when(base_income.isNotNull(), base_income)
-               .when(_truthy(f) & (is_shift | is_day), f))
+               .when(_truthy(f) & per.isin("per_shift", "per_day"), f))
     ok = (cur == "") | (cur == "RUB")
     null = F.lit(None).cast("double")
     return df.withColumns({
@@ -200,3 +200,78 @@ def monthly_pay(df: DataFrame, pay_from="pay_from", pay_to="pay_to", period="sal
         "hourly_rate": F.when(ok, hour).otherwise(null),
         "shift_income": F.when(ok, income).otherwise(null),
     })
+
+
+def salary_notes(df: DataFrame, pay_from="salary_from", pay_to="salary_to", period="salary_period",
+                 currency="salary_currency") -> DataFrame:
+    """Notes of the period conversion (swap, unsupported currency, max-only
+    hourly rate, negative values cleared), in the order they arise."""
+    lo, hi = F.col(pay_from), F.col(pay_to)
+    swap = lo.isNotNull() & hi.isNotNull() & (lo > hi)
+    f = F.when(swap, hi).otherwise(lo)
+    t = F.when(swap, lo).otherwise(hi)
+    cur = F.upper(F.coalesce(F.nullif(F.col(currency), F.lit("")), F.lit("RUB")))
+    ok = cur == "RUB"
+    per = F.lower(F.coalesce(F.col(period), F.lit("per_month")))
+    notes = F.array_compact(F.array(
+        F.when(swap, F.lit("ЗП от > ЗП до — значения поменяны местами")),
+        F.when(~ok, F.concat(F.lit("Валюта "), cur, F.lit(" не поддерживается"))),
+        F.when(ok & per.isin("per_hour", "hour") & f.isNull() & t.isNotNull(),
+               F.lit("Ставка в час дана только максимумом — расчёт пропущен")),
+        F.when(ok & (F.col("salary_from_k") < 0), F.lit("ЗП от < 0 — очищено")),
+        F.when(ok & (F.col("salary_to_k") < 0), F.lit("ЗП до < 0 — очищено")),
+    ))
+    return df.withColumn("salary_notes", notes)
+
+
+def calc_trail(param_notes: Column, salary_notes: Column, schedule: Column, hours: Column, shifts: Column) -> Column:
+    """Ordered, de-duplicated calculation trail joined with '; '."""
+    markers = F.array_compact(F.array(
+        F.when(schedule != "", F.concat(F.lit("График="), schedule)),
+        F.when(_truthy(hours), F.concat(F.lit("часы/смену="), fmt_g(hours))),
+        F.when(_truthy(shifts), F.concat(F.lit("смен/мес="), fmt_g(shifts))),
+    ))
+    return F.array_join(F.array_distinct(F.concat(param_notes, salary_notes, markers)), "; ")
+
+
+# -- P13 ------------------------------------------------------------------
+def legacy_row(df: DataFrame) -> DataFrame:
+    """Board record -> export row: RUB-only salary in thousands (0.001),
+    explicit hourly/shift pay from the period, the rate cascade with a
+    structured shift length, the 12 h income, the sanitised schedule and
+    the human note."""
+    cur = F.upper(F.coalesce(F.col("salary_currency"), F.lit("")))
+    rub = (cur == "") | (cur == "RUB")
+    lo, hi = F.col("salary_from"), F.col("salary_to")
+    from_tr = F.when(rub & lo.isNotNull(), F.bround(lo / 1000.0, 3))
+    to_tr = F.when(rub & hi.isNotNull(), F.bround(hi / 1000.0, 3))
+    n_vals = F.when(lo.isNotNull(), 1).otherwise(0) + F.when(hi.isNotNull(), 1).otherwise(0)
+    mean = F.when(n_vals > 0, (F.coalesce(lo, F.lit(0.0)) + F.coalesce(hi, F.lit(0.0))) / n_vals)
+    per = F.col("salary_period")
+    explicit = F.when(per == "per_hour", mean)
+    shift_sum = F.when(per.isin("per_shift", "per_day"), mean)
+    slen = F.col("shift_length_hours")
+    first = (F.when(_truthy(explicit), F.struct(F.bround(explicit, 2).alias("r"), F.lit("exact:explicit_hourly").alias("m")))
+              .when(shift_sum.isNull(), F.struct(F.lit(None).cast("double").alias("r"), F.lit("unresolved:no_shift_payment").alias("m")))
+              .when(slen.isNull(), F.struct(F.lit(None).cast("double").alias("r"), F.lit("unresolved:shift_duration").alias("m")))
+              .when(slen <= 0, F.struct(F.lit(None).cast("double").alias("r"), F.lit("unresolved:invalid_shift_duration").alias("m")))
+              .otherwise(F.struct(F.bround(shift_sum / slen, 2).alias("r"),
+                                  F.lit("exact:shift_payment_div_shift_hours").alias("m"))))
+    sched = F.when(F.coalesce(F.col("schedule_hint"), F.lit("")) != "", F.col("schedule_hint")).otherwise(F.col("shift_pattern"))
+    len_out = F.coalesce(slen, F.when(F.coalesce(sched, F.lit("")) != "", schedule_hours(first_schedule(sched), "fetch")))
+    derived = derive_rate(from_tr, len_out, sched)
+    use_derived = first["r"].isNull() & (_truthy(from_tr) | _truthy(to_tr)) & _truthy(derived["hourly"])
+    hour = F.when(use_derived, derived["hourly"]).otherwise(first["r"])
+    method = F.when(use_derived, F.lit("derived:salary_based")).otherwise(first["m"])
+    shift12 = F.when(_truthy(hour), hour * 12.0).when(_truthy(shift_sum) & _truthy(len_out), shift_sum * (12.0 / len_out))
+    sane = F.when(F.trim(sched).rlike(r"^\d+/\d+(?:\s*,\s*\d+/\d+)*$"), F.trim(sched))
+    note = F.concat_ws("; ", F.when(F.coalesce(sched, F.lit("")) == "", F.lit("График не распознан")),
+                       F.when(len_out.isNull(), F.lit("Длительность смены не указана")))
+    return df.select(
+        "external_id",
+        F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit(lx.NO_TITLE)).alias("title"),
+        F.col("employer_name").alias("employer"),
+        from_tr.alias("salary_from_k"), to_tr.alias("salary_to_k"),
+        shift12.alias("income_12h"), hour.alias("hourly"), method.alias("hourly_method"),
+        len_out.alias("shift_hours"), sane.alias("schedule"),
+        F.col("url_detail").alias("url"), note.alias("note"))
