@@ -24,11 +24,14 @@ def _rx(p: str) -> Column:
 
 
 def _pairs(t: Column, pattern: str, fmt=None) -> Column:
-    """Array of 'a/b' strings from all (group1, group2) matches."""
-    a = F.regexp_extract_all(t, _rx(pattern), 1)
-    b = F.regexp_extract_all(t, _rx(pattern), 2)
+    """Array of 'a/b' strings from all (group1, group2) matches.
+
+    One scan for the whole matches; the groups are then taken from each
+    short match string, so the lambda never re-reads the full text."""
     conv = fmt or (lambda x: x)
-    return F.transform(a, lambda x, i: F.concat(conv(x), F.lit("/"), conv(F.element_at(b, i + 1))))
+    ms = F.regexp_extract_all(t, _rx(pattern), 0)
+    return F.transform(ms, lambda m: F.concat(conv(F.regexp_extract(m, U + pattern, 1)), F.lit("/"),
+                                              conv(F.regexp_extract(m, U + pattern, 2))))
 
 
 # -- T5 / F8 ---------------------------------------------------------------
@@ -333,20 +336,33 @@ def _shift_norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def _match_spans(t: Column, pattern: str) -> Column:
-    """Array<struct<m string, s int>>: every match with its 0-based start.
+SPAN_TYPE = "array<struct<m:string,s:int,tail:string,ctx:string>>"
+
+
+def _match_spans(t: Column, pattern: str, ctx: int = 25, tail: int = 6) -> Column:
+    """Array<struct<m, s, tail, ctx>>: every match with its 0-based start,
+    the ``tail`` chars after it and +-``ctx`` chars around it.
 
     ``split`` and ``regexp_extract_all`` scan with the same matcher, so the
-    cumulative fragment and match lengths give each match's offset."""
+    cumulative fragment and match lengths give each match's offset.  One
+    ``aggregate`` pass over (fragment, match, text) triples computes all
+    offsets; the lambda touches only its element, so nothing outside it
+    is re-evaluated per match."""
     rx = U + pattern
     frags = F.split(t, rx, -1)
     ms = F.regexp_extract_all(t, F.lit(rx), 0)
+    n = F.size(ms)
+    z = F.arrays_zip(F.slice(frags, 1, n).alias("f"), ms.alias("m"), F.array_repeat(t, n).alias("t"))
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
 
-    def start(i):
-        pre_f = F.aggregate(F.slice(frags, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        pre_m = F.aggregate(F.slice(ms, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        return pre_f + pre_m
-    return F.transform(ms, lambda m, i: F.struct(m.alias("m"), start(i).alias("s")))
+    def step(acc, e):
+        st = acc["pos"] + F.length(e["f"])
+        end = st + F.length(e["m"])
+        cs = F.greatest(st - ctx, F.lit(0))
+        span = F.struct(e["m"].alias("m"), st.alias("s"), F.substring(e["t"], end + 1, tail).alias("tail"),
+                        F.substring(e["t"], cs + 1, end + ctx - cs).alias("ctx"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+    return F.aggregate(z, init, step, lambda acc: acc["out"])
 
 
 def _any_contains(c: Column, words: list[str]) -> Column:
@@ -373,7 +389,7 @@ def shift_length(text: Column) -> Column:
         sh, sm, eh, em = g(1).cast("int"), g(2), g(3).cast("int"), g(4)
         sm = F.when(sm == "", 0).otherwise(sm.cast("int"))
         em = F.when(em == "", 0).otherwise(em.cast("int"))
-        tail = F.substring(t, x["s"] + F.length(x["m"]) + 1, 6)
+        tail = x["tail"]
         dur0 = (eh + em / 60.0) - (sh + sm / 60.0)
         dur = F.when(dur0 <= 0, dur0 + 24.0).otherwise(dur0)
         ok = ((raw.contains(":") | raw.startswith("с ")) & ~_any_contains(tail, lx.SHIFT_TAIL_STOP)
@@ -384,10 +400,8 @@ def shift_length(text: Column) -> Column:
 
     def hour_cand(x):
         val = F.regexp_replace(F.regexp_extract(x["m"], U + HOURS_RE, 1), ",", ".").cast("double")
-        end = x["s"] + F.length(x["m"])
-        tail = F.substring(t, end + 1, 6)
-        cs = F.greatest(x["s"] - 25, F.lit(0))
-        ctx = F.substring(t, cs + 1, end + 25 - cs)
+        tail = x["tail"]
+        ctx = x["ctx"]
         w = (F.when(_any_contains(ctx, lx.SHIFT_BAD_WORDS), -3.0).otherwise(0.0)
              + F.when(_any_contains(ctx, lx.SHIFT_GOOD_WORDS), 3.0).otherwise(0.0)
              + F.when(ctx.contains("смен"), 1.5).otherwise(0.0)
@@ -399,22 +413,32 @@ def shift_length(text: Column) -> Column:
                                    F.when(explicit, "description_explicit_hours").otherwise("heuristic").alias("src"),
                                    F.when(explicit, "high").otherwise("medium").alias("conf")))
     cands = F.filter(F.concat(F.transform(tr, time_cand), F.transform(hr, hour_cand)), lambda c: c.isNotNull())
-    # best by (weight, hours); ties keep the first candidate
-    best = F.aggregate(cands, F.lit(None).cast(
-        "struct<w:double,h:double,raw:string,src:string,conf:string>"),
-        lambda acc, c: F.when(acc.isNull() | (c["w"] > acc["w"]) | ((c["w"] == acc["w"]) & (c["h"] > acc["h"])), c)
-        .otherwise(acc))
-    uniq = F.array_sort(F.array_distinct(F.transform(cands, lambda c: F.bround(c["h"], 2))))
-    amb = F.size(uniq) > 1
-    resolved = best.isNotNull() & (best["w"] > -1.0)
-    return F.struct(
-        F.when(resolved, best["h"]).alias("hours"),
-        F.when(resolved, best["raw"]).alias("raw"),
-        F.when(resolved, best["src"]).otherwise(F.lit("unresolved")).alias("source"),
-        F.when(resolved, F.when(amb, F.lit("medium")).otherwise(best["conf"])).otherwise(F.lit("low")).alias("confidence"),
-        (resolved & amb).alias("ambiguous"),
-        F.when(resolved, uniq).alias("matches"),
-    )
+    # One pass: best by (weight, hours) — ties keep the first candidate —
+    # and the distinct hours; the finish step builds the result from the
+    # accumulator only, so the candidate list is computed once per row.
+    cand_t = "struct<w:double,h:double,raw:string,src:string,conf:string>"
+    init = F.struct(F.lit(None).cast(cand_t).alias("b"), F.array().cast("array<double>").alias("hs"))
+
+    def merge(acc, c):
+        b = acc["b"]
+        better = b.isNull() | (c["w"] > b["w"]) | ((c["w"] == b["w"]) & (c["h"] > b["h"]))
+        return F.struct(F.when(better, c).otherwise(b).alias("b"),
+                        F.array_union(acc["hs"], F.array(F.bround(c["h"], 2))).alias("hs"))
+
+    def finish(acc):
+        b = acc["b"]
+        uniq = F.array_sort(acc["hs"])
+        amb = F.size(uniq) > 1
+        resolved = b.isNotNull() & (b["w"] > -1.0)
+        return F.struct(
+            F.when(resolved, b["h"]).alias("hours"),
+            F.when(resolved, b["raw"]).alias("raw"),
+            F.when(resolved, b["src"]).otherwise(F.lit("unresolved")).alias("source"),
+            F.when(resolved, F.when(amb, F.lit("medium")).otherwise(b["conf"])).otherwise(F.lit("low")).alias("confidence"),
+            (resolved & amb).alias("ambiguous"),
+            F.when(resolved, uniq).alias("matches"),
+        )
+    return F.aggregate(cands, init, merge, finish)
 
 
 # -- T2 -------------------------------------------------------------------

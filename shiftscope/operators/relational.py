@@ -96,7 +96,11 @@ def drop_shift_rated(df: DataFrame, rates: DataFrame, url: str = "url") -> DataF
     shift_urls = (rates.where(F.lower(F.col("type")) == "shift")
                        .select(F.trim(F.col("url")).alias("_u")).where(F.col("_u") != "").distinct())
     keyed = df.withColumn("_u", F.trim(F.col(url)))
-    return keyed.join(shift_urls, "_u", "left_anti").drop("_u")
+    # rows without a URL always stay: they bypass the join (a NULL/blank
+    # key would otherwise pile up in one shuffle partition)
+    has = F.col("_u").isNotNull() & (F.col("_u") != "")
+    kept = keyed.where(has).join(shift_urls, "_u", "left_anti")
+    return kept.unionByName(keyed.where(~has | F.col("_u").isNull())).drop("_u")
 
 
 # -- J3 / S14 -----------------------------------------------------------------

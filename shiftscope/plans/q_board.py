@@ -338,9 +338,9 @@ def q_currency(spark, sf_dir):
     f" regexp_extract(seg, '(?i)' || {sql_str(lx.CURRENCY_TOKEN_RE)}, 0) AS cur"
     f" FROM (SELECT posting_id, {_clean_sql('description')} AS seg FROM postings))"))
 def q_salary_span(spark, sf_dir):
-    p = postings(spark, sf_dir)
-    s = X.salary_span(F.col("description"))
-    return p.select("posting_id", s["min"].alias("min"), s["max"].alias("max"), s["currency"].alias("currency"))
+    s = postings(spark, sf_dir).select("posting_id", X.salary_span(F.col("description")).alias("_s"))
+    return s.select("posting_id", F.col("_s.min").alias("min"), F.col("_s.max").alias("max"),
+                    F.col("_s.currency").alias("currency"))
 
 
 # ------------------------------------------------------------------ P8 ----

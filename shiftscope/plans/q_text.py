@@ -330,14 +330,13 @@ def q_shift_len(spark, sf_dir):
     """Shift-length mentions resolved per posting (rows-only check; the
     fixture tests pin the reference's examples)."""
     p = postings(spark, sf_dir)
-    s = X.shift_length(F.concat_ws(". ", "hours_text", "description"))
-    return p.select("posting_id", s["hours"].alias("shift_hours"), s["source"].alias("source"),
-                    s["confidence"].alias("confidence"), s["ambiguous"].alias("ambiguous"))
+    s = p.select("posting_id", X.shift_length(F.concat_ws(". ", "hours_text", "description")).alias("_s"))
+    return s.select("posting_id", F.col("_s.hours").alias("shift_hours"), F.col("_s.source").alias("source"),
+                    F.col("_s.confidence").alias("confidence"), F.col("_s.ambiguous").alias("ambiguous"))
 
 
 # ------------------------------------------------------------------ T3 ----
 @register("explicit_pay")
 def q_explicit_pay(spark, sf_dir):
-    p = postings(spark, sf_dir)
-    e = X.explicit_pay(F.col("full_text"))
-    return p.select("posting_id", e["hourly"].alias("hourly"), e["shift_pay"].alias("shift_pay"))
+    e = postings(spark, sf_dir).select("posting_id", X.explicit_pay(F.col("full_text")).alias("_e"))
+    return e.select("posting_id", F.col("_e.hourly").alias("hourly"), F.col("_e.shift_pay").alias("shift_pay"))
