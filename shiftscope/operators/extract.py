@@ -466,3 +466,153 @@ def audit_rows(df: DataFrame, id_col: str, url: Column, inactive: Column, notes:
     ))
     return df.select(F.col(id_col), url.alias("url"), F.posexplode(ev).alias("pos", "ev")).select(
         id_col, "pos", F.col("ev.stage").alias("stage"), F.col("ev.message").alias("message"), "url")
+
+
+# -- T1 -------------------------------------------------------------------
+CLAUSE_STOP = ".,;!\n\r"
+RATE_NUMBER_RE = r"\d[\d\s]*(?:[\.,]\d+)?"
+SEP_RE = "(?: или | либо | / )"
+PREFIX_CURRENCY_RE = r"(₽|\$|€|£|₴|₸|руб\.?|rur|rub|uah|грн|usd|eur|kzt|byn|gbp|br)\s*$"
+CURRENCY_WORD_END_RE = r"(?:руб\.?|rur|rub|uah|грн|eur|usd|kzt|byn|gbp|br)$"
+AFTER_SYMBOL_RE = r"^\s*(?:₽|\$|€|£|₴|₸)"
+AFTER_UNIT_RE = r"^\s*(?:/|per[-\s]?|в|за)\s*(?:час|ч|hour|hr|смен|shift)"
+UNITS_RE = r"(?:\s*(?:/|в|per[-\s]?|за)\s*(?:час|ч|hour|hr|смен[ауы]|shift|сменн\w*\s*ставка))+"
+NUM_SPAN_TYPE = "array<struct<m:string,s:int,e:int,before:string,after:string>>"
+
+
+def _number_spans(t: Column) -> Column:
+    """Numbers with [s, e) offsets and 6 chars before / 8 chars after."""
+    rx = U + RATE_NUMBER_RE
+    frags = F.split(t, rx, -1)
+    ms = F.regexp_extract_all(t, F.lit(rx), 0)
+    n = F.size(ms)
+    z = F.arrays_zip(F.slice(frags, 1, n).alias("f"), ms.alias("m"), F.array_repeat(t, n).alias("t"))
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast(NUM_SPAN_TYPE).alias("out"))
+
+    def step(acc, e):
+        st = acc["pos"] + F.length(e["f"])
+        end = st + F.length(e["m"])
+        b0 = F.greatest(st - 6, F.lit(0))
+        span = F.struct(e["m"].alias("m"), st.alias("s"), end.alias("e"),
+                        F.substring(e["t"], b0 + 1, st - b0).alias("before"),
+                        F.substring(e["t"], end + 1, 8).alias("after"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+    return F.aggregate(z, init, step, lambda acc: acc["out"])
+
+
+def rate_segments(df: DataFrame, url: str = "url", text: str = "text", order: str | None = None) -> DataFrame:
+    """Mention table: one row per rate-marker hit with its trimmed clause.
+
+    (url, ord, type, k, pos, segment): ord = the row order column (or 0),
+    k = marker index, pos = hit order; the clause is widened to [.,;!]
+    boundaries and cut at ' или ', ' либо ', ' / ' around the hit."""
+    ordc = F.col(order) if order else F.lit(0)
+    base = df.select(F.trim(F.col(url)).alias("url"), ordc.alias("ord"),
+                     rate_text(F.col(text)).alias("cleaned")).where(
+        (F.col("url") != "") & (F.col("cleaned") != ""))
+    low = F.lower(F.col("cleaned"))
+    def tag(typ, k):
+        return lambda x, i: F.struct(F.lit(typ).alias("type"), F.lit(k).alias("k"), i.alias("pos"),
+                                     x["s"].alias("s"), F.length(x["m"]).alias("len"))
+    hits = []
+    for typ, pats in (("hourly", lx.HOURLY_MARKERS), ("shift", lx.SHIFT_MARKERS)):
+        for k, p in enumerate(pats):
+            # the span pass (interpreted lambdas) runs only when the cheap
+            # codegen'd rlike finds the marker at all
+            hits.append(F.when(low.rlike(U + p), F.transform(_match_spans(low, p), tag(typ, k)))
+                         .otherwise(F.array().cast("array<struct<type:string,k:int,pos:int,s:int,len:int>>")))
+    m = base.select("url", "ord", "cleaned", F.explode(F.concat(*hits)).alias("h")).select("url", "ord", "cleaned", "h.*")
+    c = F.col("cleaned")
+    stop = "[^" + CLAUSE_STOP.replace("\n", "\\n").replace("\r", "\\r") + "]*"
+    left = F.regexp_extract(F.substring(c, F.lit(1), F.col("s")), stop + "$", 0)
+    right = F.regexp_extract(F.substring(c, F.col("s") + F.col("len") + 1, F.lit(1 << 30)), "^" + stop, 0)
+    m = m.withColumns({
+        "seg0": F.trim(F.concat(left, F.substring(c, F.col("s") + 1, F.col("len")), right)),
+        "rel_start": F.length(left),
+    })
+    seg0 = F.col("seg0")
+    before = F.regexp_extract(F.substring(F.lower(seg0), F.lit(1), F.col("rel_start")), "^(.*)" + SEP_RE, 0)
+    cut = F.length(before)
+    m = m.withColumns({"seg1": F.substring(seg0, cut + 1, F.lit(1 << 30)),
+                       "rel_end": F.col("rel_start") + F.col("len") - cut})
+    seg1 = F.col("seg1")
+    tail = F.substring(F.lower(seg1), F.col("rel_end") + 1, F.lit(1 << 30))
+    has_sep = tail.rlike(SEP_RE)
+    after_pos = F.when(has_sep, F.col("rel_end") + F.length(F.regexp_extract(tail, "^(.*?)" + SEP_RE, 1))
+                       ).otherwise(F.length(seg1))
+    seg = F.trim(F.substring(seg1, F.lit(1), after_pos))
+    return m.select("url", "ord", "type", "k", "pos", seg.alias("segment")).where(F.col("segment") != "")
+
+
+def with_rate_parse(df: DataFrame, segment: str = "segment") -> DataFrame:
+    """Adds ``_x`` = struct(min, max, s, e, rng, seg) for one rate clause
+    (NULL when it holds no number): numbers next to a currency or a unit
+    are preferred; 'от … до …' takes the first two.
+
+    Each intermediate is its own column, referenced by name afterwards, so
+    no sub-expression is copied into the plan more than once."""
+    d = df.withColumn("_seg", rate_text(F.col(segment)))
+    d = d.withColumns({"_nums": _number_spans(F.col("_seg")),
+                       "_rng": F.lower(F.col("_seg")).contains("от") & F.lower(F.col("_seg")).contains("до")})
+
+    def flag(x):
+        return (x["before"].rlike(U + "(?:" + lx.CURRENCY_TOKEN_RE + ")") | x["after"].rlike(AFTER_SYMBOL_RE)
+                | x["before"].rlike(U + CURRENCY_WORD_END_RE) | x["after"].rlike(U + AFTER_UNIT_RE))
+    d = d.withColumn("_sel0", F.filter(F.col("_nums"), flag))
+    nums, rng, sel0 = F.col("_nums"), F.col("_rng"), F.col("_sel0")
+    n_all, n_sel = F.size(nums), F.size(sel0)
+    d = d.withColumn("_sel", F.when(n_sel == 0, F.when(rng & (n_all >= 2), F.slice(nums, 1, 2))
+                                    .when(n_all >= 2, F.slice(nums, -2, 2)).otherwise(F.slice(nums, -1, 1)))
+                            .when((n_sel == 1) & rng & (n_all >= 2), F.slice(nums, 1, 2))
+                            .otherwise(sel0))
+    sel = F.col("_sel")
+    d = d.withColumn("_vals", F.filter(F.transform(sel, lambda x: F.replace(
+        F.regexp_replace(x["m"], r"[\s ]", ""), F.lit(","), F.lit(".")).try_cast("double")),
+        lambda v: v.isNotNull()))
+    vals = F.col("_vals")
+    a = F.element_at(vals, 1)
+    b = F.when(F.size(vals) > 1, F.element_at(vals, 2)).otherwise(a)
+    d = d.withColumn("_x", F.when(F.size(vals) > 0, F.struct(
+        F.least(a, b).alias("min"), F.greatest(a, b).alias("max"),
+        F.array_min(F.transform(sel, lambda x: x["s"])).alias("s"),
+        F.array_max(F.transform(sel, lambda x: x["e"])).alias("e"),
+        rng.alias("rng"), F.col("_seg").alias("seg"))))
+    return d.drop("_seg", "_nums", "_rng", "_sel0", "_sel", "_vals")
+
+
+def rate_value(x: Column) -> Column:
+    """The display value of a parsed clause (``with_rate_parse``): the
+    amount text (with a leading currency or 'от '), units dropped,
+    currency words as symbols, ranges joined with '–'.  ``x`` should be a
+    column reference (it is read several times)."""
+    seg, st, en = x["seg"], x["s"], x["e"]
+    b0 = F.greatest(st - 6, F.lit(0))
+    prefix = F.substring(seg, b0 + 1, st - b0)
+    pm = F.regexp_extract(prefix, U + PREFIX_CURRENCY_RE, 0)
+    st2 = (F.when(pm != "", st - F.length(pm))
+            .when(x["rng"] & (st >= 3) & (F.lower(F.substring(seg, st - 2, 3)) == "от "), st - 3)
+            .otherwise(st))
+    ext = F.regexp_extract(F.substring(seg, en + 1, F.lit(1 << 30)), "^[^.,;!]*", 0)
+    raw = F.trim(F.substring(seg, st2 + 1, en + F.length(ext) - st2))
+    v = F.trim(F.regexp_replace(raw, U + UNITS_RE, ""))
+    v = currency_symbols(v)
+    v = F.regexp_replace(v, r"(?<=\d)\s*[-–—]\s*(?=\d)", "–")
+    v = F.trim(F.regexp_replace(v, r"\s+", " "))
+    return F.when(v == "", raw).otherwise(v)
+
+
+def rate_mentions(df: DataFrame, url: str = "url", text: str = "text", order: str | None = None) -> DataFrame:
+    """Resolved rates: the first parsable clause per (url, type) in row
+    order, then marker order -> (url, type, value, min, max, currency, raw).
+
+    The pick is a ``min_by`` aggregation (partial-aggregated per input
+    partition), so a URL seen in a third of all rows is not a hot task."""
+    segs = rate_segments(df, url, text, order)
+    ex = with_rate_parse(segs).where(F.col("_x").isNotNull())
+    ex = ex.withColumn("_v", rate_value(F.col("_x")))
+    ex = ex.select("url", "ord", "type", "k", "pos", F.struct(
+        F.col("_v").alias("value"), F.col("_x.min").alias("min"), F.col("_x.max").alias("max"),
+        currency_code(F.regexp_extract(F.col("_x.seg"), U + "(?:" + lx.CURRENCY_TOKEN_RE + ")", 0)).alias("currency"),
+        F.col("segment").alias("raw")).alias("r"))
+    first = ex.groupBy("url", "type").agg(F.min_by(F.col("r"), F.struct("ord", "k", "pos")).alias("r"))
+    return first.select("url", "type", "r.value", "r.min", "r.max", "r.currency", "r.raw")

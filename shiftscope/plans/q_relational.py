@@ -349,3 +349,17 @@ SALARY_BAND = (40.0, 120.0)
 def q_salary_band(spark, sf_dir):
     from ..operators.filters import salary_band
     return salary_band(postings(spark, sf_dir), *SALARY_BAND).select("posting_id", "salary_from_k", "salary_to_k")
+
+
+# ------------------------------------------------------------------ E1 export chain --
+@register("export_rows")
+def q_export_rows(spark, sf_dir):
+    """Export chain: role filter -> rate mentions -> drop shift-rated URLs
+    -> keep-first dedup -> URL clean-up (rows-only check)."""
+    from ..operators.filters import role_filter
+    from .q_text import rate_blob
+    p = role_filter(postings(spark, sf_dir), "unknown-role")  # unknown role keeps all rows
+    rates = X.rate_mentions(p.select("url", "seq", rate_blob(None).alias("text")), "url", "text", order="seq")
+    kept = R.drop_shift_rated(p.select("posting_id", "seq", "title", "employer", "url"), rates)
+    d = R.dedup_first(kept.withColumn("url", R.url_canon(F.col("url"))))
+    return d.select("posting_id", "title", "employer", R.export_url(F.col("url")).alias("url"))

@@ -340,3 +340,30 @@ def q_shift_len(spark, sf_dir):
 def q_explicit_pay(spark, sf_dir):
     e = postings(spark, sf_dir).select("posting_id", X.explicit_pay(F.col("full_text")).alias("_e"))
     return e.select("posting_id", F.col("_e.hourly").alias("hourly"), F.col("_e.shift_pay").alias("shift_pay"))
+
+
+# ------------------------------------------------------------------ T1 ----
+def rate_blob(p):
+    return F.concat_ws(" ", "full_text", "title", "duties_raw", "benefits", "schedule", "employment_raw")
+
+
+def rates_df(spark, sf_dir):
+    p = postings(spark, sf_dir).select("url", "seq", rate_blob(None).alias("text"))
+    return X.rate_mentions(p, "url", "text", order="seq")
+
+
+@register("rate_mentions")
+def q_rate_mentions(spark, sf_dir):
+    """First parsable hourly / shift rate per URL (rows-only check: the
+    clause logic uses look-around regex the RE2 oracle lacks; the fixture
+    tests pin the reference's examples)."""
+    return rates_df(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ P15 ---
+@register("rates_wide")
+def q_rates_wide(spark, sf_dir):
+    r = rates_df(spark, sf_dir).where(F.trim(F.coalesce("value", F.lit(""))) != "")
+    return r.select("url", F.when(F.col("type") == "hourly", F.col("value")).alias("hourly_value"),
+                    F.when(F.col("type") == "shift", F.col("value")).alias("shift_value"),
+                    "min", "max", "currency", "raw")

@@ -85,3 +85,26 @@ def test_relative_dates(spark):
     got = [r[0] for r in df.orderBy("i").select(X.relative_datetime(F.col("t"), as_of).cast("string")).collect()]
     assert got == ["2024-06-10 10:15:00", "2024-06-09 00:00:00", "2024-06-10 12:00:00", "2024-06-08 00:00:00",
                    "2024-06-03 00:00:00", "2024-05-12 00:00:00", None, None]
+
+
+def _rate(spark, text):
+    df = spark.createDataFrame([("u", text)], "url string, text string")
+    return {r["type"]: r for r in X.rate_mentions(df).collect()}
+
+
+def test_rate_values(spark):
+    cases = ["1200 руб/час + %", "1500-2000 руб/ч", "$15-18 per hour", "от 1 200 до 1 600 за смену", "€12/hour"]
+    df = X.with_rate_parse(spark.createDataFrame(list(enumerate(cases)), "i int, t string"), "t").withColumnRenamed("_x", "x")
+    got = [(r["v"], r["mn"], r["mx"], r["c"]) for r in df.orderBy("i").select(
+        X.rate_value(F.col("x")).alias("v"), F.col("x.min").alias("mn"), F.col("x.max").alias("mx"),
+        X.currency(F.regexp_extract(F.col("x.seg"), X.U + "(?:" + X.lx.CURRENCY_TOKEN_RE + ")", 0)).alias("c")).collect()]
+    assert got[0] == ("1200 ₽ + %", 1200.0, 1200.0, "RUB")
+    assert got[1] == ("1500–2000 ₽", 1500.0, 2000.0, "RUB")
+    assert got[2] == ("$15–18", 15.0, 18.0, "USD")
+    assert got[3][1:] == (1200.0, 1600.0, None)
+    assert got[4] == ("€12", 12.0, 12.0, "EUR")
+
+
+def test_both_rate_kinds(spark):
+    got = _rate(spark, "Оплата 1800/смена или 200/час")
+    assert got["hourly"]["min"] == 200.0 and got["shift"]["min"] == 1800.0
