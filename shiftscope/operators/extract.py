@@ -319,7 +319,7 @@ def iso_date(s: Column) -> Column:
     """ISO datetime (offset with or without colon, or Z) -> its date part;
     unparsable -> the text before 'T'."""
     raw = F.trim(s)
-    d = F.try_to_date(F.substring(raw, 1, 10), F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd")
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("string")).otherwise(
         F.coalesce(F.date_format(d, "yyyy-MM-dd"), F.split(raw, "T", 2).getItem(0)))
 

@@ -364,6 +364,7 @@ def q_rate_mentions(spark, sf_dir):
 @register("rates_wide")
 def q_rates_wide(spark, sf_dir):
     r = rates_df(spark, sf_dir).where(F.trim(F.coalesce("value", F.lit(""))) != "")
-    return r.select("url", F.when(F.col("type") == "hourly", F.col("value")).alias("hourly_value"),
-                    F.when(F.col("type") == "shift", F.col("value")).alias("shift_value"),
-                    "min", "max", "currency", "raw")
+    v = F.trim(F.col("value"))
+    return r.select(F.when(F.lower("type") == "hourly", v).otherwise(F.lit("")).alias("hourly_value"),
+                    F.when(F.lower("type") == "shift", v).otherwise(F.lit("")).alias("shift_value"),
+                    F.trim(F.coalesce("url", F.lit(""))).alias("url"))
