@@ -82,3 +82,12 @@ def slugify(c: Column) -> Column:
     tr = F.translate(tr, lx.TRANSLIT_SINGLE_FROM + lx.TRANSLIT_DROP, lx.TRANSLIT_SINGLE_TO)
     s = F.btrim(F.regexp_replace(tr, "[^a-z0-9]+", "_"), F.lit("_"))
     return F.coalesce(lookup(lx.CITY_SLUGS, t), F.nullif(s, F.lit("")), F.lit("vakansii"))
+
+
+def let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and pass it to ``body`` as a lambda variable.
+
+    A Python Column reused N times is N copies in the plan (each evaluated);
+    binding it through a one-element ``transform`` makes every use a cheap
+    variable reference instead."""
+    return F.element_at(F.transform(F.array(expr), body), 1)

@@ -368,3 +368,34 @@ def q_rates_wide(spark, sf_dir):
     return r.select(F.when(F.lower("type") == "hourly", v).otherwise(F.lit("")).alias("hourly_value"),
                     F.when(F.lower("type") == "shift", v).otherwise(F.lit("")).alias("shift_value"),
                     F.trim(F.coalesce("url", F.lit(""))).alias("url"))
+
+
+# ------------------------------------------------------------------ T6 ----
+def hours_contexts(spark, sf_dir):
+    """Two contexts per posting: the hours parameter (weight 6) and the
+    description text (weight 10)."""
+    p = postings(spark, sf_dir)
+    a = p.select(F.col("posting_id").alias("id"), F.lit(0).alias("ctx"), F.col("hours_text").alias("text"), "url",
+                 F.lit("params:hours").alias("selector"), F.lit(6).alias("weight"))
+    b = p.select(F.col("posting_id").alias("id"), F.lit(1).alias("ctx"), F.col("description").alias("text"), "url",
+                 F.lit("description").alias("selector"), F.lit(10).alias("weight"))
+    return a.unionByName(b).where(F.col("text").isNotNull())
+
+
+@register("working_hours")
+def q_working_hours(spark, sf_dir):
+    """Working hours per posting (rows-only check; nested result)."""
+    from ..operators.hours import working_hours
+    wh = working_hours(hours_contexts(spark, sf_dir))
+    return wh.select("id", "schedule_hint", "confidence", "lang", "notes",
+                     F.size("normalized.by_days").alias("n_day_rules"), F.col("normalized.is_247").alias("is_247"),
+                     F.col("normalized.shift_based.shift_length_hours").alias("shift_hours"),
+                     F.size("raw_matches").alias("n_matches"))
+
+
+@register("weekday_hours")
+def q_weekday_hours(spark, sf_dir):
+    """Per-day opening hours exploded from the working-hours result."""
+    from ..operators.hours import working_hours
+    wh = working_hours(hours_contexts(spark, sf_dir))
+    return wh.select("id", F.explode("normalized.by_days").alias("d")).select("id", "d.day", "d.start", "d.end")
