@@ -163,3 +163,36 @@ def q_ctrl_clean(spark, sf_dir):
           "  FROM documents WHERE text IS NOT NULL) WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT 8)")
 def q_doc_token_freq(spark, sf_dir):
     return marts.token_freq(read_table(spark, sf_dir, "documents").select("text"), "text")
+
+
+# ------------------------------------------------------------------ S8–S10 (element table) --
+@register("page_elements")
+def q_page_elements(spark, sf_dir):
+    """Element counts per page and tag from the HTML tokenizer (rows-only)."""
+    from ..sources.html_parse import elements
+    return elements(_pages(spark, sf_dir)).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("listing_cards")
+def q_listing_cards(spark, sf_dir):
+    """Board listing cards found in the pages (rows-only)."""
+    from ..sources.html_parse import elements, listing_cards
+    p = _pages(spark, sf_dir)
+    return listing_cards(elements(p), p)
+
+
+@register("detail_fields")
+def q_detail_fields(spark, sf_dir):
+    """Detail-page fields per page (rows-only)."""
+    from ..sources.html_parse import detail_fields, elements
+    d = detail_fields(elements(_pages(spark, sf_dir)))
+    return d.select("page_id", "title", "employer_name", F.length("description").alias("description_chars"),
+                    F.size("category_path").alias("n_crumbs"), "views_count", "photos_count",
+                    F.size("params").alias("n_params"), "schedule_hint", "lang", "posted_at_raw")
+
+
+@register("page_sections")
+def q_page_sections(spark, sf_dir):
+    """Heading-delimited sections of every page (rows-only)."""
+    from ..sources.html_parse import elements, sections
+    return sections(elements(_pages(spark, sf_dir)))
