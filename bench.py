@@ -22,7 +22,8 @@ from shiftscope.session import build_session  # noqa: E402
 HEADLINE = [
     "job_stats", "pay_metrics", "top_benefits", "dedup_first", "best_record", "posting_state",
     "no_shift_rates", "schedule_mentions", "monthly_pay", "legacy_row", "rate_cascade",
-    "shift_len", "page_links", "strip_html", "script_lang",
+    "shift_len", "rate_mentions", "working_hours", "page_links", "strip_html", "script_lang",
+    "detail_fields", "event_state_batch",
 ]
 
 

@@ -541,7 +541,10 @@ def rate_segments(df: DataFrame, url: str = "url", text: str = "text", order: st
     after_pos = F.when(has_sep, F.col("rel_end") + F.length(F.regexp_extract(tail, "^(.*?)" + SEP_RE, 1))
                        ).otherwise(F.length(seg1))
     seg = F.trim(F.substring(seg1, F.lit(1), after_pos))
-    return m.select("url", "ord", "type", "k", "pos", seg.alias("segment")).where(F.col("segment") != "")
+    # no filter here: a predicate on this computed column would be pushed
+    # down through the staged projections with every stage inlined into
+    # it; an empty segment simply parses to nothing downstream
+    return m.select("url", "ord", "type", "k", "pos", seg.alias("segment"))
 
 
 def with_rate_parse(df: DataFrame, segment: str = "segment") -> DataFrame:
@@ -572,14 +575,38 @@ def with_rate_parse(df: DataFrame, segment: str = "segment") -> DataFrame:
     vals = F.col("_vals")
     a = F.element_at(vals, 1)
     b = F.when(F.size(vals) > 1, F.element_at(vals, 2)).otherwise(a)
-    d = d.withColumn("_x", F.when(F.size(vals) > 0, F.struct(
-        F.least(a, b).alias("min"), F.greatest(a, b).alias("max"),
-        F.array_min(F.transform(sel, lambda x: x["s"])).alias("s"),
-        F.array_max(F.transform(sel, lambda x: x["e"])).alias("e"),
-        rng.alias("rng"), F.col("_seg").alias("seg"))))
+    d = d.withColumns({
+        "r_ok": F.size(vals) > 0,
+        "r_min": F.least(a, b), "r_max": F.greatest(a, b),
+        "r_s": F.array_min(F.transform(sel, lambda x: x["s"])),
+        "r_e": F.array_max(F.transform(sel, lambda x: x["e"])),
+        "r_rng": rng, "r_seg": F.col("_seg")})
+    # the struct view kept for callers that want one column
+    d = d.withColumn("_x", F.when(F.col("r_ok"), F.struct(
+        F.col("r_min").alias("min"), F.col("r_max").alias("max"), F.col("r_s").alias("s"),
+        F.col("r_e").alias("e"), F.col("r_rng").alias("rng"), F.col("r_seg").alias("seg"))))
     return d.drop("_seg", "_nums", "_rng", "_sel0", "_sel", "_vals")
 
 
+def with_rate_value(d: DataFrame) -> DataFrame:
+    """Adds ``r_value`` from the ``r_*`` columns of ``with_rate_parse``,
+    one staged step at a time."""
+    seg, st, en = F.col("r_seg"), F.col("r_s"), F.col("r_e")
+    b0 = F.greatest(st - 6, F.lit(0))
+    d = d.withColumn("_pm", F.regexp_extract(F.substring(seg, b0 + 1, st - b0), U + PREFIX_CURRENCY_RE, 0))
+    d = d.withColumn("_st2", F.when(F.col("_pm") != "", st - F.length("_pm"))
+                     .when(F.col("r_rng") & (st >= 3) & (F.lower(F.substring(seg, st - 2, 3)) == "от "), st - 3)
+                     .otherwise(st))
+    ext = F.regexp_extract(F.substring(seg, en + 1, F.lit(1 << 30)), "^[^.,;!]*", 0)
+    d = d.withColumn("_raw", F.trim(F.substring(seg, F.col("_st2") + 1, en + F.length(ext) - F.col("_st2"))))
+    v = F.trim(F.regexp_replace(F.col("_raw"), U + UNITS_RE, ""))
+    v = currency_symbols(v)
+    v = F.regexp_replace(v, r"(?<=\d)\s*[-–—]\s*(?=\d)", "–")
+    d = d.withColumn("_v", F.trim(F.regexp_replace(v, r"\s+", " ")))
+    return d.withColumn("r_value", F.when(F.col("_v") == "", F.col("_raw")).otherwise(F.col("_v"))).drop(
+        "_pm", "_st2", "_raw", "_v")
+
+
 def rate_value(x: Column) -> Column:
     """The display value of a parsed clause (``with_rate_parse``): the
     amount text (with a leading currency or 'от '), units dropped,
@@ -608,11 +635,13 @@ def rate_mentions(df: DataFrame, url: str = "url", text: str = "text", order: st
     The pick is a ``min_by`` aggregation (partial-aggregated per input
     partition), so a URL seen in a third of all rows is not a hot task."""
     segs = rate_segments(df, url, text, order)
-    ex = with_rate_parse(segs).where(F.col("_x").isNotNull())
-    ex = ex.withColumn("_v", rate_value(F.col("_x")))
-    ex = ex.select("url", "ord", "type", "k", "pos", F.struct(
-        F.col("_v").alias("value"), F.col("_x.min").alias("min"), F.col("_x.max").alias("max"),
-        currency_code(F.regexp_extract(F.col("_x.seg"), U + "(?:" + lx.CURRENCY_TOKEN_RE + ")", 0)).alias("currency"),
+    ex = with_rate_value(with_rate_parse(segs).drop("_x"))
+    ex = ex.select("url", "ord", "type", "k", "pos", "r_ok", F.struct(
+        F.col("r_value").alias("value"), F.col("r_min").alias("min"), F.col("r_max").alias("max"),
+        currency_code(F.regexp_extract(F.col("r_seg"), U + "(?:" + lx.CURRENCY_TOKEN_RE + ")", 0)).alias("currency"),
         F.col("segment").alias("raw")).alias("r"))
-    first = ex.groupBy("url", "type").agg(F.min_by(F.col("r"), F.struct("ord", "k", "pos")).alias("r"))
-    return first.select("url", "type", "r.value", "r.min", "r.max", "r.currency", "r.raw")
+    # unparsable clauses get a NULL order, which min_by skips; the
+    # "found one" test runs on the aggregate output (never pushed down)
+    first = ex.groupBy("url", "type").agg(
+        F.min_by(F.col("r"), F.when(F.col("r_ok"), F.struct("ord", "k", "pos"))).alias("r"))
+    return first.where(F.col("r").isNotNull()).select("url", "type", "r.value", "r.min", "r.max", "r.currency", "r.raw")

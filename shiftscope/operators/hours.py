@@ -80,11 +80,14 @@ def candidates(ctx: DataFrame) -> DataFrame:
     raw = (F.when(F.col("_r0").isNotNull(), l).when(F.col("_r1").isNotNull(), j1)
             .when(F.col("_r2").isNotNull(), j2).when(F.col("_r3").isNotNull(), j3))
     why = F.coalesce("_r0", "_r1", "_r2", "_r3")
-    c = e.select("id", "ctx", "url", "selector", "weight", "line_no", F.trim(raw).alias("raw"), why.alias("reason")) \
-         .where(F.col("reason").isNotNull())
-    # unique raw text per context, first occurrence kept
-    keep = F.min_by(F.struct("line_no", "url", "selector", "weight", "reason"), F.col("line_no"))
-    return c.groupBy("id", "ctx", "raw").agg(keep.alias("_k")).select(
+    c = e.select("id", "ctx", "url", "selector", "weight", "line_no", F.trim(raw).alias("raw"), why.alias("reason"))
+    # unique raw text per context, first occurrence kept.  Non-trigger lines
+    # get a NULL order (skipped by min_by) and are dropped on the aggregate
+    # output: a filter on the computed reason would be pushed down with all
+    # staged reason columns inlined into it.
+    keep = F.min_by(F.struct("line_no", "url", "selector", "weight", "reason"),
+                    F.when(F.col("reason").isNotNull(), F.col("line_no")))
+    return c.groupBy("id", "ctx", "raw").agg(keep.alias("_k")).where(F.col("_k").isNotNull()).select(
         "id", "ctx", F.col("_k.line_no").alias("line_no"), "_k.url", "_k.selector", "_k.weight", "raw", "_k.reason")
 
 

@@ -375,11 +375,14 @@ def hours_contexts(spark, sf_dir):
     """Two contexts per posting: the hours parameter (weight 6) and the
     description text (weight 10)."""
     p = postings(spark, sf_dir)
-    a = p.select(F.col("posting_id").alias("id"), F.lit(0).alias("ctx"), F.col("hours_text").alias("text"), "url",
-                 F.lit("params:hours").alias("selector"), F.lit(6).alias("weight"))
-    b = p.select(F.col("posting_id").alias("id"), F.lit(1).alias("ctx"), F.col("description").alias("text"), "url",
-                 F.lit("description").alias("selector"), F.lit(10).alias("weight"))
-    return a.unionByName(b).where(F.col("text").isNotNull())
+    ctxs = F.array(
+        F.struct(F.lit(0).alias("ctx"), F.col("hours_text").alias("text"), F.lit("params:hours").alias("selector"),
+                 F.lit(6).alias("weight")),
+        F.struct(F.lit(1).alias("ctx"), F.col("description").alias("text"), F.lit("description").alias("selector"),
+                 F.lit(10).alias("weight")))
+    # one scan of the postings, two context rows per posting
+    return (p.select(F.col("posting_id").alias("id"), "url", F.explode(ctxs).alias("c"))
+             .select("id", "c.ctx", "c.text", "url", "c.selector", "c.weight").where(F.col("text").isNotNull()))
 
 
 @register("working_hours")
