@@ -12,7 +12,7 @@ keeps k rows, the driver merges k x tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -21,6 +21,14 @@ MEASURES = [("salary_from_k", "from"), ("salary_to_k", "to"), ("hourly", "hourly
 
 
 # -- A1 -------------------------------------------------------------------
+def exact_mean(c: Column) -> Column:
+    """Mean whose value does not depend on the order rows are summed in:
+    an exact decimal sum, then one division.  (A floating sum changes with
+    partitioning, which can flip a value sitting on a rounding edge.)"""
+    n = F.count(c)
+    return F.when(n > 0, F.sum(c.cast("decimal(38,6)")).cast("double") / n)
+
+
 def job_stats(df: DataFrame, title="title", measures=MEASURES) -> DataFrame:
     """Per-title count + min/median/mean/max of each measure (0.1).
 
@@ -31,7 +39,7 @@ def job_stats(df: DataFrame, title="title", measures=MEASURES) -> DataFrame:
         c = F.col(col)
         aggs += [F.bround(F.min(c), 1).alias(f"{p}_min"),
                  F.bround(F.median(c), 1).alias(f"{p}_median"),
-                 F.bround(F.avg(c), 1).alias(f"{p}_mean"),
+                 F.bround(exact_mean(c), 1).alias(f"{p}_mean"),
                  F.bround(F.max(c), 1).alias(f"{p}_max")]
     out = (df.where(F.col(title).isNotNull())
              .groupBy(F.col(title).alias("title_key"))
@@ -62,10 +70,9 @@ def host_top(df: DataFrame, url="url", k: int = 5) -> DataFrame:
 
 def value_freq(df: DataFrame, col: str, k: int = 6) -> DataFrame:
     """Top-k values of a column with their share of *all* rows (%)."""
-    n_all = df.select(F.count(F.lit(1)).alias("n_all"))
+    n_all = df.select(F.count(F.lit(1))).scalar()  # scalar subquery, one value
     top = top_values(df, F.col(col).cast("string"), k, "value")
-    return (top.crossJoin(n_all)  # 1-row side
-               .select("value", "n", (F.col("n") * 100.0 / F.col("n_all")).alias("pct")))
+    return top.select("value", "n", (F.col("n") * 100.0 / n_all).alias("pct"))
 
 
 # -- A3 -------------------------------------------------------------------
@@ -89,13 +96,11 @@ def top_benefits(df: DataFrame, col="benefits", k: int = 15) -> DataFrame:
 
 # -- A4 -------------------------------------------------------------------
 def share(df: DataFrame, key: Column) -> DataFrame:
-    """Category share in % (0.1); NULL counts as '(не указано)'.
-
-    The window runs over the aggregated categories only (bounded by the
-    number of distinct labels, not by rows)."""
-    counts = (df.select(F.coalesce(key, F.lit(lx.UNKNOWN_LABEL)).alias("category"))
-                .groupBy("category").agg(F.count(F.lit(1)).alias("n")))
-    tot = F.sum("n").over(Window.partitionBy())
+    """Category share in % (0.1); NULL counts as '(не указано)'.  The total
+    is a scalar subquery (one value), not a window over one partition."""
+    cats = df.select(F.coalesce(key, F.lit(lx.UNKNOWN_LABEL)).alias("category"))
+    counts = cats.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    tot = cats.select(F.count(F.lit(1))).scalar()
     return counts.select("category", F.bround(F.col("n") * 100.0 / tot, 1).alias("share_pct"))
 
 
@@ -152,13 +157,13 @@ def pay_summary(df: DataFrame, hourly="hourly", from_k="salary_from_k", to_k="sa
 def token_freq(df: DataFrame, col: str, k: int = 8) -> DataFrame:
     """lower, squeeze spaces, split on ; or , , trim, drop blanks; top k with
     the share of all rows (%)."""
-    n_all = df.select(F.count(F.lit(1)).alias("n_all"))
+    n_all = df.select(F.count(F.lit(1))).scalar()  # scalar subquery, one value
     norm = F.regexp_replace(F.lower(F.col(col)), r"\s+", " ")
     toks = (df.where(F.col(col).isNotNull())
               .select(F.explode(F.split(norm, "[;,]")).alias("t"))
               .select(F.trim(F.col("t")).alias("token")).where(F.col("token") != ""))
     top = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(k)
-    return top.crossJoin(n_all).select("token", "n", (F.col("n") * 100.0 / F.col("n_all")).alias("pct"))
+    return top.select("token", "n", (F.col("n") * 100.0 / n_all).alias("pct"))
 
 
 # -- A12 ------------------------------------------------------------------

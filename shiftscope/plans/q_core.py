@@ -55,7 +55,7 @@ def _job_stats_sql(src: str) -> str:
     parts = []
     for col, p in marts.MEASURES:
         parts += [f"round_even(min({col}), 1) AS {p}_min", f"round_even(median({col}), 1) AS {p}_median",
-                  f"round_even(avg({col}), 1) AS {p}_mean", f"round_even(max({col}), 1) AS {p}_max"]
+                  f"round_even(CASE WHEN count({col}) > 0 THEN CAST(sum(CAST({col} AS DECIMAL(38,6))) AS DOUBLE) / count({col}) END, 1) AS {p}_mean", f"round_even(max({col}), 1) AS {p}_max"]
     return (f"SELECT CASE WHEN title = '' THEN {sql_str(lx.UNKNOWN_LABEL)} ELSE title END AS title, "
             f"count(*) AS n, {', '.join(parts)} FROM {src} WHERE title IS NOT NULL GROUP BY title")
 
