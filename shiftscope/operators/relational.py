@@ -82,11 +82,14 @@ def dedup_first(df: DataFrame, url: str = "url", title: str = "title", employer:
                 seq: str = "seq") -> DataFrame:
     """Keep-first by (canonical) URL, then by (title, employer).
 
-    Rows without a URL skip the URL pass (they are all kept there); in the
-    second pass NULL employers compare equal."""
-    with_url = df.where(F.col(url).isNotNull())
-    no_url = df.where(F.col(url).isNull())
-    first = keep_first(with_url, [url], seq).unionByName(no_url)
+    Rows without a URL are all kept by the URL pass: their group key is
+    (NULL, seq), unique per row, so they neither collapse into one group
+    nor pile up in one shuffle partition — and the input is read once.
+    In the second pass NULL employers compare equal."""
+    key = F.struct(F.col(url).alias("u"), F.when(F.col(url).isNull(), F.col(seq)).alias("s"))
+    cols = df.columns
+    first = (df.groupBy(key.alias("_key"))
+               .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(seq)).alias("_r")).select("_r.*"))
     return keep_first(first, [title, employer], seq)
 
 
@@ -95,12 +98,14 @@ def drop_shift_rated(df: DataFrame, rates: DataFrame, url: str = "url") -> DataF
     """Postings minus URLs that have a shift rate; NULL/blank URLs stay."""
     shift_urls = (rates.where(F.lower(F.col("type")) == "shift")
                        .select(F.trim(F.col("url")).alias("_u")).where(F.col("_u") != "").distinct())
-    keyed = df.withColumn("_u", F.trim(F.col(url)))
-    # rows without a URL always stay: they bypass the join (a NULL/blank
-    # key would otherwise pile up in one shuffle partition)
-    has = F.col("_u").isNotNull() & (F.col("_u") != "")
-    kept = keyed.where(has).join(shift_urls, "_u", "left_anti")
-    return kept.unionByName(keyed.where(~has | F.col("_u").isNull())).drop("_u")
+    # rows without a URL always stay: they get a surrogate key that can
+    # never match a URL and is unique per row, so they spread over the
+    # shuffle instead of piling up under one NULL key (single pass)
+    u = F.trim(F.col(url))
+    surrogate = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"),
+                         F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    keyed = df.withColumn("_u", F.when(u.isNull() | (u == ""), surrogate).otherwise(u))
+    return keyed.join(shift_urls, "_u", "left_anti").drop("_u")
 
 
 # -- J3 / S14 -----------------------------------------------------------------
