@@ -28,7 +28,7 @@ def _unescape_sql(c: str) -> str:
 # ------------------------------------------------------------------ S5 ----
 @register("pages_scan", "SELECT page_id, url, length(html) AS n_chars FROM pages")
 def q_pages_scan(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", "url", F.length("html").alias("n_chars"))
+    return _pages(spark, sf_dir).select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
 
 
 # ------------------------------------------------------------------ P4 ----
@@ -152,7 +152,7 @@ def q_preview(spark, sf_dir):
 def q_ctrl_clean(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     c = ctrl_clean(F.col("text"))
-    return d.select("doc_id", c.alias("text"), (F.length("text") - F.length(c)).alias("n_removed"))
+    return d.select("doc_id", c.alias("text"), (F.length("text") - F.length(c)).cast("long").alias("n_removed"))
 
 
 # ------------------------------------------------------------------ A8 (documents) --
