@@ -206,8 +206,13 @@ def _by_days_from(per: Column) -> Column:
 def normalize(cands: DataFrame) -> DataFrame:
     """Per candidate: by-days hours, 24/7, schedule + shift length,
     confidence (1.0 / 0.9 / 0.6 / 0.5 / 0.3) and script language."""
+    # the day-by-day parser only runs where a day name or day word occurs
+    # (CaseWhen evaluates its branch lazily); elsewhere it would find nothing
+    no_days = F.struct(F.array().cast(BY_DAY_T).alias("days"), F.array().cast("array<string>").alias("notes"))
+    dayish = F.col("raw").rlike(U + DAY_TOKEN_RE) | F.lower("raw").rlike(
+        U + r"ежеднев|daily|каждый\s+день|щодн|будн|weekdays|выходн|weekend")
     c = cands.withColumns({"_low": F.lower("raw"), "_sched": X.schedule_list(F.col("raw")),
-                           "_bd": by_days(F.col("raw"))})
+                           "_bd": F.when(dayish, by_days(F.col("raw"))).otherwise(no_days)})
     c = c.withColumns({"_247": F.col("_low").rlike(U + lx.IS247_RE),
                        "_shw": _any_contains(F.col("_low"), SHIFT_WORDS),
                        "_flex": F.col("_low").rlike(U + lx.FLEXIBLE_RE)})
