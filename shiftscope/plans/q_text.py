@@ -336,7 +336,30 @@ def q_shift_len(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ T3 ----
-@register("explicit_pay")
+_HOUR_RE2 = ("((?:^|[^\\d])(\\d[\\d\\s]{1,}(?:[\\.,]\\d+)?)\\s*(?:₽|р|руб)?\\s*(?:/|за|в)?\\s*(?:ч|час|hour|hr))"
+             + W1)
+_EP_CTE = f"""
+ep0 AS (
+  SELECT posting_id, translate(translate(lower(coalesce(full_text, '')), ' ', ' '), '–—−', '---') AS t FROM postings
+),
+ep1 AS (
+  SELECT *, regexp_extract(t, {sql_str(_HOUR_RE2)}, 1) AS whole, regexp_extract(t, {sql_str(_HOUR_RE2)}, 2) AS hnum,
+            regexp_extract(t, {sql_str(X.SHIFT_PAY_RE)}, 0) AS swhole, regexp_extract(t, {sql_str(X.SHIFT_PAY_RE)}, 1) AS snum
+  FROM ep0
+),
+ep2 AS (
+  SELECT posting_id,
+    CASE WHEN whole <> '' AND NOT regexp_matches(substr(t, greatest(strpos(t, whole) - 24, 1),
+                                 length(whole) + 48 + least(strpos(t, whole) - 25, 0)), '(мес|месяц|год)')
+         THEN TRY_CAST(replace(regexp_replace(hnum, '[^\\d\\.,]', '', 'g'), ',', '.') AS DOUBLE) END AS h0,
+    CASE WHEN swhole <> '' THEN TRY_CAST(replace(regexp_replace(snum, '[^\\d\\.,]', '', 'g'), ',', '.') AS DOUBLE) END AS s0
+  FROM ep1
+)"""
+
+
+@register("explicit_pay", with_postings(
+    "SELECT posting_id, CASE WHEN h0 IS NOT NULL AND h0 <> 0 THEN round_even(h0, 2) END AS hourly,"
+    " CASE WHEN s0 IS NOT NULL AND s0 <> 0 THEN round_even(s0, 2) END AS shift_pay FROM ep2", _EP_CTE))
 def q_explicit_pay(spark, sf_dir):
     e = postings(spark, sf_dir).select("posting_id", X.explicit_pay(F.col("full_text")).alias("_e"))
     return e.select("posting_id", F.col("_e.hourly").alias("hourly"), F.col("_e.shift_pay").alias("shift_pay"))
