@@ -328,7 +328,7 @@ def q_rel_dates(spark, sf_dir):
 @register("shift_len")
 def q_shift_len(spark, sf_dir):
     """Shift-length mentions resolved per posting (rows-only check; the
-    fixture tests pin the reference's examples)."""
+    fixture tests pin the original examples)."""
     p = postings(spark, sf_dir)
     s = p.select("posting_id", X.shift_length(F.concat_ws(". ", "hours_text", "description")).alias("_s"))
     return s.select("posting_id", F.col("_s.hours").alias("shift_hours"), F.col("_s.source").alias("source"),
@@ -379,7 +379,7 @@ def rates_df(spark, sf_dir):
 def q_rate_mentions(spark, sf_dir):
     """First parsable hourly / shift rate per URL (rows-only check: the
     clause logic uses look-around regex the RE2 oracle lacks; the fixture
-    tests pin the reference's examples)."""
+    tests pin the original examples)."""
     return rates_df(spark, sf_dir)
 
 

@@ -1,4 +1,4 @@
-"""Working hours on the reference's example contexts."""
+"""Working hours on the original pipeline's example contexts."""
 
 from shiftscope.operators.hours import working_hours
 

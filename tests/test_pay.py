@@ -1,4 +1,4 @@
-"""Pay jobs on the reference's example cases (FIXTURES.md §2)."""
+"""Pay jobs on the original pipeline's example cases (FIXTURES.md §2)."""
 
 from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-"""Relational jobs: reference examples and invariants."""
+"""Relational jobs: original examples and invariants."""
 
 from pyspark.sql import functions as F
 
