@@ -425,3 +425,30 @@ def q_weekday_hours(spark, sf_dir):
     from ..operators.hours import working_hours
     wh = working_hours(hours_contexts(spark, sf_dir))
     return wh.select("id", F.explode("normalized.by_days").alias("d")).select("id", "d.day", "d.start", "d.end")
+
+
+# ------------------------------------------------------------------ T9 (phrase) --
+def _exp_phrase_sql(c: str) -> str:
+    t = f"lower(coalesce({c}, ''))"
+    pats = X.EXPERIENCE_PATTERNS
+    seg = " ".join(f"WHEN regexp_extract({t}, {sql_str(p)}, 0) <> '' THEN regexp_extract({t}, {sql_str(p)}, {{g}})"
+                   for p in pats)
+    def pick(g):
+        return "(CASE " + seg.replace("{g}", str(g)) + " END)"
+    num = f"TRY_CAST(replace({pick(1)}, ',', '.') AS DOUBLE)"
+    vstr = (f"(CASE WHEN {num} = floor({num}) THEN CAST(CAST(floor({num}) AS BIGINT) AS VARCHAR)"
+            f" ELSE CAST({num} AS VARCHAR) END)")
+    unit = (f"(CASE WHEN starts_with({pick(2)}, 'месяц') THEN (CASE WHEN {vstr} = '1' THEN 'месяц' ELSE 'месяцев' END)"
+            f" WHEN {vstr} = '1' THEN 'год' WHEN {vstr} IN ('2', '3', '4') THEN 'года' ELSE 'лет' END)")
+    prefix = f"(CASE WHEN regexp_matches({pick(0)}, 'от|не менее') THEN 'от ' ELSE '' END)"
+    return (f"CASE WHEN {t} = '' THEN NULL WHEN contains({t}, 'без опыта') THEN 'Без опыта'"
+            f" WHEN regexp_matches({t}, 'опыт(?: работы)?\\s*(?:от\\s*)?(полгода|пол\\s*года)') THEN 'от 0.5 года'"
+            f" WHEN {pick(0)} IS NOT NULL THEN trim({prefix} || {vstr} || ' ' || {unit})"
+            f" WHEN contains({t}, 'опыт') THEN 'Опыт требуется' END")
+
+
+@register("experience_phrase", with_postings(
+    f"SELECT posting_id, {_exp_phrase_sql('experience_raw')} AS experience FROM postings"))
+def q_experience_phrase(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return p.select("posting_id", X.experience_phrase(F.col("experience_raw")).alias("experience"))
