@@ -50,11 +50,6 @@ def first_label(c: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def ordered_distinct(arr: Column) -> Column:
-    """Distinct elements keeping the first occurrence order."""
-    return F.array_distinct(arr)
-
-
 def ctrl_clean(c: Column) -> Column:
     return F.regexp_replace(c, lx.CONTROL_CHARS_RE, "")
 

@@ -29,7 +29,6 @@ TIME_RANGE_RE = r"(\d{1,2}(?::\d{1,2})?\s*" + AMPM + r"?)\s*[-–—~]\s*(\d{1,2
 FROM_TO_RE = r"(?:с|from)\s*(\d{1,2}(?::\d{1,2})?)\s*(?:до|to)\s*(\d{1,2}(?::\d{1,2})?)"
 SIMPLE_RANGE_RE = r"\b(\d{1,2})\s*[-–—]\s*(\d{1,2})\b"
 SHIFT_WORDS = ["смен", "shift", "сутк", "вахт"]
-DAY_IDX = {d: i for i, d in enumerate(lx.DAY_ORDER)}
 
 
 def _day_code(tok: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..functions.lookups import schedule_hours, schedule_shifts  # noqa: F401
 from ..operators import extract as X
 from ..operators import marts
 from ..session import read_table
@@ -452,3 +451,18 @@ def _exp_phrase_sql(c: str) -> str:
 def q_experience_phrase(spark, sf_dir):
     p = postings(spark, sf_dir)
     return p.select("posting_id", X.experience_phrase(F.col("experience_raw")).alias("experience"))
+
+
+# ------------------------------------------------------------------ T10 (conditions) --
+@register("conditions_merge", with_postings(
+    "SELECT posting_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)),"
+    " lower(x)) = i), '; ') AS conditions FROM ("
+    " SELECT posting_id, list_filter(list_transform(string_split_regex(coalesce(duties_raw, ''), '[\\n;]')"
+    " || string_split(coalesce(benefits, ''), ';'), lambda s: " + _clean_sql("s") + "), lambda s: s <> '') AS l"
+    " FROM postings)"))
+def q_conditions_merge(spark, sf_dir):
+    """Conditions text: condition lines and benefit items, cleaned, with
+    case-insensitive repeats dropped (first kept), joined with '; '."""
+    p = postings(spark, sf_dir)
+    items = F.concat(F.split(F.coalesce("duties_raw", F.lit("")), r"[\n;]"), F.split(F.coalesce("benefits", F.lit("")), ";"))
+    return p.select("posting_id", X.join_unique(items).alias("conditions"))

@@ -108,3 +108,10 @@ def test_rate_values(spark):
 def test_both_rate_kinds(spark):
     got = _rate(spark, "Оплата 1800/смена или 200/час")
     assert got["hourly"]["min"] == 200.0 and got["shift"]["min"] == 1800.0
+
+
+def test_benefit_lines_and_join_unique(spark):
+    got = one_col(spark, ["- Бесплатные обеды\n• Форма\nДружный коллектив\n  - оплата проезда"], X.benefit_lines)
+    assert got == [["Бесплатные обеды", "Форма", "оплата проезда"]]
+    df = spark.createDataFrame([(["ДМС", " дмс ", "<b>Питание</b>", "", "питание", "Форма"],)], "a array<string>")
+    assert df.select(X.join_unique(F.col("a"))).collect()[0][0] == "ДМС; Питание; Форма"
