@@ -370,3 +370,61 @@ def q_coerce_num(spark, sf_dir):
             .unionAll(p.select("posting_id", F.coalesce("schedule", F.lit("")).alias("raw")))
             .unionAll(p.select("posting_id", F.replace(F.col("shift_hours").cast("string"), F.lit("."), F.lit(",")).alias("raw"))))
     return raw.select("posting_id", coerce_number(F.col("raw")).alias("value"))
+
+
+# ------------------------------------------------------------------ E2: board pipeline --
+NORMALIZED_COLS = ["external_id", "url", "city", "region", "title", "company", "salary_from_k", "salary_to_k",
+                   "hourly_rate", "shift_income", "schedule", "work_format", "experience", "duties", "requirements",
+                   "conditions", "working_hours", "published", "contacts", "calc_notes"]
+
+
+def normalized_records(spark, sf_dir, min_salary=None, max_salary=None, city="Москва"):
+    return normalize_board(board_records(spark, sf_dir), min_salary, max_salary, city)
+
+
+def normalize_board(board, min_salary=None, max_salary=None, city="Москва"):
+    """Board records -> one normalised row per posting: shift params (M5),
+    period conversion (M4), defaults (P10), work format (T8), experience
+    bucket (T9), merged conditions (T10), calc trail (P12); then the
+    completeness merge per id (A13), the salary band (F4) and rounding."""
+    from ..operators import relational as R
+    from ..operators.filters import salary_band
+    m = pay.salary_notes(pay.monthly_pay(pay.shift_params(board), pay_from="salary_from", pay_to="salary_to"))
+    m = m.withColumn("calc_notes", pay.calc_trail(F.col("param_notes"), F.col("salary_notes"), F.col("schedule"),
+                                                  F.col("hours_per_shift"), F.col("shifts_per_month")))
+    hours_txt = X.join_unique(F.col("raw_matches"))
+    row = m.select(
+        "external_id", "seq", F.col("url_detail").alias("url"),
+        clean_text(F.coalesce(F.col("location_city"), F.lit(city))).alias("city"),
+        F.lit(city).alias("region"),
+        clean_text(F.col("title")).alias("title"),
+        F.coalesce(F.nullif(clean_text(F.col("employer_name")), F.lit("")), F.lit(lx.NO_COMPANY)).alias("company"),
+        "salary_from_k", "salary_to_k", "hourly_rate", "shift_income", "schedule",
+        X.work_format([F.col("employment_type"), F.col("duties_raw"), F.lit(None).cast("string"),
+                       F.col("conditions_raw"), hours_txt], F.col("schedule")).alias("work_format"),
+        X.experience_bucket(F.col("experience_raw")).alias("experience"),
+        clean_text(F.col("duties_raw")).alias("duties"), F.lit("").alias("requirements"),
+        X.join_unique(F.split(F.coalesce(clean_text(F.col("conditions_raw")), F.lit("")), r"[\n;]")).alias("conditions"),
+        hours_txt.alias("working_hours"),
+        F.coalesce(F.col("posted_date").cast("string"), F.lit("")).alias("published"),
+        F.lit("").alias("contacts"), "calc_notes")
+    key = F.coalesce(F.col("external_id").cast("string"), F.col("url"))
+    best = R.best_record(row, key, [c for c in NORMALIZED_COLS if c != "external_id"] + ["external_id"])
+    best = salary_band(best, min_salary, max_salary)
+    return best.withColumns({c: F.bround(c, 0) for c in ("salary_from_k", "salary_to_k", "hourly_rate", "shift_income")})
+
+
+@register("board_normalized")
+def q_board_normalized(spark, sf_dir):
+    """The board pipeline's normalised table (rows-only; every step is
+    oracle-checked on its own: shift_params, monthly_pay, defaults,
+    work_format, experience_bucket, conditions_merge, calc_notes, best_record)."""
+    return normalized_records(spark, sf_dir).select(*NORMALIZED_COLS)
+
+
+@register("board_job_stats")
+def q_board_job_stats(spark, sf_dir):
+    """Per-title statistics over the normalised board table (A1 on E2)."""
+    from ..operators import marts
+    n = normalized_records(spark, sf_dir)
+    return marts.job_stats(n, measures=[("salary_from_k", "from"), ("salary_to_k", "to"), ("hourly_rate", "hourly")])

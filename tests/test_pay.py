@@ -78,3 +78,23 @@ def test_decimal_and_ambiguous(spark):
     assert r["hourly_rate"] == 400.0 and r["hourly_method"] == "exact:shift_payment_div_shift_hours"
     r = _cascade(spark, "по 12 часов, ночные смены по 10 часов", 4200.0)
     assert r["hourly_rate"] is None and r["hourly_method"] == "unresolved:ambiguous_shift_duration"
+
+
+def test_board_pipeline_example(spark):
+    from pyspark.sql import functions as F
+
+    from shiftscope.operators import marts
+    from shiftscope.plans.q_board import normalize_board
+    schema = ("external_id long, seq int, url_detail string, title string, employer_name string, location_city string, "
+              "salary_from double, salary_to double, salary_currency string, salary_period string, schedule_hint string, "
+              "shift_pattern string, shift_length_hours double, raw_matches array<string>, experience_raw string, "
+              "employment_type string, duties_raw string, conditions_raw string, posted_date date")
+    b = spark.createDataFrame([(111, 1, "https://www.avito.ru/x-111", "Бариста", None, "Москва", 4800.0, 4800.0, "RUB",
+                                "per_shift", "2/2", None, 12.0, ["2/2 по 12 часов"], "Без опыта", "Полная занятость",
+                                "Готовить кофе", "Питание; Форма", None)], schema)
+    r = normalize_board(b).collect()[0]
+    assert (r["salary_from_k"], r["salary_to_k"], r["hourly_rate"], r["shift_income"]) == (72.0, 72.0, 400.0, 4800.0)
+    assert r["experience"] == "без опыта" and r["company"] == "Не указано" and r["conditions"] == "Питание; Форма"
+    assert "часы/смену=12" in r["calc_notes"] and "График=2/2" in r["calc_notes"]
+    share = marts.hourly_share(normalize_board(b), hourly="hourly_rate").collect()[0]
+    assert share["total"] == 1 and share["hourly_share_pct"] == 100.0
