@@ -466,3 +466,87 @@ def q_conditions_merge(spark, sf_dir):
     p = postings(spark, sf_dir)
     items = F.concat(F.split(F.coalesce("duties_raw", F.lit("")), r"[\n;]"), F.split(F.coalesce("benefits", F.lit("")), ";"))
     return p.select("posting_id", X.join_unique(items).alias("conditions"))
+
+
+# ------------------------------------------------------------------ T4 oracle --
+_TR2 = ("(?:(?:^|" + W + ")с\\s*)?(\\d{1,2})(?::(\\d{1,2}))?\\s*(?:до|по|-|—|–)\\s*(\\d{1,2})(?::(\\d{1,2}))?")
+_HR2 = ("\\b(\\d{1,2}(?:[\\.,]\\d+)?)\\s*(?:-|‑)?\\s*(?:час(?:ов|а|овой|овая|овые|овый)?|ч\\.?(?:$|" + W + "))")
+
+
+def _any_sql(c, words):
+    return "(" + " OR ".join(f"contains({c}, {sql_str(w)})" for w in words) + ")"
+
+
+_SL_CTE = f"""
+sl0 AS (
+  SELECT posting_id, seq, trim(regexp_replace(replace(replace(translate(translate(lower(concat_ws('. ', hours_text, description)),
+         ' ', ' '), '–—−', '---'), 'ч.', 'ч'), 'час.', 'час'), '\\s+', ' ', 'g')) AS t
+  FROM postings
+),
+sl1 AS (
+  SELECT posting_id, seq, t,
+    regexp_extract_all(t, {sql_str(_TR2)}, 0) AS tm, list_transform(regexp_split_to_array(t, {sql_str(_TR2)}), lambda f: length(f)) AS tf,
+    regexp_extract_all(t, {sql_str(_HR2)}, 0) AS hm, list_transform(regexp_split_to_array(t, {sql_str(_HR2)}), lambda f: length(f)) AS hf
+  FROM sl0
+),
+tr_rows AS (
+  SELECT seq, t, m, i, CAST(coalesce(list_sum(tf[1:i]), 0)
+         + coalesce(list_sum(list_transform(tm[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT seq, t, tf, tm, unnest(tm) AS m, generate_subscripts(tm, 1) AS i FROM sl1)
+),
+tr_c AS (
+  SELECT seq, i, 3.0::DOUBLE AS w, round_even(dur, 2) AS h, 'description_time_range' AS src, 'high' AS conf FROM (
+    SELECT *, CASE WHEN d0 <= 0 THEN d0 + 24.0 ELSE d0 END AS dur FROM (
+      SELECT *, (eh + em / 60.0) - (sh + sm / 60.0) AS d0 FROM (
+        SELECT seq, i, trim(m) AS raw, substr(t, s + length(m) + 1, 6) AS tail,
+          CAST(regexp_extract(m, {sql_str(_TR2)}, 1) AS INTEGER) AS sh,
+          coalesce(TRY_CAST(nullif(regexp_extract(m, {sql_str(_TR2)}, 2), '') AS INTEGER), 0) AS sm,
+          CAST(regexp_extract(m, {sql_str(_TR2)}, 3) AS INTEGER) AS eh,
+          coalesce(TRY_CAST(nullif(regexp_extract(m, {sql_str(_TR2)}, 4), '') AS INTEGER), 0) AS em
+        FROM tr_rows)))
+  WHERE (contains(raw, ':') OR starts_with(raw, 'с ')) AND NOT {_any_sql('tail', lx.SHIFT_TAIL_STOP)}
+    AND sh BETWEEN 0 AND 23 AND eh BETWEEN 0 AND 23 AND dur BETWEEN 0.5 AND 24.0
+),
+hr_rows AS (
+  SELECT seq, t, m, i,
+         CAST(coalesce(list_sum(hf[1:i]), 0) + coalesce(list_sum(list_transform(hm[1:i - 1], lambda x: length(x))), 0)
+              AS BIGINT) AS s,
+         length(m) - (CASE WHEN regexp_matches(m, {sql_str('ч\\.?' + W + '$')}) THEN 1 ELSE 0 END) AS len
+  FROM (SELECT seq, t, hf, hm, unnest(hm) AS m, generate_subscripts(hm, 1) AS i FROM sl1)
+),
+hr_c AS (
+  SELECT seq, 1000 + i AS i,
+    (CASE WHEN {_any_sql('ctx', lx.SHIFT_BAD_WORDS)} THEN -3.0 ELSE 0.0 END)
+    + (CASE WHEN {_any_sql('ctx', lx.SHIFT_GOOD_WORDS)} THEN 3.0 ELSE 0.0 END)
+    + (CASE WHEN contains(ctx, 'смен') THEN 1.5 ELSE 0.0 END)
+    + (CASE WHEN contains(ctx, 'рабоч') OR contains(ctx, 'граф') THEN 1.0 ELSE 0.0 END)
+    + val / 50.0 AS w,
+    val AS h,
+    CASE WHEN contains(ctx, 'смен') OR contains(ctx, 'граф') THEN 'description_explicit_hours' ELSE 'heuristic' END AS src,
+    CASE WHEN contains(ctx, 'смен') OR contains(ctx, 'граф') THEN 'high' ELSE 'medium' END AS conf
+  FROM (
+    SELECT seq, i, TRY_CAST(replace(regexp_extract(m, {sql_str(_HR2)}, 1), ',', '.') AS DOUBLE) AS val,
+           substr(t, s + len + 1, 6) AS tail,
+           substr(t, greatest(s - 25, 0) + 1, s + len + 25 - greatest(s - 25, 0)) AS ctx
+    FROM hr_rows)
+  WHERE val BETWEEN 1 AND 24 AND NOT {_any_sql('tail', lx.SHIFT_TAIL_STOP)}
+),
+sl_best AS (
+  SELECT seq, arg_max(struct_pack(w := w, h := h, src := src, conf := conf), struct_pack(w := w, h := h, o := -i)) AS b,
+         count(DISTINCT round_even(h, 2)) > 1 AS amb
+  FROM (SELECT * FROM tr_c UNION ALL SELECT * FROM hr_c) GROUP BY seq
+)"""
+
+
+def _shift_len_oracle() -> str:
+    return with_postings(
+        "SELECT p.posting_id, CASE WHEN b.w > -1.0 THEN b.h END AS shift_hours,"
+        " CASE WHEN b.w > -1.0 THEN b.src ELSE 'unresolved' END AS source,"
+        " CASE WHEN b.w > -1.0 THEN (CASE WHEN amb THEN 'medium' ELSE b.conf END) ELSE 'low' END AS confidence,"
+        " coalesce(b.w > -1.0 AND amb, false) AS ambiguous"
+        " FROM postings p LEFT JOIN sl_best s ON p.seq = s.seq", _SL_CTE)
+
+
+from . import catalog as _catalog  # noqa: E402
+
+_catalog.REGISTRY["shift_len"] = _catalog.Query("shift_len", _catalog.REGISTRY["shift_len"].build, _shift_len_oracle())
