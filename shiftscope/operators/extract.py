@@ -255,10 +255,40 @@ def salary_span(text: Column) -> Column:
 
 
 # -- T11 ------------------------------------------------------------------
-def duties(text: Column, fallback: Column | None = None) -> Column:
+def with_duties(df: DataFrame, text: str, out: str = "duties", fallback: str | None = None) -> DataFrame:
+    """``duties`` staged: the stripped text, the heading start, the tail and
+    its end are columns, so the many look-ups reference them instead of
+    repeating each other (keeps the generated code small)."""
+    d = df.withColumn("_dt", strip_html(F.col(text)))
+    d = d.withColumn("_dl", F.lower("_dt"))
+    start = None
+    for h in lx.DUTY_HEADINGS:
+        for sep in (":", " :"):
+            i = F.locate(h + sep, F.col("_dl"))
+            cand = F.when(i > 0, i - 1 + F.lit(len(h) + len(sep)))
+            start = cand if start is None else F.coalesce(start, cand)
+    d = d.withColumn("_st", start)
+    d = d.withColumn("_tail", F.substring(F.col("_dt"), F.col("_st") + 1, F.lit(1 << 30)))
+    d = d.withColumn("_tl", F.lower("_tail"))
+    ends = [F.when(F.locate(nh + ":", F.col("_tl")) > 0, F.locate(nh + ":", F.col("_tl")) - 1)
+            for nh in lx.DUTY_NEXT_HEADINGS]
+    d = d.withColumn("_end", F.coalesce(F.least(*ends), F.length("_tail")))
+    body = F.trim(F.regexp_replace(F.substring(F.col("_tail"), F.lit(1), F.col("_end")), r"^[\s\-•—]+", ""))
+    fb = F.col(fallback) if fallback else F.lit(None).cast("string")
+    txt = F.col("_dt")
+    bullets = F.when(txt.rlike("^[—\\-•]"), F.btrim(txt, F.lit(" -•—\t")))
+    no_head = F.coalesce(F.when(F.coalesce(bullets, F.lit("")) != "", F.substring(bullets, 1, 3000)), fb,
+                         F.when(txt != "", F.substring(txt, 1, 3000)))
+    d = d.withColumn("_body", body)
+    d = d.withColumn(out, F.when(F.col("_st").isNull(), no_head).otherwise(
+        F.when(F.col("_body") != "", F.substring(F.col("_body"), 1, 3000)).otherwise(fb)))
+    return d.drop("_dt", "_dl", "_st", "_tail", "_tl", "_end", "_body")
+
+
+def duties(text: Column, fallback: Column | None = None, stripped: bool = False) -> Column:
     """Section after a duties heading up to the next heading (<= 3000
     chars); without a heading: bullet lines, else fallback, else text."""
-    txt = strip_html(text)
+    txt = text if stripped else strip_html(text)
     low = F.lower(txt)
     start = None
     for h in lx.DUTY_HEADINGS:

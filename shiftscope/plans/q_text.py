@@ -283,7 +283,8 @@ def _duties_sql(c: str) -> str:
 
 @register("duties", with_postings(f"SELECT posting_id, duties FROM {_duties_sql('duties_raw')}"))
 def q_duties(spark, sf_dir):
-    return postings(spark, sf_dir).select("posting_id", X.duties(F.col("duties_raw")).alias("duties"))
+    return X.with_duties(postings(spark, sf_dir).select("posting_id", "duties_raw"), "duties_raw").select(
+        "posting_id", "duties")
 
 
 # ------------------------------------------------------------------ T12 ---
