@@ -38,8 +38,13 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     reg = load_all()
-    for n in names:  # warm-up: JIT, file listing, codegen caches
-        run(reg[n].build(spark, sf_dir))
+    # warm-up (JIT, codegen cache, Python workers) on the smaller scale factor
+    # when it sits next to the timed one: same plans, a fraction of the time
+    warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+    if not os.path.isdir(warm_dir):
+        warm_dir = sf_dir
+    for n in names:
+        run(reg[n].build(spark, warm_dir))
     times = {}
     for n in names:
         ts = []
@@ -48,7 +53,11 @@ def main() -> None:
             run(reg[n].build(spark, sf_dir))
             ts.append(time.perf_counter() - t0)
         times[n] = round(statistics.median(ts), 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    sf_txt = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(sf_txt)
+    except ValueError:
+        sf = sf_txt
     print(json.dumps({"metric": "sum_median_query_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus), "reps": reps}))
 
