@@ -8,49 +8,16 @@ values (floats rounded to 9 significant digits), like the round checker.
 
 from __future__ import annotations
 
-import datetime as dt
-import hashlib
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
 from shiftscope.plans.catalog import load_all  # noqa: E402
+from shiftscope.plans.compare import compare, duck  # noqa: E402
 from shiftscope.session import build_session  # noqa: E402
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return float(f"{v:.9g}")
-    if isinstance(v, (dt.datetime, dt.date)):
-        return v.isoformat()
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
-    if hasattr(v, "asDict"):
-        return norm(v.asDict())
-    if hasattr(v, "tolist"):
-        return norm(v.tolist())
-    return v
-
-
-def digest(cols, rows):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    keyed = sorted(repr(tuple(norm(r[i]) for i in order)) for r in rows)
-    return hashlib.sha256("\n".join(keyed).encode()).hexdigest()[:16], keyed
-
 
 def main():
     args = sys.argv[1:]
@@ -60,46 +27,25 @@ def main():
     reg = load_all()
     names = args or list(reg)
     spark = build_session("local[8]")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    con = duck(sf_dir)
     bad = 0
     for name in names:
         q = reg[name]
         t0 = time.time()
         try:
-            sdf = q.build(spark, sf_dir)
-            scols = sdf.columns
-            srows = [tuple(r) for r in sdf.collect()]
-        except Exception as e:  # noqa: BLE001
-            print(f"{name:24s} SPARK ERROR {str(e)[:400]}")
-            bad += 1
-            continue
-        ts = time.time() - t0
-        if q.sql is None:
-            print(f"{name:24s} rows={len(srows)} (no oracle) {ts:.1f}s")
-            continue
-        try:
-            cur = con.execute(q.sql)
-            ocols = [d[0] for d in cur.description]
-            orows = cur.fetchall()
+            df = q.build(spark, sf_dir)
+            if q.sql is None:
+                n = df.count()
+                print(f"{name:24s} rows={n} (no oracle) {time.time() - t0:.1f}s")
+                continue
+            ok, detail = compare(df, con, q.sql)
         except Exception as e:  # noqa: BLE001
-            print(f"{name:24s} ORACLE ERROR {str(e)[:400]}")
+            print(f"{name:24s} ERROR {str(e)[:400]}")
             bad += 1
             continue
-        ok_cols = sorted(scols) == sorted(ocols)
-        hs, ks = digest(scols, srows)
-        ho, ko = digest(ocols, orows)
-        status = "OK" if (ok_cols and len(srows) == len(orows) and hs == ho) else "MISMATCH"
-        if status != "OK":
+        if not ok:
             bad += 1
-        print(f"{name:24s} {status} rows={len(srows)}/{len(orows)} cols={'ok' if ok_cols else (scols, ocols)} {ts:.1f}s")
-        if status != "OK" and ok_cols:
-            sset, oset = set(ks), set(ko)
-            for x in list(sset - oset)[:3]:
-                print("   spark only:", x[:300])
-            for x in list(oset - sset)[:3]:
-                print("   oracle only:", x[:300])
+        print(f"{name:24s} {'OK' if ok else 'MISMATCH'} {detail[:600]} {time.time() - t0:.1f}s")
     print(f"{len(names) - bad}/{len(names)} ok")
 
 
