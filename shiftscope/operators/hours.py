@@ -43,9 +43,11 @@ def _any_contains(c: Column, words) -> Column:
     return out
 
 
-def reason(line: Column) -> Column:
-    """Why a line (or joined lines) is a working-hours candidate, or NULL."""
+def reason(line: Column, sched: Column | None = None) -> Column:
+    """Why a line (or joined lines) is a working-hours candidate, or NULL.
+    ``sched``: the line's schedule list when already computed."""
     low = F.lower(line)
+    sched = X.schedule_list(line) if sched is None else sched
     timey = (line.rlike(U + TIME_RANGE_RE) | line.rlike(U + FROM_TO_RE) | line.rlike(U + SIMPLE_RANGE_RE))
     return (F.when(low.rlike(U + lx.FLEXIBLE_RE), F.lit("flexible"))
              .when(low.rlike(U + lx.IS247_RE), F.lit("247"))
@@ -53,7 +55,7 @@ def reason(line: Column) -> Column:
              .when(_any_contains(low, lx.WORK_SECTION_HINTS) & timey, F.lit("section-range"))
              # any shift word triggers: the length result is always truthy there
              .when(_any_contains(low, SHIFT_WORDS), F.lit("shift-length"))
-             .when(X.schedule_list(line).isNotNull(), F.lit("schedule")))
+             .when(sched.isNotNull(), F.lit("schedule")))
 
 
 def candidates(ctx: DataFrame) -> DataFrame:
@@ -71,7 +73,10 @@ def candidates(ctx: DataFrame) -> DataFrame:
     j1 = F.when(F.coalesce(n1, F.lit("")) != "", F.concat_ws(" ", l, n1))
     j2 = F.when(j1.isNotNull() & (F.coalesce(n2, F.lit("")) != ""), F.concat_ws(" ", l, n1, n2))
     j3 = F.when(j2.isNotNull() & (F.coalesce(n3, F.lit("")) != ""), F.concat_ws(" ", l, n1, n2, n3))
-    e = e.withColumns({"_r0": reason(l), "_hint": _any_contains(F.lower(l), lx.WORK_SECTION_HINTS)})
+    # the line's schedule list is computed once: the trigger test and the
+    # candidate normalisation both need it
+    e = e.withColumn("_s0", X.schedule_list(l))
+    e = e.withColumns({"_r0": reason(l, F.col("_s0")), "_hint": _any_contains(F.lower(l), lx.WORK_SECTION_HINTS)})
     e = e.withColumn("_r1", F.when(F.col("_r0").isNull() & F.col("_hint"), reason(j1)))
     e = e.withColumn("_r2", F.when(F.col("_r0").isNull() & F.col("_hint") & F.col("_r1").isNull(), reason(j2)))
     e = e.withColumn("_r3", F.when(F.col("_r0").isNull() & F.col("_hint") & F.col("_r1").isNull()
@@ -79,15 +84,17 @@ def candidates(ctx: DataFrame) -> DataFrame:
     raw = (F.when(F.col("_r0").isNotNull(), l).when(F.col("_r1").isNotNull(), j1)
             .when(F.col("_r2").isNotNull(), j2).when(F.col("_r3").isNotNull(), j3))
     why = F.coalesce("_r0", "_r1", "_r2", "_r3")
-    c = e.select("id", "ctx", "url", "selector", "weight", "line_no", F.trim(raw).alias("raw"), why.alias("reason"))
+    c = e.select("id", "ctx", "url", "selector", "weight", "line_no", F.trim(raw).alias("raw"), why.alias("reason"),
+                 F.col("_r0").isNotNull().alias("sched_done"), F.col("_s0").alias("sched_known"))
     # unique raw text per context, first occurrence kept.  Non-trigger lines
     # get a NULL order (skipped by min_by) and are dropped on the aggregate
     # output: a filter on the computed reason would be pushed down with all
     # staged reason columns inlined into it.
-    keep = F.min_by(F.struct("line_no", "url", "selector", "weight", "reason"),
+    keep = F.min_by(F.struct("line_no", "url", "selector", "weight", "reason", "sched_done", "sched_known"),
                     F.when(F.col("reason").isNotNull(), F.col("line_no")))
     return c.groupBy("id", "ctx", "raw").agg(keep.alias("_k")).where(F.col("_k").isNotNull()).select(
-        "id", "ctx", F.col("_k.line_no").alias("line_no"), "_k.url", "_k.selector", "_k.weight", "raw", "_k.reason")
+        "id", "ctx", F.col("_k.line_no").alias("line_no"), "_k.url", "_k.selector", "_k.weight", "raw", "_k.reason",
+        "_k.sched_done", "_k.sched_known")
 
 
 # ---------------------------------------------------------------- times ---
@@ -210,7 +217,10 @@ def normalize(cands: DataFrame) -> DataFrame:
     no_days = F.struct(F.array().cast(BY_DAY_T).alias("days"), F.array().cast("array<string>").alias("notes"))
     dayish = F.col("raw").rlike(U + DAY_TOKEN_RE) | F.lower("raw").rlike(
         U + r"ежеднев|daily|каждый\s+день|щодн|будн|weekdays|выходн|weekend")
-    c = cands.withColumns({"_low": F.lower("raw"), "_sched": X.schedule_list(F.col("raw")),
+    known = F.coalesce(F.col("sched_done"), F.lit(False)) if "sched_done" in cands.columns else F.lit(False)
+    prior = F.col("sched_known") if "sched_known" in cands.columns else F.lit(None).cast("string")
+    c = cands.withColumns({"_low": F.lower("raw"),
+                           "_sched": F.when(known, prior).otherwise(X.schedule_list(F.col("raw"))),
                            "_bd": F.when(dayish, by_days(F.col("raw"))).otherwise(no_days)})
     c = c.withColumns({"_247": F.col("_low").rlike(U + lx.IS247_RE),
                        "_shw": _any_contains(F.col("_low"), SHIFT_WORDS),
@@ -240,8 +250,10 @@ def working_hours(contexts: DataFrame) -> DataFrame:
     normalized{by_days, is_247, shift_based}, source[{selector, url}]."""
     n = normalize(candidates(contexts))
     order = F.struct(F.col("ctx"), F.col("line_no"))
+    # (confidence, weight), then the earliest candidate; the text settles
+    # any remaining tie so the pick never depends on row arrival order
     rank = F.struct(F.col("confidence"), F.coalesce(F.col("weight"), F.lit(0)), (-F.col("ctx")).alias("c"),
-                    (-F.col("line_no")).alias("l"))
+                    (-F.col("line_no")).alias("l"), F.col("raw"))
     best = F.struct("normalized", "schedule_hint", "confidence", "lang", "notes")
     g = n.groupBy("id").agg(
         F.max_by(best, rank).alias("b"),

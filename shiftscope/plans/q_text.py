@@ -403,8 +403,9 @@ def hours_contexts(spark, sf_dir):
                  F.lit(6).alias("weight")),
         F.struct(F.lit(1).alias("ctx"), F.col("description").alias("text"), F.lit("description").alias("selector"),
                  F.lit(10).alias("weight")))
-    # one scan of the postings, two context rows per posting
-    return (p.select(F.col("posting_id").alias("id"), "url", F.explode(ctxs).alias("c"))
+    # one scan of the postings, two context rows per posting; the id is the
+    # unique row order (posting ids repeat), so no two postings share a key
+    return (p.select(F.struct("posting_id", "seq").alias("id"), "url", F.explode(ctxs).alias("c"))
              .select("id", "c.ctx", "c.text", "url", "c.selector", "c.weight").where(F.col("text").isNotNull()))
 
 
@@ -413,7 +414,7 @@ def q_working_hours(spark, sf_dir):
     """Working hours per posting (rows-only check; nested result)."""
     from ..operators.hours import working_hours
     wh = working_hours(hours_contexts(spark, sf_dir))
-    return wh.select("id", "schedule_hint", "confidence", "lang", "notes",
+    return wh.select(F.col("id.posting_id").alias("posting_id"), "schedule_hint", "confidence", "lang", "notes",
                      F.size("normalized.by_days").alias("n_day_rules"), F.col("normalized.is_247").alias("is_247"),
                      F.col("normalized.shift_based.shift_length_hours").alias("shift_hours"),
                      F.size("raw_matches").alias("n_matches"))
@@ -424,7 +425,8 @@ def q_weekday_hours(spark, sf_dir):
     """Per-day opening hours exploded from the working-hours result."""
     from ..operators.hours import working_hours
     wh = working_hours(hours_contexts(spark, sf_dir))
-    return wh.select("id", F.explode("normalized.by_days").alias("d")).select("id", "d.day", "d.start", "d.end")
+    return wh.select(F.col("id.posting_id").alias("posting_id"), F.explode("normalized.by_days").alias("d")).select(
+        "posting_id", "d.day", "d.start", "d.end")
 
 
 # ------------------------------------------------------------------ T9 (phrase) --
