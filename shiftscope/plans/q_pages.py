@@ -48,7 +48,8 @@ def q_strip_html(spark, sf_dir):
 @register("page_title",
           "SELECT page_id, CASE WHEN og <> '' THEN og WHEN tt <> '' THEN tt END AS title FROM ("
           " SELECT page_id, trim(" + _unescape_sql(
-              "regexp_extract(html, '(?is)<meta[^>]*property=[\"'']og:title[\"''][^>]*content=[\"'']([^\"'']*)[\"'']', 1)")
+              "regexp_extract(regexp_extract(html, '(?is)<meta[^>]*property=[\"'']og:title[\"''][^>]*>', 0),"
+              " '(?is)content=[\"'']([^\"'']*)[\"'']', 1)")
           + ") AS og, trim(" + _unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ") AS tt"
           " FROM pages)")
 def q_page_title(spark, sf_dir):

@@ -41,7 +41,9 @@ def page_text(html: Column) -> Column:
 # -- S7 ---------------------------------------------------------------------
 def page_title(html: Column) -> Column:
     """og:title content, else the <title> text (trimmed, entities decoded)."""
-    og = F.regexp_extract(html, r"(?is)<meta[^>]*property=[\"']og:title[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
+    # the og:title meta tag (attributes in any order), then its content
+    tag = F.regexp_extract(html, r"(?is)<meta[^>]*property=[\"']og:title[\"'][^>]*>", 0)
+    og = F.regexp_extract(tag, r"(?is)content=[\"']([^\"']*)[\"']", 1)
     tt = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     og = F.trim(unescape_basic(og))
     tt = F.trim(unescape_basic(tt))
