@@ -39,11 +39,25 @@ SCHED_SEP = r"\s*[/\-–xх×]\s*"
 NUM_WORDS = "|".join(sorted((w for w, _ in lx.SCHEDULE_NUMBER_WORDS), key=len, reverse=True))
 
 
-def schedule_list(text: Column, src: Column | None = None) -> Column:
-    """All schedules mentioned ('2/2, 5/2, 1/3'), first-seen order; NULL if none."""
+def schedule_text(text: Column, src: Column | None = None) -> Column:
+    """The normal form schedules are searched in: text + ' ' + source,
+    lower-cased, '–' -> '-', Cyrillic 'х' -> 'x'."""
     src = src if src is not None else F.lit("")
     t = F.concat_ws(" ", F.coalesce(text, F.lit("")), F.coalesce(src, F.lit("")))
-    t = F.translate(F.lower(t), "–х", "-x")
+    return F.translate(F.lower(t), "–х", "-x")
+
+
+def with_schedule_list(df: DataFrame, text: str, out: str = "schedules") -> DataFrame:
+    """``schedule_list`` with the normal form staged as a column, so its
+    nine regex passes read one precomputed string."""
+    d = df.withColumn("_st", schedule_text(F.col(text)))
+    return d.withColumn(out, schedule_list(F.col("_st"), prepared=True)).drop("_st")
+
+
+def schedule_list(text: Column, src: Column | None = None, prepared: bool = False) -> Column:
+    """All schedules mentioned ('2/2, 5/2, 1/3'), first-seen order; NULL if none.
+    ``prepared``: ``text`` already is ``schedule_text(...)``."""
+    t = text if prepared else schedule_text(text, src)
     word_num = lambda x: lookup([(w, str(n)) for w, n in lx.SCHEDULE_NUMBER_WORDS], x)
     parts = [
         _pairs(t, r"\b([1-9]\d?)" + SCHED_SEP + r"([1-9]\d?)\b"),

@@ -81,16 +81,16 @@ sched AS (
 
 @register("schedule_mentions", with_postings("SELECT posting_id, schedules FROM sched", SCHED_CTE))
 def q_schedule_mentions(spark, sf_dir):
-    return postings(spark, sf_dir).select("posting_id", X.schedule_list(F.col("full_text")).alias("schedules"))
+    p = postings(spark, sf_dir).select("posting_id", "full_text")
+    return X.with_schedule_list(p, "full_text").select("posting_id", "schedules")
 
 
 @register("sched_sane", with_postings(
     "SELECT posting_id, CASE WHEN regexp_full_match(trim(s), '\\d+/\\d+(?:\\s*,\\s*\\d+/\\d+)*') THEN trim(s) END AS schedule"
     " FROM (SELECT posting_id, coalesce(schedules, schedule) AS s FROM sched)", SCHED_CTE))
 def q_sched_sane(spark, sf_dir):
-    p = postings(spark, sf_dir)
-    s = F.coalesce(X.schedule_list(F.col("full_text")), F.col("schedule"))
-    return p.select("posting_id", X.sane_schedule(s).alias("schedule"))
+    p = X.with_schedule_list(postings(spark, sf_dir).select("posting_id", "full_text", "schedule"), "full_text")
+    return p.select("posting_id", X.sane_schedule(F.coalesce(F.col("schedules"), F.col("schedule"))).alias("schedule"))
 
 
 # ------------------------------------------------------------------ T7 ----
