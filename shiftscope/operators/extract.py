@@ -417,14 +417,21 @@ def _any_contains(c: Column, words: list[str]) -> Column:
     return out
 
 
-def shift_length(text: Column) -> Column:
+def with_shift_length(df: DataFrame, text: str, out: str = "shift") -> DataFrame:
+    """``shift_length`` with the normalised text staged as a column (its
+    span passes read it six times)."""
+    d = df.withColumn("_sn", _shift_norm(F.col(text)))
+    return d.withColumn(out, shift_length(F.col("_sn"), prepared=True)).drop("_sn")
+
+
+def shift_length(text: Column, prepared: bool = False) -> Column:
     """Struct(hours, raw, source, confidence, ambiguous, matches).
 
     Candidates: time ranges (weight 3, over midnight +24 h, 0.5–24 h) and
     'N часов' mentions scored on +-25 chars of context; best = max
     (weight, hours); several distinct hours -> ambiguous; a best weight
-    <= -1 leaves it unresolved."""
-    t = _shift_norm(text)
+    <= -1 leaves it unresolved.  ``prepared``: ``text`` is already normalised."""
+    t = text if prepared else _shift_norm(text)
     tr = _match_spans(t, TIME_RANGE_RE)
 
     def time_cand(x):

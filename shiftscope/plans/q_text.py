@@ -329,8 +329,8 @@ def q_rel_dates(spark, sf_dir):
 def q_shift_len(spark, sf_dir):
     """Shift-length mentions resolved per posting (rows-only check; the
     fixture tests pin the original examples)."""
-    p = postings(spark, sf_dir)
-    s = p.select("posting_id", X.shift_length(F.concat_ws(". ", "hours_text", "description")).alias("_s"))
+    p = postings(spark, sf_dir).select("posting_id", F.concat_ws(". ", "hours_text", "description").alias("_txt"))
+    s = X.with_shift_length(p, "_txt", "_s")
     return s.select("posting_id", F.col("_s.hours").alias("shift_hours"), F.col("_s.source").alias("source"),
                     F.col("_s.confidence").alias("confidence"), F.col("_s.ambiguous").alias("ambiguous"))
 
