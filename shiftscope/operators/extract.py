@@ -561,7 +561,9 @@ def rate_segments(df: DataFrame, url: str = "url", text: str = "text", order: st
     base = df.select(F.trim(F.col(url)).alias("url"), ordc.alias("ord"),
                      rate_text(F.col(text)).alias("cleaned")).where(
         (F.col("url") != "") & (F.col("cleaned") != ""))
-    low = F.lower(F.col("cleaned"))
+    base = base.withColumn("_low", F.lower(F.col("cleaned")))   # staged: read by 23 marker scans
+    low = F.col("_low")
+
     def tag(typ, k):
         return lambda x, i: F.struct(F.lit(typ).alias("type"), F.lit(k).alias("k"), i.alias("pos"),
                                      x["s"].alias("s"), F.length(x["m"]).alias("len"))

@@ -225,7 +225,9 @@ def normalize(cands: DataFrame) -> DataFrame:
     c = c.withColumns({"_247": F.col("_low").rlike(U + lx.IS247_RE),
                        "_shw": _any_contains(F.col("_low"), SHIFT_WORDS),
                        "_flex": F.col("_low").rlike(U + lx.FLEXIBLE_RE)})
-    c = c.withColumn("_sl", F.when(F.col("_sched").isNotNull() | F.col("_shw"), X.shift_length(F.col("raw"))["hours"]))
+    c = c.withColumn("_sn", X._shift_norm(F.col("raw")))
+    c = c.withColumn("_sl", F.when(F.col("_sched").isNotNull() | F.col("_shw"),
+                                   X.shift_length(F.col("_sn"), prepared=True)["hours"]))
     has_days = F.size("_bd.days") > 0
     shift = (F.when(F.col("_sched").isNotNull(), F.struct(F.col("_sched").alias("pattern"),
                                                           F.col("_sl").alias("shift_length_hours")))
