@@ -27,6 +27,9 @@ STOP_WORDS = (
     "le les et est une pour dans qui au du ou par sur"
 ).split()
 
+# A stop word counts as written in lower case, capitalised or in capitals.
+STOP_FORMS = sorted({f for w in STOP_WORDS for f in (w, w.capitalize(), w.upper())})
+
 #: (rule, metric, low, high, applies from so many words)
 RULES: list[tuple[str, str, float | None, float | None, int]] = [
     ("word_length", "mean_word_length", 2.5, 12.0, 10),
@@ -49,32 +52,28 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def repeated_words(words: Column, width: int = WINDOW) -> Column:
+def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     """Words lying in a window of ``width`` words that occurs twice or more.
 
-    Windows are compared by a 64-bit hash of their words' hashes.  Texts
+    ``hashes``: 64-bit hashes of the words; windows are compared by a hash of those.  Texts
     without a repeated window (a primitive distinct count tells) skip the
     position work.  All steps are linear or n log n in the text's length."""
-    n = F.size(words)
-
-    def from_hashes(h: Column) -> Column:
-        wins = F.transform(F.sequence(F.lit(0), n - width),
-                           lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
-        return let(wins, covered)
+    n = F.size(hashes)
+    wins = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(hashes, i, width)))
 
     def covered(w: Column) -> Column:
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(
-            let(F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), from_sorted))
+            let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), from_sorted))
 
     def from_sorted(s: Column) -> Column:
         hits = F.filter(s, lambda e, j: (F.get(s, j - 1)["x"] == e["x"]) | (F.get(s, j + 1)["x"] == e["x"]))
-        return let(F.array_sort(F.transform(hits, lambda e: e["i"])), span_total)
+        return let(F.sort_array(F.transform(hits, lambda e: e["i"])), span_total)
 
     def span_total(p: Column) -> Column:
         steps = F.transform(p, lambda x, j: F.least(F.lit(width), F.coalesce(F.get(p, j + 1) - x, F.lit(width))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    return F.when(n < width, F.lit(0)).otherwise(let(F.transform(words, lambda x: F.xxhash64(x)), from_hashes))
+    return F.when(n < width, F.lit(0)).otherwise(let(wins, covered))
 
 
 def with_metrics(df: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
@@ -87,26 +86,29 @@ def with_metrics(df: DataFrame, text: str = "text", out: str = "quality") -> Dat
         *keep,
         F.array_remove(F.split(t, rf"[{SPACE_CLASS}]+"), "").alias("__words"),
         F.filter(F.split(t, "\n"), has_word).alias("__lines"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("__symbols"))
+        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("__symbols"),
+        F.length(F.regexp_replace(t, r"[^A-Z]+", "")).alias("__caps"),
+        (F.length(t) - F.length(F.replace(t, F.lit("!!"), F.lit("!")))).alias("__excl"))
     w, lines = F.col("__words"), F.col("__lines")
+    s = s.select(*keep, "__symbols", "__caps", "__excl", "__words", "__lines",
+                 F.transform(w, lambda x: F.xxhash64(x)).alias("__hashes"))
+    h = F.col("__hashes")
     s = s.select(
-        *keep, "__symbols",
+        *keep, "__symbols", "__caps", "__excl",
         F.size(w).cast("long").alias("__n"),
         F.length(F.array_join(w, "")).cast("long").alias("__chars"),
         F.size(lines).cast("long").alias("__n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("__dup_lines"),
-        repeated_words(w).cast("long").alias("__repeats"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("__stops"),
-        F.size(F.filter(w, lambda x: x.endswith("!!"))).alias("__excl"),
-        F.size(F.filter(w, lambda x: (F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) > 1))).alias("__caps"),
-        F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).alias("__runs"),
+        repeated_words(h).cast("long").alias("__repeats"),
+        F.size(F.filter(w, lambda x: x.isin(*STOP_FORMS))).alias("__stops"),
+        F.size(F.filter(h, lambda x, i: x == F.get(h, i - 1))).alias("__runs"),
         F.size(F.filter(lines, lambda x: x.rlike(rf"^[{SPACE_CLASS}]*[-•*]"))).alias("__bullets"),
         F.size(F.filter(lines, lambda x: x.rlike(rf"(\.\.\.|…)[{SPACE_CLASS}]*$"))).alias("__dots"))
     n, nl = F.col("__n"), F.col("__n_lines")
     metrics = {
         "mean_word_length": _ratio(F.col("__chars"), n),
         "symbol_ratio": _ratio(F.col("__symbols"), n),
-        "capital_ratio": _ratio(F.col("__caps"), n),
+        "capital_ratio": _ratio(F.col("__caps"), F.col("__chars")),
         "exclamation_ratio": _ratio(F.col("__excl"), n),
         "stop_word_ratio": _ratio(F.col("__stops"), n),
         "word_run_ratio": _ratio(F.col("__runs"), n),
@@ -156,9 +158,9 @@ def op3_quality(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The same result in DuckDB SQL, from the same threshold table."""
     ws = SPACE_CLASS
-    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    stops = ", ".join(f"'{w}'" for w in STOP_FORMS)
     metric = {
-        "mean_word_length": "word_chars / nz", "symbol_ratio": "n_symbols / nz", "capital_ratio": "caps / nz",
+        "mean_word_length": "word_chars / nz", "symbol_ratio": "n_symbols / nz", "capital_ratio": "caps / nullif(word_chars, 0)",
         "exclamation_ratio": "excl / nz", "stop_word_ratio": "stops / nz", "word_run_ratio": "runs / nz",
         "duplicate_line_ratio": "n_dup_lines / nl", "bullet_line_ratio": "bullets / nl",
         "ellipsis_line_ratio": "dots / nl"}
@@ -172,8 +174,7 @@ w0 AS (SELECT r, unnest(regexp_extract_all(text, '{WORD_RE}')) AS w, generate_su
 w AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS before,
   CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o END AS win
   FROM w0 WINDOW o AS (PARTITION BY r ORDER BY i)),
-wa AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (lower(w) IN ({stops})) AS stops,
-  count(*) FILTER (w LIKE '%!!') AS excl, count(*) FILTER (upper(w) = w AND lower(w) <> w AND length(w) > 1) AS caps,
+wa AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (w IN ({stops})) AS stops,
   count(*) FILTER (w = before) AS runs FROM w GROUP BY r),
 hits AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM w WHERE win IS NOT NULL) WHERE c > 1),
 rep AS (SELECT r, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n_repeat_words
@@ -185,9 +186,11 @@ la AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_l
   FROM l0 WHERE regexp_matches(line, '[^{ws}]') GROUP BY r),
 m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS caps,
+  length(text) - length(replace(text, '!!', '!')) AS excl,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
   nullif(coalesce(n_words, 0), 0)::DOUBLE AS nz, nullif(coalesce(n_lines, 0), 0)::DOUBLE AS nl,
-  stops, excl, caps, runs, bullets, dots
+  stops, runs, bullets, dots
   FROM d LEFT JOIN wa USING (r) LEFT JOIN rep USING (r) LEFT JOIN la USING (r)),
 v AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
   concat_ws(',', {', '.join(cases)}) AS failed_rules FROM m)
