@@ -4,7 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from ..plans.catalog import Query
-from . import quality
+from . import mixing, quality, warc
 from .common import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -14,4 +14,6 @@ def _over(table: str, name: str, build, sql: str | None = None) -> None:
     QUERIES[name] = Query(name, lambda spark, sf_dir: build(read_table(spark, sf_dir, table)), sql)
 
 
+_over("documents", "op1_mixing", mixing.op1_mixing)
 _over("documents", "op3_quality", quality.op3_quality, quality.oracle_sql())
+_over("pages", "op9_warc", warc.op9_warc, warc.ORACLE_SQL)
