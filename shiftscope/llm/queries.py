@@ -4,7 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from ..plans.catalog import Query
-from . import mixing, quality, warc
+from . import langid, mixing, quality, secrets_scan, spm, warc
 from .common import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -16,4 +16,7 @@ def _over(table: str, name: str, build, sql: str | None = None) -> None:
 
 _over("documents", "op1_mixing", mixing.op1_mixing)
 _over("documents", "op3_quality", quality.op3_quality, quality.oracle_sql())
+_over("documents", "op5_secrets", secrets_scan.op5_secrets)
+_over("documents", "op6_sentencepiece", spm.op6_sentencepiece)
+_over("documents", "op8_langid", langid.op8_langid)
 _over("pages", "op9_warc", warc.op9_warc, warc.ORACLE_SQL)
