@@ -4,7 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from ..plans.catalog import Query
-from . import langid, minhash, mixing, pii, quality, secrets_scan, spm, warc
+from . import ann, langid, minhash, mixing, pii, quality, secrets_scan, spm, warc
 from .common import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,7 @@ _over("documents", "op3_quality", quality.op3_quality, quality.oracle_sql())
 _over("documents", "op4_pii", pii.op4_pii)
 _over("documents", "op5_secrets", secrets_scan.op5_secrets)
 _over("documents", "op6_sentencepiece", spm.op6_sentencepiece)
+_over("embeddings", "op7_ann", ann.op7_ann)
 _over("documents", "op8_langid", langid.op8_langid)
 _over("pages", "op9_warc", warc.op9_warc, warc.ORACLE_SQL)
 _over("documents", "op10_minhash", minhash.op10_minhash, minhash.ORACLE_SQL)
