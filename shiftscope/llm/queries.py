@@ -4,7 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from ..plans.catalog import Query
-from . import ann, langid, minhash, mixing, pii, quality, secrets_scan, spm, warc
+from . import ann, langid, lm, minhash, mixing, pii, quality, secrets_scan, spm, warc
 from .common import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -15,6 +15,7 @@ def _over(table: str, name: str, build, sql: str | None = None) -> None:
 
 
 _over("documents", "op1_mixing", mixing.op1_mixing)
+_over("documents", "op2_lm", lm.op2_lm)
 _over("documents", "op3_quality", quality.op3_quality, quality.oracle_sql())
 _over("documents", "op4_pii", pii.op4_pii)
 _over("documents", "op5_secrets", secrets_scan.op5_secrets)
