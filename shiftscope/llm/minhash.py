@@ -11,10 +11,11 @@
    leader only; the distinct pairs are verified by the exact Jaccard
    similarity of the full sets.  Connected components follow from the links.
 4. *The rest*.  A bucket of three or more members that still spans several
-   components may hide links between non-leaders.  Its members meet in
-   blocks of at most ``CELL`` per side; pairs of different components whose
-   whole signatures agree well enough are verified in the same way.  So each
-   pair that shares a bucket is either connected already or verified.
+   components may hide links between members.  The nodes of such buckets
+   meet in cells of two parts of bounded size, where the exact similarity of
+   all pairs of different components comes from a product of incidence
+   matrices.  So each pair that shares a bucket is connected already or
+   compared exactly, and only links leave a cell.
 
 A pair at the threshold shares no bucket with probability
 ``(1 - 0.8 ** ROWS) ** BANDS`` (3e-6).  Components are found by alternating
@@ -45,8 +46,8 @@ D = 1 << 22        # universe of the permutations
 BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 PERCENT = 80
-CELL = 256         # members of a bucket that meet in one task, per side
-MARGIN = 0.16      # five standard deviations of a 160-coordinate estimate
+CELL = 512         # nodes of one part of a cell, and their shingles
+CELL_SHINGLES = 1_000_000
 SLICE = 1 << 21    # bytes hashed at once
 SEED = 7
 BROADCAST_ROWS = 2_000_000
@@ -182,7 +183,7 @@ def _node(shingles: np.ndarray) -> int:
 
 def sketch(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     """``row`` columns of ``docs`` but the text, with ``n_shingles, node,
-    bands array<long>, sig binary`` (low byte of each coordinate)."""
+    bands array<long>``."""
     rest = [c for c in docs.columns if c != text]
     at, pick = docs.columns.index(text), [docs.columns.index(c) for c in rest]
 
@@ -203,15 +204,13 @@ def sketch(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
                 bands = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, (part.num_rows + 1) * BANDS, BANDS, dtype=np.int32)),
                     pa.array(key.view(np.int64).ravel()))
-                low = (sigs & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in pick], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), bands,
-                     pa.array([x.tobytes() for x in low], pa.binary())],
-                    names=[*rest, "n_shingles", "node", "bands", "sig"])
+                    [*[part.column(i) for i in pick], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), bands],
+                    names=[*rest, "n_shingles", "node", "bands"])
 
     from pyspark.sql import types as T
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()),
-                           T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+                           T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.mapInArrow(run, schema)
 
 
@@ -277,34 +276,124 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside buckets (``bucket, node, root, n,
-    sig, leader, size``), leaders left out, filtered by signature agreement."""
-    least = percent / 100 - MARGIN
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``bucket, node, root`` of the buckets that span several components."""
+    rooted = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    spans = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    return rooted.join(spans, "bucket")
+
+
+def _joined(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after more links: only the components that the links
+    touch are worked on."""
+    if found.isEmpty():
+        return comps
+    ra, rb = (comps.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    edges = found.join(ra, "a", "left").join(rb, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = cut_lineage(components(edges))
+    moved = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return comps.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(more)
+
+
+def _rest_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the nodes of open buckets (``bucket,
+    node, root``), from exact similarities.
+
+    Nodes that open buckets join form a group.  Its largest component and its
+    other nodes are dealt out to parts; every pair of parts but two of the
+    largest component is a cell, whose similarities come from one product of
+    incidence matrices.  A cell returns at most one link for every component
+    it joins, so what leaves the cells never grows with the pairs."""
+    lead = rest.groupBy("bucket").agg(F.min("node").alias("a"))
+    of = components(rest.join(lead, "bucket").select("a", F.col("node").alias("b")).distinct())
+    nodes = rest.select("node", "root").distinct().join(of.withColumnRenamed("root", "grp"), "node", "left").join(sets, "node").select(
+        "node", "root", F.coalesce("grp", "node").alias("grp"), "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    nodes = cut_lineage(nodes)
+    by_root = nodes.groupBy("grp", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    grp = by_root.groupBy("grp").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.max(F.struct("c", "root", "n"))["n"].alias("n_main"), F.max("c").alias("c_main"),
+        (F.sum("c") - F.max("c")).alias("c_other"), F.sum("n").alias("n_all"))
+    deal = lambda c, n: F.ceil(F.greatest(c / CELL, n / CELL_SHINGLES)).cast("int")
+    grp = grp.select("grp", "main", deal(F.col("c_main"), F.col("n_main")).alias("p_main"),
+                     deal(F.col("c_other"), F.col("n_all") - F.col("n_main")).alias("p_other"))
+    m = nodes.join(broadcast_if(cut_lineage(grp), 200_000), "grp")
+    is_main, h = F.col("root") == F.col("main"), F.xxhash64("node")
+    part = F.when(is_main, F.pmod(h, F.col("p_main"))).otherwise(F.col("p_main") + F.pmod(h, F.col("p_other"))).cast("int")
+    others = F.sequence(F.col("p_main"), F.col("p_main") + F.col("p_other") - 1)
+    m = m.withColumn("part", part).withColumn("other", F.explode(
+        F.when(is_main, others).otherwise(F.sequence(F.lit(0), F.col("p_main") + F.col("p_other") - 1))))
+    m = m.select("grp", "node", "root", "shingles", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        x, y = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
-        a, b = x["node"].to_numpy(), y["node"].to_numpy()
-        ra, rb, na, nb = x["root"].to_numpy(), y["root"].to_numpy(), x["n"].to_numpy(), y["n"].to_numpy()
-        sa = np.frombuffer(b"".join(x["sig"]), dtype=np.uint8).reshape(-1, K)
-        sb = np.frombuffer(b"".join(y["sig"]), dtype=np.uint8).reshape(-1, K)
-        out = []
-        for k in range(len(a)):
-            ok = (rb != ra[k]) & ((b > a[k]) | (i != j))
-            ok &= 100 * np.minimum(nb, na[k]) >= percent * np.maximum(nb, na[k])
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(sb[at] == sa[k]).mean(axis=1) >= least]
-                out.append(np.stack([np.minimum(b[at], a[k]), np.maximum(b[at], a[k])], axis=1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-    parts = F.ceil(F.col("size") / CELL).cast("int")
-    m = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("bucket", "node", "root", "n", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return m.groupBy("bucket", "i", "j").applyInPandas(cell, "a long, b long").distinct()
+        x = pdf[pdf["part"] == i]
+        y = x if i == j else pdf[pdf["part"] == j]
+        if len(x) == 0 or len(y) == 0:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        same, na, nb = common_counts([np.frombuffer(z, U) for z in x["shingles"]], [np.frombuffer(z, U) for z in y["shingles"]])
+        ok = 100 * same >= percent * (na[:, None] + nb[None, :] - same)
+        ra, rb = x["root"].to_numpy(), y["root"].to_numpy()
+        ok &= ra[:, None] != rb[None, :]
+        u, v = np.nonzero(ok)
+        parent: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while parent.get(r, r) != r:
+                parent[r] = parent.get(parent[r], parent[r])
+                r = parent[r]
+            return r
+
+        out, seen = [], set()
+        for p, q in zip(u.tolist(), v.tolist()):
+            key = (ra[p], rb[q])
+            if key in seen:
+                continue
+            seen.add(key)
+            f, g = top(int(ra[p])), top(int(rb[q]))
+            if f != g:
+                parent[f] = g
+                out.append((p, q))
+        a, b = x["node"].to_numpy()[[p for p, _ in out]], y["node"].to_numpy()[[q for _, q in out]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return m.groupBy("grp", "i", "j").applyInPandas(cell, "a long, b long")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of all intersections of the sets ``x`` with the sets ``y``, and
+    the sets' sizes: incidence matrices over the common elements, multiplied
+    ``width`` elements at a time."""
+    def flat(sets):
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n
+
+    fx, rx, nx = flat(x)
+    fy, ry, ny = flat(y)
+    both = np.intersect1d(fx, fy)
+    same = np.zeros((len(x), len(y)), dtype=np.float64)
+
+    def placed(f, r):
+        at = np.searchsorted(both, f)
+        ok = at < len(both)
+        ok[ok] = both[at[ok]] == f[ok]
+        at, r = at[ok], r[ok]
+        order = np.argsort(at, kind="stable")
+        return at[order], r[order]
+
+    (ax, qx), (ay, qy) = placed(fx, rx), placed(fy, ry)
+    for lo in range(0, len(both), width):
+        w = min(width, len(both) - lo)
+        mx, my = np.zeros((len(x), w), np.float32), np.zeros((len(y), w), np.float32)
+        for m, at, q in ((mx, ax, qx), (my, ay, qy)):
+            s, e = np.searchsorted(at, (lo, lo + w))
+            m[q[s:e], at[s:e] - lo] = 1
+        same += mx @ my.T
+    return same.astype(np.int64), nx, ny
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -313,8 +402,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("blob"), "text")
     sk = cut_lineage(sketch(base, shingle))
     nodes = cut_lineage(sk.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands"),
-        F.any_value("sig").alias("sig"), F.min("blob").alias("blob")))
+        F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")))
     # the id and text hash of one row that holds the set
     rep = sk.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "blob")).alias("r")).select(
         "node", F.col("r.doc_id").alias("doc_id"), F.col("r.blob").alias("blob"))
@@ -323,28 +411,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     members = entries.join(broadcast_if(buckets, 200_000), "bucket")
     stars = cut_lineage(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        wanted = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        rows = cut_lineage(rep.join(broadcast_if(wanted, BROADCAST_ROWS), "node"))
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Full sets of the nodes ``wanted`` (``node``), from one of their rows."""
+        rows = cut_lineage(rep.join(broadcast_if(cut_lineage(wanted.distinct()), BROADCAST_ROWS), "node"))
         texts = base.join(broadcast_if(rows, BROADCAST_ROWS), [base["doc_id"].eqNullSafe(rows["doc_id"]), base["blob"] == rows["blob"]]) \
             .select("node", "text")
         # equal rows give the same set: any one of them serves
-        sets = full_sets(texts, shingle).dropDuplicates(["node"])
-        return cut_lineage(verify(pairs, sets, percent))
+        return full_sets(texts, shingle).dropDuplicates(["node"])
 
-    links = links_of(stars)
+    links = cut_lineage(verify(stars, sets_of(_ends(stars)), percent))
     comps = cut_lineage(components(links))
-    # buckets of three or more that span several components
-    rooted = (members.filter("size > 2").join(comps, "node", "left")
-              .select("bucket", "node", "leader", "size", F.coalesce("root", "node").alias("root")))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    rest = (rooted.filter("node <> leader").join(open_, "bucket")
-            .join(nodes.select("node", "n", "sig"), "node"))
-    more = cut_lineage(_rest_pairs(rest, percent).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = links_of(more)
-        if not found.isEmpty():
-            comps = cut_lineage(components(links.unionByName(found)))
+    # buckets of three or more that span several components may hide links
+    # between members
+    rest = cut_lineage(_open(members.filter("size > 2").select("bucket", "node"), comps))
+    if not rest.isEmpty():
+        found = cut_lineage(_rest_links(rest, sets_of(rest.select("node")), percent))
+        comps = cut_lineage(_joined(comps, found))
     # smallest doc_id of each component
     of = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
