@@ -121,9 +121,9 @@ def experience_bucket(raw: Column) -> Column:
              .when(t.rlike(U + r"(1|один).*?([23]|тр)[^\d]*год"), F.lit("1-3"))
              .when(t.rlike(U + r"(3|три).*?6") | t.contains("3-6"), F.lit("3-6"))
              .when(t.rlike(U + r"(6|шест).*(лет|год)"), F.lit("6+"))
-             .when(t.contains("от 1"), F.lit("1-3"))
-             .when(t.contains("от 3"), F.lit("3-6"))
-             .when(t.contains("от 5") | t.contains("от 6"), F.lit("6+"))
+             .when(t.rlike("от 1(?![0-9])"), F.lit("1-3"))
+             .when(t.rlike("от 3(?![0-9])"), F.lit("3-6"))
+             .when(t.rlike("от [56](?![0-9])") | t.rlike("от [1-9][0-9]"), F.lit("6+"))
              .otherwise(t))
 
 
@@ -145,7 +145,7 @@ def experience_phrase(text: Column) -> Column:
         st = F.struct(seg.alias("seg"), F.regexp_extract(t, U + p, 1).alias("num"),
                       F.regexp_extract(t, U + p, 2).alias("unit"))
         found = F.when(seg != "", st) if found is None else found.when(seg != "", st)
-    num = F.regexp_replace(found["num"], ",", ".").cast("double")
+    num = F.regexp_replace(found["num"], ",", ".").try_cast("double")
     vstr = F.when(num == F.floor(num), F.floor(num).cast("long").cast("string")).otherwise(num.cast("string"))
     unit = (F.when(found["unit"].startswith("месяц"),
                    F.when(vstr == "1", F.lit("месяц")).otherwise(F.lit("месяцев")))
@@ -291,38 +291,14 @@ def with_duties(df: DataFrame, text: str, out: str = "duties", fallback: str | N
     fb = F.col(fallback) if fallback else F.lit(None).cast("string")
     txt = F.col("_dt")
     bullets = F.when(txt.rlike("^[—\\-•]"), F.btrim(txt, F.lit(" -•—\t")))
-    no_head = F.coalesce(F.when(F.coalesce(bullets, F.lit("")) != "", F.substring(bullets, 1, 3000)), fb,
-                         F.when(txt != "", F.substring(txt, 1, 3000)))
+    no_head = F.coalesce(F.when(F.coalesce(bullets, F.lit("")) != "", bullets), fb,
+                         F.when(txt != "", txt))
     d = d.withColumn("_body", body)
     d = d.withColumn(out, F.when(F.col("_st").isNull(), no_head).otherwise(
-        F.when(F.col("_body") != "", F.substring(F.col("_body"), 1, 3000)).otherwise(fb)))
+        F.when(F.col("_body") != "", F.col("_body")).otherwise(fb)))
     return d.drop("_dt", "_dl", "_st", "_tail", "_tl", "_end", "_body")
 
 
-def duties(text: Column, fallback: Column | None = None, stripped: bool = False) -> Column:
-    """Section after a duties heading up to the next heading (<= 3000
-    chars); without a heading: bullet lines, else fallback, else text."""
-    txt = text if stripped else strip_html(text)
-    low = F.lower(txt)
-    start = None
-    for h in lx.DUTY_HEADINGS:
-        for sep in (":", " :"):
-            i = F.locate(h + sep, low)
-            cand = F.when(i > 0, i - 1 + F.lit(len(h) + len(sep)))
-            start = cand if start is None else F.coalesce(start, cand)
-    tail = F.substring(txt, start + 1, 1 << 30)
-    low_tail = F.lower(tail)
-    ends = [F.when(F.locate(nh + ":", low_tail) > 0, F.locate(nh + ":", low_tail) - 1) for nh in lx.DUTY_NEXT_HEADINGS]
-    end = F.coalesce(F.least(*ends), F.length(tail))
-    body = F.trim(F.regexp_replace(F.substring(tail, 1, end), r"^[\s\-•—]+", ""))
-    fb = fallback if fallback is not None else F.lit(None).cast("string")
-    bullets = F.when(txt.rlike("^[—\\-•]"), F.btrim(txt, F.lit(" -•—\t")))
-    no_head = F.coalesce(F.when(F.coalesce(bullets, F.lit("")) != "", F.substring(bullets, 1, 3000)), fb,
-                         F.when(txt != "", F.substring(txt, 1, 3000)))
-    return F.when(start.isNull(), no_head).otherwise(
-        F.when(body != "", F.substring(body, 1, 3000)).otherwise(fb))
-
-
 # -- T12 ------------------------------------------------------------------
 def relative_datetime(raw: Column, as_of: Column) -> Column:
     """today / yesterday / N hours|days|weeks ago / dd.mm[.yy[yy]] -> local
@@ -332,11 +308,11 @@ def relative_datetime(raw: Column, as_of: Column) -> Column:
     as_of = as_of.cast("timestamp_ntz")
     hh = F.regexp_extract(t, r"(\d{1,2}):(\d{2})", 1)
     mm = F.regexp_extract(t, r"(\d{1,2}):(\d{2})", 2)
-    has_time = (hh != "") & (hh.cast("int") < 24) & (mm.cast("int") < 60)
+    has_time = (hh != "") & (hh.try_cast("int") < 24) & (mm.try_cast("int") < 60)
     day0 = F.date_trunc("day", as_of)
 
     def combine(day_ts):
-        return F.when(has_time, day_ts + F.make_dt_interval(F.lit(0), hh.cast("int"), mm.cast("int"))
+        return F.when(has_time, day_ts + F.make_dt_interval(F.lit(0), hh.try_cast("int"), mm.try_cast("int"))
                       ).otherwise(day_ts)
     ago = t.contains("назад")
     n_h = F.regexp_extract(t, U + r"(\d+)\s*(?:час|ч)", 1)
@@ -347,15 +323,15 @@ def relative_datetime(raw: Column, as_of: Column) -> Column:
     mo = F.regexp_extract(t, d_re, 2)
     yy = F.regexp_extract(t, d_re, 3)
     year = (F.when(yy == "", F.year(as_of))
-             .when(F.length(yy) == 2, yy.cast("int") + 2000)
-             .otherwise(yy.cast("int")))
-    date = F.try_make_timestamp_ntz(year, mo.cast("int"), dd.cast("int"), F.lit(0), F.lit(0), F.lit(0))
+             .when(F.length(yy) == 2, yy.try_cast("int") + 2000)
+             .otherwise(yy.try_cast("int")))
+    date = F.try_make_timestamp_ntz(year, mo.try_cast("int"), dd.try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
     return (F.when(t == "", F.lit(None).cast("timestamp_ntz"))
              .when(t.contains("сегодня"), combine(day0))
              .when(t.contains("вчера"), combine(day0 - F.expr("INTERVAL 1 DAY")))
-             .when(ago & (n_h != ""), as_of - F.make_dt_interval(F.lit(0), n_h.cast("int")))
-             .when(ago & (n_d != ""), combine(F.date_trunc("day", as_of - F.make_dt_interval(n_d.cast("int")))))
-             .when(ago & (n_w != ""), combine(F.date_trunc("day", as_of - F.make_dt_interval(n_w.cast("int") * 7))))
+             .when(ago & (n_h != ""), as_of - F.make_dt_interval(F.lit(0), n_h.try_cast("int")))
+             .when(ago & (n_d != ""), combine(F.date_trunc("day", as_of - F.make_dt_interval(n_d.try_cast("int")))))
+             .when(ago & (n_w != ""), combine(F.date_trunc("day", as_of - F.make_dt_interval(F.when(n_w.try_cast("int") < 1000000, n_w.try_cast("int")) * 7))))
              .when(dd != "", F.when(date.isNotNull(), combine(date))))
 
 
@@ -437,9 +413,9 @@ def shift_length(text: Column, prepared: bool = False) -> Column:
     def time_cand(x):
         raw = F.trim(x["m"])
         g = lambda k: F.regexp_extract(x["m"], U + TIME_RANGE_RE, k)
-        sh, sm, eh, em = g(1).cast("int"), g(2), g(3).cast("int"), g(4)
-        sm = F.when(sm == "", 0).otherwise(sm.cast("int"))
-        em = F.when(em == "", 0).otherwise(em.cast("int"))
+        sh, sm, eh, em = g(1).try_cast("int"), g(2), g(3).try_cast("int"), g(4)
+        sm = F.when(sm == "", 0).otherwise(sm.try_cast("int"))
+        em = F.when(em == "", 0).otherwise(em.try_cast("int"))
         tail = x["tail"]
         dur0 = (eh + em / 60.0) - (sh + sm / 60.0)
         dur = F.when(dur0 <= 0, dur0 + 24.0).otherwise(dur0)
@@ -450,7 +426,7 @@ def shift_length(text: Column, prepared: bool = False) -> Column:
     hr = _match_spans(t, HOURS_RE)
 
     def hour_cand(x):
-        val = F.regexp_replace(F.regexp_extract(x["m"], U + HOURS_RE, 1), ",", ".").cast("double")
+        val = F.regexp_replace(F.regexp_extract(x["m"], U + HOURS_RE, 1), ",", ".").try_cast("double")
         tail = x["tail"]
         ctx = x["ctx"]
         w = (F.when(_any_contains(ctx, lx.SHIFT_BAD_WORDS), -3.0).otherwise(0.0)

@@ -12,7 +12,7 @@ keeps k rows, the driver merges k x tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -96,12 +96,12 @@ def top_benefits(df: DataFrame, col="benefits", k: int = 15) -> DataFrame:
 
 # -- A4 -------------------------------------------------------------------
 def share(df: DataFrame, key: Column) -> DataFrame:
-    """Category share in % (0.1); NULL counts as '(не указано)'.  The total
-    is a scalar subquery (one value), not a window over one partition."""
+    """Category share in % (0.1); NULL counts as '(не указано)'.  The total is
+    the sum of the (few) counts; the rows are read once."""
     cats = df.select(F.coalesce(key, F.lit(lx.UNKNOWN_LABEL)).alias("category"))
     counts = cats.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    tot = cats.select(F.count(F.lit(1))).scalar()
-    return counts.select("category", F.bround(F.col("n") * 100.0 / tot, 1).alias("share_pct"))
+    total = F.sum("n").over(Window.partitionBy())  # over one row a category
+    return counts.select("category", F.bround(F.col("n") * 100.0 / total, 1).alias("share_pct"))
 
 
 # -- A5 -------------------------------------------------------------------
@@ -157,13 +157,15 @@ def pay_summary(df: DataFrame, hourly="hourly", from_k="salary_from_k", to_k="sa
 def token_freq(df: DataFrame, col: str, k: int = 8) -> DataFrame:
     """lower, squeeze spaces, split on ; or , , trim, drop blanks; top k with
     the share of all rows (%)."""
-    n_all = df.select(F.count(F.lit(1))).scalar()  # scalar subquery, one value
-    norm = F.regexp_replace(F.lower(F.col(col)), r"\s+", " ")
-    toks = (df.where(F.col(col).isNotNull())
-              .select(F.explode(F.split(norm, "[;,]")).alias("t"))
-              .select(F.trim(F.col("t")).alias("token")).where(F.col("token") != ""))
-    top = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(k)
-    return top.select("token", "n", (F.col("n") * 100.0 / n_all).alias("pct"))
+    norm = F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\s+", " ")
+    toks = F.filter(F.transform(F.split(norm, "[;,]"), lambda t: F.trim(t)), lambda t: t != "")
+    # a NULL entry stands for the row itself: rows and tokens in one aggregation
+    entries = df.select(F.explode(F.concat(toks, F.array(F.lit(None).cast("string")))).alias("token"))
+    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    n_all = F.max(F.when(F.col("token").isNull(), F.col("n"))).over(Window.partitionBy())
+    # the row count leads the ranking, so the top k + 1 hold it and the top k tokens
+    top = counts.orderBy(F.col("token").isNotNull(), F.desc("n"), "token").limit(k + 1)
+    return top.select("token", "n", (F.col("n") * 100.0 / n_all).alias("pct")).where(F.col("token").isNotNull())
 
 
 # -- A12 ------------------------------------------------------------------

@@ -218,8 +218,8 @@ def salary_notes(df: DataFrame, pay_from="salary_from", pay_to="salary_to", peri
         F.when(~ok, F.concat(F.lit("Валюта "), cur, F.lit(" не поддерживается"))),
         F.when(ok & per.isin("per_hour", "hour") & f.isNull() & t.isNotNull(),
                F.lit("Ставка в час дана только максимумом — расчёт пропущен")),
-        F.when(ok & (F.col("salary_from_k") < 0), F.lit("ЗП от < 0 — очищено")),
-        F.when(ok & (F.col("salary_to_k") < 0), F.lit("ЗП до < 0 — очищено")),
+        F.when(ok & (f < 0), F.lit("ЗП от < 0 — очищено")),
+        F.when(ok & (t < 0), F.lit("ЗП до < 0 — очищено")),
     ))
     return df.withColumn("salary_notes", notes)
 

@@ -99,11 +99,10 @@ def drop_shift_rated(df: DataFrame, rates: DataFrame, url: str = "url") -> DataF
     shift_urls = (rates.where(F.lower(F.col("type")) == "shift")
                        .select(F.trim(F.col("url")).alias("_u")).where(F.col("_u") != "").distinct())
     # rows without a URL always stay: they get a surrogate key that can
-    # never match a URL and is unique per row, so they spread over the
-    # shuffle instead of piling up under one NULL key (single pass)
+    # never match a URL and comes from the row's content, so they spread over
+    # the shuffle, and a task that runs again sends them to the same place
     u = F.trim(F.col(url))
-    surrogate = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"),
-                         F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    surrogate = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
     keyed = df.withColumn("_u", F.when(u.isNull() | (u == ""), surrogate).otherwise(u))
     return keyed.join(shift_urls, "_u", "left_anti").drop("_u")
 

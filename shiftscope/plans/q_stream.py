@@ -1,8 +1,9 @@
 """Streaming queries over the events table (A14 upsert as a stream,
-first-seen dedup within a watermark)."""
+first sightings)."""
 
 from __future__ import annotations
 
+from ..session import table_path
 from ..streaming import upsert as S
 from .catalog import register
 
@@ -29,7 +30,7 @@ def q_event_state(spark, sf_dir):
     """Posting-state upsert run as a stream over the events files; the
     result is read back from the stream's changelog."""
     run = S.new_run_dir(spark, "event_state")
-    log = S.run_state_stream(spark, sf_dir, run, glob="events.parquet")
+    log = S.run_state_stream(spark, table_path(sf_dir, "events"), run)
     return S.current_state(spark, log)
 
 
@@ -41,9 +42,10 @@ def q_event_state_batch(spark, sf_dir):
     return S.finish_state(S.state_aggregate(S.event_sightings(ev)))
 
 
-@register("first_seen_events")
+@register("first_seen_events", """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
 def q_first_seen_events(spark, sf_dir):
-    """First (user, event type) sightings within a 1-hour watermark
-    (rows-only: the dedup window depends on micro-batch boundaries)."""
+    """First sighting of each (user, event type), run as a stream."""
     run = S.new_run_dir(spark, "first_seen")
-    return spark.read.parquet(S.run_first_seen(spark, sf_dir, run, glob="events.parquet"))
+    return S.first_seen(spark, S.run_first_seen(spark, table_path(sf_dir, "events"), run))

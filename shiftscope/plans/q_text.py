@@ -272,9 +272,9 @@ def _duties_sql(c: str) -> str:
                      for nh in lx.DUTY_NEXT_HEADINGS)
     return f"""(SELECT posting_id,
         CASE WHEN st IS NULL THEN coalesce(
-               CASE WHEN regexp_matches(txt, '^[—\\-•]') AND trim(txt, ' -•—\t') <> '' THEN substr(trim(txt, ' -•—\t'), 1, 3000) END,
-               CASE WHEN txt <> '' THEN substr(txt, 1, 3000) END)
-             WHEN body <> '' THEN substr(body, 1, 3000) END AS duties
+               CASE WHEN regexp_matches(txt, '^[—\\-•]') AND trim(txt, ' -•—\t') <> '' THEN trim(txt, ' -•—\t') END,
+               CASE WHEN txt <> '' THEN txt END)
+             WHEN body <> '' THEN body END AS duties
       FROM (SELECT *, trim(regexp_replace(substr(tail, 1, coalesce(least({ends}), length(tail))), '^[\\s\\-•—]+', '')) AS body
             FROM (SELECT *, substr(txt, st + 1) AS tail
                   FROM (SELECT posting_id, txt, coalesce({', '.join(starts)}) AS st

@@ -60,7 +60,7 @@ def meta_description(html: Column) -> Column:
 JSONLD_RE = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 JOBPOSTING_SCHEMA = ("struct<`@type`:string,title:string,name:string,description:string,"
                      "hiringOrganization:struct<name:string>,datePosted:string,"
-                     "baseSalary:struct<value:struct<minValue:double,value:double,maxValue:double>>>")
+                     "baseSalary:struct<value:struct<minValue:string,value:string,maxValue:string>>>")
 
 
 def jsonld_postings(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -72,10 +72,12 @@ def jsonld_postings(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         id_col, "bpos",
         F.posexplode(F.coalesce(F.from_json(F.col("js"), f"array<{JOBPOSTING_SCHEMA}>"),
                                 F.array(F.from_json(F.col("js"), JOBPOSTING_SCHEMA)))).alias("opos", "o"))
-    jp = objs.where(F.col("o.`@type`") == "JobPosting")
+    # a type may be a name or a list of names (which reads as its JSON text)
+    kind = F.col("o.`@type`")
+    jp = objs.where((kind == "JobPosting") | F.array_contains(F.coalesce(F.from_json(kind, "array<string>"), F.array().cast("array<string>")), "JobPosting"))
     first = jp.groupBy(id_col).agg(F.min_by(F.col("o"), F.struct("bpos", "opos")).alias("o"))
-    vmin = F.coalesce(F.col("o.baseSalary.value.minValue"), F.col("o.baseSalary.value.value"))
-    vmax = F.col("o.baseSalary.value.maxValue")
+    vmin = F.coalesce(F.col("o.baseSalary.value.minValue"), F.col("o.baseSalary.value.value")).try_cast("double")
+    vmax = F.col("o.baseSalary.value.maxValue").try_cast("double")
     date = F.split(F.split(F.col("o.datePosted"), "T", 2).getItem(0), r"\+", 2).getItem(0)
     return first.select(
         id_col,

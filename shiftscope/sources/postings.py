@@ -6,11 +6,10 @@ Every column is a pure function of the joined row, so the same view can
 be stated in SQL for the DuckDB oracle (``plans.oracle.POSTINGS_SQL``).
 
 Scale notes: only the 7 lineitem columns the view needs are read
-(column pruning reaches the parquet scan).  ``supplier``/``nation`` are
-joined first so AQE can turn those joins into broadcasts when they are
-small at runtime (it checks the real size; no hint is forced on a table
-that grows with the scale factor); ``part`` and ``orders`` are
-shuffle joins on their keys.
+(column pruning reaches the parquet scan).  ``supplier`` meets ``nation``
+before the lines, so no join of lines runs on 25 keys; AQE turns joins
+into broadcasts when a side is small at runtime (it checks the real size;
+no hint is forced on a table that grows with the scale factor).
 """
 
 from __future__ import annotations
@@ -38,27 +37,18 @@ def _case(key: Column, values: list, default=None) -> Column:
     return expr.otherwise(d)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Row-wise text work is CPU-bound: when a scan yields fewer input
-    splits than the cluster has cores (e.g. one big parquet row group),
-    spread the pruned rows round-robin first.  At scale the scan already
-    has far more splits than cores and this is a no-op (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(read_table(spark, sf_dir, "lineitem").select(*SEQ_FIELDS))
+    """Lines are partitioned by order once: the orders join reuses that
+    partitioning, and the row-wise text work that follows is spread over it."""
+    li = read_table(spark, sf_dir, "lineitem").select(*SEQ_FIELDS).repartition(F.col("l_orderkey"))
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    home = supp.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return (li.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-              .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey"))
-              .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+    return (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(home, F.col("l_suppkey") == F.col("s_suppkey"))
+              .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

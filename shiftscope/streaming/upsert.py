@@ -1,5 +1,5 @@
-"""Streaming posting upsert (A14 as Structured Streaming) and first-seen
-dedup.
+"""Streaming posting upsert (A14 as Structured Streaming) and first
+sightings.
 
 Sightings arrive as files; a stateful streaming aggregation keeps, per
 posting, the last sighting, the last failed / flagged sighting orders and
@@ -61,27 +61,34 @@ def finish_state(g: DataFrame) -> DataFrame:
         (F.col("n") - 1).alias("repeats"))
 
 
-def _source(spark: SparkSession, source_dir: str, glob: str | None, max_files: int) -> DataFrame:
-    r = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(source_dir)
+def _source(spark: SparkSession, source: str, max_files: int | None) -> DataFrame:
+    """Stream over a folder of part files, or over one single file."""
+    r = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return r.parquet(source)
+    return r.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
 
 
-def run_state_stream(spark: SparkSession, source_dir: str, run_dir: str, glob: str | None = None,
-                     max_files_per_trigger: int = 1) -> str:
-    """Drain the source folder (files matching ``glob``) with an
-    availableNow trigger into the changelog; returns the changelog path."""
+def run_state_stream(spark: SparkSession, source: str, run_dir: str, max_files_per_trigger: int | None = None) -> str:
+    """Drain ``source`` (a folder or a file) with an availableNow trigger
+    into the changelog; returns the changelog path."""
     changelog, ckpt = f"{run_dir}/changelog", f"{run_dir}/checkpoint"
-    stream = _source(spark, source_dir, glob, max_files_per_trigger)
+    stream = _source(spark, source, max_files_per_trigger)
     updates = state_aggregate(event_sightings(stream))
+    _drain(updates, changelog, ckpt)
+    return changelog
+
 
+def _drain(updates: DataFrame, changelog: str, ckpt: str) -> None:
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(changelog)
     q = (updates.writeStream.outputMode("update").foreachBatch(sink)
                 .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return changelog
 
 
 def current_state(spark: SparkSession, changelog: str) -> DataFrame:
@@ -92,17 +99,24 @@ def current_state(spark: SparkSession, changelog: str) -> DataFrame:
     return finish_state(latest.select("external_id", "r.last", "r.lf", "r.lp", "r.lx", "r.n"))
 
 
-def run_first_seen(spark: SparkSession, source_dir: str, run_dir: str, glob: str | None = None,
-                   delay: str = "1 hour") -> str:
-    """First sighting of each (user, event type) within the watermark delay
-    (``dropDuplicatesWithinWatermark``), appended to an output table."""
-    out, ckpt = f"{run_dir}/first_seen", f"{run_dir}/checkpoint_fs"
-    stream = _source(spark, source_dir, glob, 1)
-    dedup = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    q = (dedup.writeStream.outputMode("append").format("parquet").option("path", out)
-              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+def first_seen_aggregate(events: DataFrame) -> DataFrame:
+    """First sighting of each (user, event type) by (ts, event_id): the
+    result does not depend on how the files fall into micro-batches."""
+    first = F.min_by(F.struct("event_id", "ts", "value", "props"), F.struct("ts", "event_id"))
+    return events.groupBy("user_id", "event_type").agg(first.alias("first"))
+
+
+def run_first_seen(spark: SparkSession, source: str, run_dir: str) -> str:
+    """The same over a stream: every batch's updated keys go to a changelog."""
+    changelog, ckpt = f"{run_dir}/first_seen", f"{run_dir}/checkpoint_fs"
+    _drain(first_seen_aggregate(_source(spark, source, None)), changelog, ckpt)
+    return changelog
+
+
+def first_seen(spark: SparkSession, changelog: str) -> DataFrame:
+    log = spark.read.parquet(changelog)
+    return (log.groupBy("user_id", "event_type").agg(F.max_by("first", "epoch").alias("f"))
+               .select("f.event_id", "f.ts", "user_id", "event_type", "f.value", "f.props"))
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
