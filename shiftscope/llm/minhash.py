@@ -50,7 +50,8 @@ CELL = 512         # nodes of one part of a cell, and their shingles
 CELL_SHINGLES = 1_000_000
 SLICE = 1 << 21    # bytes hashed at once
 SEED = 7
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 2_000_000     # ids, 16 bytes each
+BROADCAST_BUCKETS = 1_000_000  # buckets, 24 bytes each
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _POWERS: list[np.ndarray] = []
 _SPACE = np.zeros(256, dtype=bool)
@@ -401,14 +402,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     ``docs`` (``doc_id, text``); ``blob`` is a hash of the text."""
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("blob"), "text")
     sk = cut_lineage(sketch(base, shingle))
-    nodes = cut_lineage(sk.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")))
+    filled = sk.filter("n_shingles > 0")
+    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # the id and text hash of one row that holds the set
-    rep = sk.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "blob")).alias("r")).select(
+    rep = filled.groupBy("node").agg(F.min(F.struct("doc_id", "blob")).alias("r")).select(
         "node", F.col("r.doc_id").alias("doc_id"), F.col("r.blob").alias("blob"))
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = cut_lineage(entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1"))
-    members = entries.join(broadcast_if(buckets, 200_000), "bucket")
+    # copies repeat a node's entries; least and greatest node tell the buckets
+    # of one node apart, and need no row but one for each bucket of a task
+    entries = filled.select("node", F.explode("bands").alias("bucket"))
+    buckets = cut_lineage(entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last"))
+    members = entries.join(broadcast_if(buckets, BROADCAST_BUCKETS), "bucket")
     stars = cut_lineage(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -423,7 +426,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     comps = cut_lineage(components(links))
     # buckets of three or more that span several components may hide links
     # between members
-    rest = cut_lineage(_open(members.filter("size > 2").select("bucket", "node"), comps))
+    third = cut_lineage(members.filter("node <> leader AND node <> last").select("bucket").distinct())
+    rest = cut_lineage(_open(entries.join(broadcast_if(third, BROADCAST_BUCKETS), "bucket", "left_semi").distinct(), comps))
     if not rest.isEmpty():
         found = cut_lineage(_rest_links(rest, sets_of(rest.select("node")), percent))
         comps = cut_lineage(_joined(comps, found))
