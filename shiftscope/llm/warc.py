@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_of
+from .common import cut_lineage, shared_folder, text_of
 
 SEP = "\r\n\r\n"
 CRLF = "\r\n"
@@ -217,7 +217,9 @@ def op9_warc(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_folder(spark, "warc")
     write_archive(pages, path)
-    caps = assemble(read_records(spark, path)).select(
+    # parsed once: what the captures are assembled from here has no payload
+    records = cut_lineage(read_records(spark, path).withColumn("payload", F.lit(None).cast("string")))
+    caps = assemble(records).select(
         "capture_id", "record_type", "refers_to",
         F.col("metadata.fields")["pageid"].cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"))
