@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions.text import ctrl_clean
 from ..operators import marts
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from ..sources import pages as PG
 from ..sources.postings import postings
 from .catalog import register
@@ -179,14 +179,14 @@ def q_listing_cards(spark, sf_dir):
     """Board listing cards found in the pages (rows-only)."""
     from ..sources.html_parse import elements, listing_cards
     p = _pages(spark, sf_dir)
-    return listing_cards(elements(p), p)
+    return listing_cards(cut_lineage(elements(p)), p)
 
 
 @register("detail_fields")
 def q_detail_fields(spark, sf_dir):
     """Detail-page fields per page (rows-only)."""
     from ..sources.html_parse import detail_fields, elements
-    d = detail_fields(elements(_pages(spark, sf_dir)))
+    d = detail_fields(cut_lineage(elements(_pages(spark, sf_dir))))
     return d.select("page_id", "title", "employer_name", F.length("description").alias("description_chars"),
                     F.size("category_path").alias("n_crumbs"), "views_count", "photos_count",
                     F.size("params").alias("n_params"), "schedule_hint", "lang", "posted_at_raw")
@@ -196,4 +196,4 @@ def q_detail_fields(spark, sf_dir):
 def q_page_sections(spark, sf_dir):
     """Heading-delimited sections of every page (rows-only)."""
     from ..sources.html_parse import elements, sections
-    return sections(elements(_pages(spark, sf_dir)))
+    return sections(cut_lineage(elements(_pages(spark, sf_dir))))
