@@ -352,10 +352,15 @@ def q_salary_band(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ E1 export chain --
-@register("export_rows")
+@register("export_rows", with_postings(
+    "SELECT posting_id, title, employer, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,"
+    " '^https?://(?:www\\.){2,}', 'https://www.'), '\\?.*$', ''), '^https?://avito\\.ru', 'https://www.avito.ru'),"
+    " '^https?://m\\.avito\\.ru', 'https://www.avito.ru') AS url FROM dedup",
+    "unrated AS (SELECT * FROM postings p WHERE NOT EXISTS (SELECT 1 FROM postings r WHERE r.seq.l_linenumber % 2 <> 0"
+    " AND trim(r.url) <> '' AND trim(r.url) = trim(p.url)))", _DEDUP_CTE.replace("FROM postings", "FROM unrated")))
 def q_export_rows(spark, sf_dir):
     """Export chain: role filter -> rate mentions -> drop shift-rated URLs
-    -> keep-first dedup -> URL clean-up (rows-only check)."""
+    -> keep-first dedup -> URL clean-up."""
     from ..operators.filters import role_filter
     from .q_text import rate_blob
     p = role_filter(postings(spark, sf_dir), "unknown-role")  # unknown role keeps all rows

@@ -375,16 +375,27 @@ def rates_df(spark, sf_dir):
     return X.rate_mentions(p, "url", "text", order="seq")
 
 
-@register("rate_mentions")
+# The texts come from known keys, so the expected rates are stated from the
+# keys, not by a second set of patterns: one rate a posting, quantity * 10 +
+# 150, hourly on even lines and per shift on odd ones, first posting per URL.
+RATES_CTE = """
+rate0 AS (SELECT url, seq, CASE WHEN seq.l_linenumber % 2 = 0 THEN 'hourly' ELSE 'shift' END AS type,
+  CAST(seq.l_quantity AS INTEGER) * 10 + 150 AS v FROM postings WHERE url IS NOT NULL),
+rates AS (SELECT url, type, CAST(v AS VARCHAR) || ' ₽' AS value, CAST(v AS DOUBLE) AS min, CAST(v AS DOUBLE) AS max, 'RUB' AS currency,
+  'Оплата ' || CAST(v AS VARCHAR) || CASE WHEN type = 'hourly' THEN ' руб/час' ELSE ' ₽ за смену' END AS raw
+  FROM (SELECT url, type, arg_min(v, seq) AS v FROM rate0 GROUP BY url, type))"""
+
+
+@register("rate_mentions", with_postings("SELECT url, type, value, min, max, currency, raw FROM rates", RATES_CTE))
 def q_rate_mentions(spark, sf_dir):
-    """First parsable hourly / shift rate per URL (rows-only check: the
-    clause logic uses look-around regex the RE2 oracle lacks; the fixture
-    tests pin the original examples)."""
+    """First parsable hourly / shift rate per URL."""
     return rates_df(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ P15 ---
-@register("rates_wide")
+@register("rates_wide", with_postings(
+    "SELECT CASE WHEN type = 'hourly' THEN value ELSE '' END AS hourly_value,"
+    " CASE WHEN type = 'shift' THEN value ELSE '' END AS shift_value, trim(url) AS url FROM rates", RATES_CTE))
 def q_rates_wide(spark, sf_dir):
     r = rates_df(spark, sf_dir).where(F.trim(F.coalesce("value", F.lit(""))) != "")
     v = F.trim(F.col("value"))
@@ -409,9 +420,18 @@ def hours_contexts(spark, sf_dir):
              .select("id", "c.ctx", "c.text", "url", "c.selector", "c.weight").where(F.col("text").isNotNull()))
 
 
-@register("working_hours")
+# What the hours texts say, by the key (part % 7) that chose them: 2 is the
+# text with weekdays, 4 the one around the clock, 6 none; the others leave the
+# schedule and the shift length of the description (from supplier and part).
+@register("working_hours", with_postings(
+    "SELECT posting_id, CASE WHEN k = 2 THEN '10/16' ELSE CAST(seq.l_suppkey % 5 + 1 AS VARCHAR) || '/' ||"
+    " CAST(seq.l_suppkey % 3 + 1 AS VARCHAR) END AS schedule_hint,"
+    " CASE k WHEN 2 THEN 1.0 WHEN 4 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, 'ru' AS lang,"
+    " CASE WHEN k = 2 THEN 'Sun: closed' END AS notes, CASE WHEN k = 2 THEN 6 ELSE 0 END AS n_day_rules, k = 4 AS is_247,"
+    " CASE k WHEN 2 THEN 9.0 WHEN 4 THEN NULL ELSE seq.l_partkey % 5 + 8 END::DOUBLE AS shift_hours,"
+    " CASE WHEN k = 6 THEN 1 ELSE 2 END AS n_matches FROM (SELECT *, seq.l_partkey % 7 AS k FROM postings)"))
 def q_working_hours(spark, sf_dir):
-    """Working hours per posting (rows-only check; nested result)."""
+    """Working hours per posting."""
     from ..operators.hours import working_hours
     wh = working_hours(hours_contexts(spark, sf_dir))
     return wh.select(F.col("id.posting_id").alias("posting_id"), "schedule_hint", "confidence", "lang", "notes",
@@ -420,7 +440,10 @@ def q_working_hours(spark, sf_dir):
                      F.size("raw_matches").alias("n_matches"))
 
 
-@register("weekday_hours")
+@register("weekday_hours", with_postings(
+    "SELECT posting_id, d.day AS day, d.s AS start, d.e AS \"end\" FROM postings, (VALUES ('Mon', '09:00', '18:00'), ('Tue', '09:00', '18:00'),"
+    " ('Wed', '09:00', '18:00'), ('Thu', '09:00', '18:00'), ('Fri', '09:00', '18:00'), ('Sat', '10:00', '16:00')) AS d(day, s, e)"
+    " WHERE seq.l_partkey % 7 = 2"))
 def q_weekday_hours(spark, sf_dir):
     """Per-day opening hours exploded from the working-hours result."""
     from ..operators.hours import working_hours
