@@ -70,9 +70,13 @@ def host_top(df: DataFrame, url="url", k: int = 5) -> DataFrame:
 
 def value_freq(df: DataFrame, col: str, k: int = 6) -> DataFrame:
     """Top-k values of a column with their share of *all* rows (%)."""
-    n_all = df.select(F.count(F.lit(1))).scalar()  # scalar subquery, one value
-    top = top_values(df, F.col(col).cast("string"), k, "value")
-    return top.select("value", "n", (F.col("n") * 100.0 / n_all).alias("pct"))
+    counts = df.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # rows are read once: the total rides along as one more row, first in order
+    total = F.col("value").isNull()
+    rows = counts.rollup("value").agg(F.sum("n").alias("n"), F.grouping("value").alias("all")).where((F.col("all") == 1) | ~total)
+    top = rows.orderBy(F.desc("all"), F.desc("n"), "value").limit(k + 1)
+    n_all = F.max(F.when(F.col("all") == 1, F.col("n"))).over(Window.partitionBy())
+    return top.select("value", "n", (F.col("n") * 100.0 / n_all).alias("pct"), "all").where("all = 0").drop("all")
 
 
 # -- A3 -------------------------------------------------------------------
