@@ -366,9 +366,9 @@ def q_slug(spark, sf_dir):
 def q_coerce_num(spark, sf_dir):
     from ..functions.text import coerce_number
     p = postings(spark, sf_dir)
-    raw = (p.select("posting_id", F.concat(F.col("pay_from").cast("string"), F.lit(" руб")).alias("raw"))
-            .unionAll(p.select("posting_id", F.coalesce("schedule", F.lit("")).alias("raw")))
-            .unionAll(p.select("posting_id", F.replace(F.col("shift_hours").cast("string"), F.lit("."), F.lit(",")).alias("raw"))))
+    raw = p.select("posting_id", F.explode(F.array(
+        F.concat(F.col("pay_from").cast("string"), F.lit(" руб")), F.coalesce("schedule", F.lit("")),
+        F.replace(F.col("shift_hours").cast("string"), F.lit("."), F.lit(",")))).alias("raw"))
     return raw.select("posting_id", coerce_number(F.col("raw")).alias("value"))
 
 

@@ -72,11 +72,15 @@ def q_export_url(spark, sf_dir):
     " UNION ALL BY NAME SELECT posting_id, title, schedule, url, 1 AS source_rank FROM postings WHERE source = 'gorodrabot.ru'"
     " UNION ALL BY NAME SELECT posting_id, title, city, pay_from, url, 2 AS source_rank FROM postings WHERE source = 'avito.ru')"))
 def q_union_sources(spark, sf_dir):
+    # the three sources lie in one table here: each row takes its source's
+    # columns in one scan (R.union_sources joins tables of their own)
     p = postings(spark, sf_dir)
-    hh = p.where(F.col("source") == "hh.ru").select("posting_id", "title", "employer", "salary_from_k", "url")
-    gr = p.where(F.col("source") == "gorodrabot.ru").select("posting_id", "title", "schedule", "url")
-    av = p.where(F.col("source") == "avito.ru").select("posting_id", "title", "city", "pay_from", "url")
-    return R.union_sources(hh, gr, av)
+    own = {"hh.ru": (0, ("employer", "salary_from_k")), "gorodrabot.ru": (1, ("schedule",)), "avito.ru": (2, ("city", "pay_from"))}
+    rank = None
+    for name, (r, _) in own.items():
+        rank = F.when(F.col("source") == name, r) if rank is None else rank.when(F.col("source") == name, r)
+    cols = [F.when(F.col("source") == name, F.col(c)).alias(c) for name, (_, cs) in own.items() for c in cs]
+    return p.where(F.col("source").isin(*own)).select("posting_id", "title", "url", rank.alias("source_rank"), *cols)
 
 
 # ------------------------------------------------------------------ W1 / O2 -
