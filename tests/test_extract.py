@@ -72,8 +72,9 @@ def test_explicit_pay(spark):
 
 
 def test_duties(spark):
-    got = one_col(spark, ["Обязанности: готовить; мыть. Требования: опыт", "- выкладка - касса", "просто текст"],
-                  X.duties)
+    rows = ["Обязанности: готовить; мыть. Требования: опыт", "- выкладка - касса", "просто текст"]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = [r.out for r in X.with_duties(d, "t", out="out").orderBy("i").collect()]
     assert got == ["готовить; мыть.", "выкладка - касса", "просто текст"]
 
 
