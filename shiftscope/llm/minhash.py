@@ -398,8 +398,9 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, blob, n_shingles, node, component_id, kept`` for every row of
-    ``docs`` (``doc_id, text``); ``blob`` is a hash of the text."""
+    """``doc_id, blob, n_shingles, node, grp, component_id, kept`` for every row
+    of ``docs`` (``doc_id, text``); ``blob`` is a hash of the text, ``grp`` the
+    component's smallest node (NULL where there are no shingles)."""
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("blob"), "text")
     sk = cut_lineage(sketch(base, shingle))
     filled = sk.filter("n_shingles > 0")
@@ -434,10 +435,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     # smallest doc_id of each component
     of = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = of.join(least, "root").select("node", "component_id")
+    of = of.join(least, "root").select("node", F.col("root").alias("grp"), "component_id")
     out = sk.select("doc_id", "blob", "n_shingles", "node").join(of, "node", "left")
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "blob", "n_shingles", "node", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
+    return out.select("doc_id", "blob", "n_shingles", "node", "grp", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -445,7 +446,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Da
     smallest doc_id, of equal ids that with the least text hash."""
     d = near_duplicates(docs, shingle, percent)
     lone = d.filter("node IS NULL").select("doc_id", "blob").distinct()
-    best = d.filter("node IS NOT NULL AND kept").groupBy("doc_id", "component_id").agg(F.min("blob").alias("blob"))
+    best = d.filter("node IS NOT NULL AND kept").groupBy("doc_id", "grp").agg(F.min("blob").alias("blob"))
     keep = cut_lineage(best.select("doc_id", "blob").unionByName(lone))
     blob = F.xxhash64(F.coalesce("text", F.lit("")))
     k = broadcast_if(keep.select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob")), BROADCAST_ROWS)

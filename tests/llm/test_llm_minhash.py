@@ -92,6 +92,14 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     assert M.deduplicate(empty(spark)).count() == 0
 
 
+def test_deduplicate_keeps_unlinked_rows_without_ids(spark):
+    docs(spark)
+    rows = [(None, prose(30, 1)), (None, prose(30, 2)), (None, prose(30, 2)), (4, prose(30, 3)), (4, prose(30, 4)), (4, prose(30, 3))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.text for r in M.deduplicate(d, 5).collect())
+    assert got == sorted({t for _, t in rows})
+
+
 def test_components_of_a_long_chain(spark):
     docs(spark)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
