@@ -29,8 +29,19 @@ ROUNDS = 8
 
 # The formats.  None of them starts or ends inside a longer run.
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)"
+_DATE_END = rf"(?:{_END}|(?<=-[0-9]{{2}})(?=[Tt][0-9]{{2}}))"  # a time may follow an ISO date
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+#: Length of the IBANs of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# In groups of four, a country's length ends it; other countries end with the groups.
+_GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                    for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_GROUPED})|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,4}})?)"
 PHONE = (r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}"
          r"|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}")
 CARD = r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19}"
@@ -51,8 +62,8 @@ def _any_pattern() -> str:
         for i in range(n, 0, -1):
             p = p.replace(f"\\{i}", f"\\{i + used}")
         used += n
-        edge = r"(?<![0-9A-Za-z+.])" if k == "ip" else r"(?<![0-9A-Za-z._%+-])" if k == "email" else _EDGE
-        end = r"(?![0-9A-Za-z])(?!\.[0-9])" if k == "ip" else _END
+        edge = r"(?<![0-9A-Za-z+.])" if k == "ip" else _EDGE
+        end = r"(?![0-9A-Za-z])(?!\.[0-9])" if k == "ip" else _DATE_END if k == "date" else _END
         out.append(f"{edge}(?:{p}){end}")
     return "(" + "|".join(out) + ")"
 

@@ -63,3 +63,31 @@ def test_odd_rows_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.op4_pii(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_spaced_iban_ends_with_its_countrys_length(spark):
+    be, no, de = "BE68 5390 0754 7034", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"
+    tails = [" BIC KREDBEBB", " 2024", " 4785 3805 9239 1139", ", end", ""]
+    got = run(spark, [v + t for v in (be, no, de) for t in tails])
+    for i, v in enumerate((be, no, de)):
+        mine = got[i * len(tails):(i + 1) * len(tails)]
+        assert len({h[0] for _, h in mine}) == 1 and mine[0][1][0][0] == "iban"
+        new = mine[0][1][0][1]
+        assert mod97(new) and new != v and len(new) == len(v)
+        assert [g[0] for g in mine[:2] + mine[3:]] == [new + t for t in tails[:2] + tails[3:]]
+        assert [k for k, _ in mine[2][1]] == ["iban", "card"]
+
+
+def test_addresses_begin_after_signs(spark):
+    plain = run(spark, ["john@example.com"])[0][0]
+    texts = ["_john@example.com_", "-john@example.com", "...john@example.com", "%john@example.com", "+john@example.com", "a@b.org-john@example.com"]
+    for old, (new, hits) in zip(texts, run(spark, texts)):
+        assert hits[-1] == ("email", plain) and "john@example.com" not in new
+        assert new.replace(plain, "john@example.com") == old or old.startswith("a@")
+
+
+def test_iso_date_before_a_time(spark):
+    got = run(spark, ["1980-05-17", "1980-05-17T00:00:00Z", "on 1980-05-17T0930, then", "1980-05-17Total 1980-05-171", "17.05.1980T00:00"])
+    new = got[0][0]
+    assert new != "1980-05-17" and [g[0] for g in got[1:3]] == [new + "T00:00:00Z", f"on {new}T0930, then"]
+    assert [g[0] for g in got[3:]] == ["1980-05-17Total 1980-05-171", "17.05.1980T00:00"]
