@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..operators import extract as X
 from ..operators import relational as R
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from ..sources.postings import postings
 from .catalog import register
 from .oracle import sql_str, with_postings
@@ -72,15 +72,14 @@ def q_export_url(spark, sf_dir):
     " UNION ALL BY NAME SELECT posting_id, title, schedule, url, 1 AS source_rank FROM postings WHERE source = 'gorodrabot.ru'"
     " UNION ALL BY NAME SELECT posting_id, title, city, pay_from, url, 2 AS source_rank FROM postings WHERE source = 'avito.ru')"))
 def q_union_sources(spark, sf_dir):
-    # the three sources lie in one table here: each row takes its source's
-    # columns in one scan (R.union_sources joins tables of their own)
-    p = postings(spark, sf_dir)
-    own = {"hh.ru": (0, ("employer", "salary_from_k")), "gorodrabot.ru": (1, ("schedule",)), "avito.ru": (2, ("city", "pay_from"))}
-    rank = None
-    for name, (r, _) in own.items():
-        rank = F.when(F.col("source") == name, r) if rank is None else rank.when(F.col("source") == name, r)
-    cols = [F.when(F.col("source") == name, F.col(c)).alias(c) for name, (_, cs) in own.items() for c in cs]
-    return p.where(F.col("source").isin(*own)).select("posting_id", "title", "url", rank.alias("source_rank"), *cols)
+    # one written view of the three sources: it is not rebuilt for each of them
+    p = cut_lineage(postings(spark, sf_dir).where(F.col("source").isin("hh.ru", "gorodrabot.ru", "avito.ru")).select(
+        "source", "posting_id", "title", "employer", "salary_from_k", "schedule", "city", "pay_from", "url"))
+
+    def own(name, *cols):
+        return p.where(F.col("source") == name).select("posting_id", "title", *cols, "url")
+
+    return R.union_sources(own("hh.ru", "employer", "salary_from_k"), own("gorodrabot.ru", "schedule"), own("avito.ru", "city", "pay_from"))
 
 
 # ------------------------------------------------------------------ W1 / O2 -
