@@ -4,7 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from ..plans.catalog import Query
-from . import ann, langid, lm, minhash, mixing, pii, quality, secrets_scan, spm, warc
+from . import ann, langid, lm, minhash, mixing, pii, quality, secrets_scan, spm, turns, warc
 from .common import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -24,3 +24,4 @@ _over("embeddings", "op7_ann", ann.op7_ann)
 _over("documents", "op8_langid", langid.op8_langid)
 _over("pages", "op9_warc", warc.op9_warc, warc.ORACLE_SQL)
 _over("documents", "op10_minhash", minhash.op10_minhash, minhash.ORACLE_SQL)
+_over("conversations", "op13_turns", turns.op13_turns)
