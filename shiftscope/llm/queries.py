@@ -4,7 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from ..plans.catalog import Query
-from . import ann, langid, lm, minhash, mixing, pii, quality, secrets_scan, spm, turns, warc, whiten
+from . import ann, langid, lm, minhash, mixing, pii, qda, quality, secrets_scan, spm, turns, warc, whiten
 from .common import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -24,5 +24,7 @@ _over("embeddings", "op7_ann", ann.op7_ann)
 _over("documents", "op8_langid", langid.op8_langid)
 _over("pages", "op9_warc", warc.op9_warc, warc.ORACLE_SQL)
 _over("documents", "op10_minhash", minhash.op10_minhash, minhash.ORACLE_SQL)
+QUERIES["op11_qda"] = Query("op11_qda", lambda spark, sf_dir: qda.op11_qda(
+    read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), None)
 _over("embeddings", "op12_whiten", whiten.op12_whiten)
 _over("conversations", "op13_turns", turns.op13_turns)
