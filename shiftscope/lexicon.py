@@ -249,6 +249,29 @@ DAY_TOKENS: list[tuple[str, str]] = [
 EXPERIENCE_NONE_MARKERS: list[str] = ["без опыта", "не требуется"]
 EXPERIENCE_NONE_LABEL = "без опыта"
 
+# Section headings by kind, and where pages state their schedule: block names
+# in this order, then words of a label.
+SECTION_WORDS: list[tuple[str, list[str]]] = [
+    ("duties", ["обязанности", "что делать", "задачи"]),
+    ("requirements", ["требования", "кандидат"]),
+    ("conditions", ["условия", "мы предлагаем", "что предлагаем"]),
+]
+SCHEDULE_BLOCKS: list[str] = [
+    "vacancy-view-employment-mode", "vacancy-view-raw__schedule", "vacancy-view-raw__workingschedule",
+    "vacancy-view-employment-type", "vacancy-view-raw__main-info", "vacancy-view-employment-mode-item",
+]
+SCHEDULE_LABELS: list[str] = ["график", "рабочие часы", "смена"]
+
+# Month names by stem, and range units in days (both matched at the start of a word).
+MONTH_STEMS: list[tuple[str, int]] = [
+    ("янв", 1), ("фев", 2), ("мар", 3), ("апр", 4), ("ма[йя]", 5), ("июн", 6),
+    ("июл", 7), ("авг", 8), ("сен", 9), ("окт", 10), ("ноя", 11), ("дек", 12),
+]
+RANGE_UNIT_DAYS: list[tuple[str, float]] = [
+    ("час", 1 / 24), ("hour", 1 / 24), ("нед", 7.0), ("week", 7.0), ("мес", 30.0), ("month", 30.0),
+    ("год", 365.0), ("лет", 365.0), ("year", 365.0),
+]
+
 # City slugs of the listing board.
 CITY_SLUGS: list[tuple[str, str]] = [
     ("москва", "moskva"), ("санкт-петербург", "sanktpeterburg"),

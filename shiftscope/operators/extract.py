@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions.lookups import currency_code, lookup
 from ..functions.text import NBSP, clean_text, first_label, rate_text, strip_html
+from .dates import relative_datetime  # noqa: F401
 
 U = "(?iU)"
 
@@ -299,42 +300,7 @@ def with_duties(df: DataFrame, text: str, out: str = "duties", fallback: str | N
     return d.drop("_dt", "_dl", "_st", "_tail", "_tl", "_end", "_body")
 
 
-# -- T12 ------------------------------------------------------------------
-def relative_datetime(raw: Column, as_of: Column) -> Column:
-    """today / yesterday / N hours|days|weeks ago / dd.mm[.yy[yy]] -> local
-    (zone-free) timestamp relative to ``as_of`` (a parameter, never now());
-    2-digit years + 2000."""
-    t = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    as_of = as_of.cast("timestamp_ntz")
-    hh = F.regexp_extract(t, r"(\d{1,2}):(\d{2})", 1)
-    mm = F.regexp_extract(t, r"(\d{1,2}):(\d{2})", 2)
-    has_time = (hh != "") & (hh.try_cast("int") < 24) & (mm.try_cast("int") < 60)
-    day0 = F.date_trunc("day", as_of)
-
-    def combine(day_ts):
-        return F.when(has_time, day_ts + F.make_dt_interval(F.lit(0), hh.try_cast("int"), mm.try_cast("int"))
-                      ).otherwise(day_ts)
-    ago = t.contains("назад")
-    n_h = F.regexp_extract(t, U + r"(\d+)\s*(?:час|ч)", 1)
-    n_d = F.regexp_extract(t, U + r"(\d+)\s*(?:дн|day)", 1)
-    n_w = F.regexp_extract(t, U + r"(\d+)\s*(?:нед|week)", 1)
-    d_re = r"(\d{1,2})\.(\d{1,2})(?:\.(\d{2,4}))?"
-    dd = F.regexp_extract(t, d_re, 1)
-    mo = F.regexp_extract(t, d_re, 2)
-    yy = F.regexp_extract(t, d_re, 3)
-    year = (F.when(yy == "", F.year(as_of))
-             .when(F.length(yy) == 2, yy.try_cast("int") + 2000)
-             .otherwise(yy.try_cast("int")))
-    date = F.try_make_timestamp_ntz(year, mo.try_cast("int"), dd.try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
-    return (F.when(t == "", F.lit(None).cast("timestamp_ntz"))
-             .when(t.contains("сегодня"), combine(day0))
-             .when(t.contains("вчера"), combine(day0 - F.expr("INTERVAL 1 DAY")))
-             .when(ago & (n_h != ""), as_of - F.make_dt_interval(F.lit(0), n_h.try_cast("int")))
-             .when(ago & (n_d != ""), combine(F.date_trunc("day", as_of - F.make_dt_interval(n_d.try_cast("int")))))
-             .when(ago & (n_w != ""), combine(F.date_trunc("day", as_of - F.make_dt_interval(F.when(n_w.try_cast("int") < 1000000, n_w.try_cast("int")) * 7))))
-             .when(dd != "", F.when(date.isNotNull(), combine(date))))
-
-
+# -- T12 (dates in words: operators.dates) ----------------------------------
 def iso_date(s: Column) -> Column:
     """ISO datetime (offset with or without colon, or Z) -> its date part;
     unparsable -> the text before 'T'."""

@@ -160,15 +160,16 @@ def best_record(df: DataFrame, key: Column, data_cols: list[str], seq: str = "se
 # -- A14 ----------------------------------------------------------------------
 def posting_state(sightings: DataFrame, id_col: str = "external_id", seq: str = "seq",
                   failed: str = "failed", promoted: str = "is_promoted", featured: str = "is_featured",
-                  record_cols: list[str] | None = None) -> DataFrame:
+                  record_cols: list[str] | None = None, stub_cols: list[str] | None = None) -> DataFrame:
     """Current state per posting from its sightings.
 
-    The last sighting wins; a failed last sighting leaves an inactive stub;
+    The last sighting wins; a failed last sighting leaves an inactive stub
+    (of the record only ``stub_cols`` stay);
     promoted/featured are OR-ed over the successful sightings after the
     last failure.  One aggregation: 'any flag after the last failure' is
     'last flagged seq > last failed seq', so no per-key replay is needed."""
-    rec = record_cols or []
-    last = F.max_by(F.struct(F.col(failed).alias("failed"), *[F.col(c) for c in rec]), F.col(seq))
+    rec, stub = record_cols or [], stub_cols or []
+    last = F.max_by(F.struct(F.col(failed).alias("failed"), *[F.col(c) for c in [*stub, *rec]]), F.col(seq))
     g = sightings.groupBy(id_col).agg(
         last.alias("_last"),
         F.max(F.when(F.col(failed), F.col(seq))).alias("_lf"),
@@ -182,6 +183,7 @@ def posting_state(sightings: DataFrame, id_col: str = "external_id", seq: str =
     return g.select(
         id_col,
         active.alias("is_active"),
+        *[F.col(f"_last.{c}").alias(c) for c in stub],
         *[F.when(active, F.col(f"_last.{c}")).alias(c) for c in rec],
         (active & after_fail("_lp")).alias("is_promoted"),
         (active & after_fail("_lx")).alias("is_featured"),

@@ -324,6 +324,84 @@ def q_rel_dates(spark, sf_dir):
     return p.select("posting_id", X.relative_datetime(F.col("posted_raw"), F.lit(AS_OF).cast("timestamp")).alias("posted_at"))
 
 
+# Dates in words that the postings' own raw dates don't use (a form a key).
+DATE_FORMS = ["{n} минут назад", "{d} мая", "{d} декабря 1997 в 10:3{m}", "3{m} февраля", "2000000000 дней назад", "2000000000 часов назад",
+              "01.02.99999", "{d}.0{m1}.97 7:0{m}", "{n} день назад 09:15", "{d} авг.", "99999999999 минут назад", "{m1} weeks назад", "скоро"]
+_FORM_ARGS = {"n": "ok % 50", "d": "ok % 31 + 1", "m": "ok % 3", "m1": "ok % 9 + 1"}
+
+
+def _form_case() -> str:
+    def sql(form):
+        out = sql_str(form)
+        for k, v in _FORM_ARGS.items():
+            out = out.replace("{" + k + "}", f"' || ({v}) || '")
+        return out
+    return f"(CASE (ok + ln * 5) % {len(DATE_FORMS)} " + " ".join(f"WHEN {i} THEN {sql(f)}" for i, f in enumerate(DATE_FORMS)) + " END)"
+
+
+def _words_date_sql(c: str) -> str:
+    """Dates in words, for the forms above (amounts are bounded before use)."""
+    t = f"lower(trim(coalesce({c}, '')))"
+    asof, day0 = f"TIMESTAMP '{AS_OF}'", f"date_trunc('day', TIMESTAMP '{AS_OF}')"
+    hh, mm = (f"TRY_CAST(regexp_extract({t}, '(\\d{{1,2}}):(\\d{{2}})', {k}) AS INT)" for k in (1, 2))
+    comb = lambda d: f"(CASE WHEN {hh} < 24 AND {mm} < 60 THEN {d} + to_hours({hh}) + to_minutes({mm}) ELSE {d} END)"
+
+    def amount(words, bound):
+        raw = f"regexp_extract({t}, '(\\d+)\\s*(?:{words})', 1)"
+        n = f"TRY_CAST({raw} AS INT)"
+        return f"contains({t}, 'назад') AND {raw} <> ''", f"(CASE WHEN {n} <= {bound} THEN {n} END)"
+
+    def made(y, m, d):
+        return (f"(CASE WHEN {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND day(last_day(make_date({y}, {m}, 1)))"
+                f" THEN CAST(make_date({y}, {m}, {d}) AS TIMESTAMP) END)")
+    mins, hours, days, weeks = (amount(w, b) for w, b in (("мин|min", 999999999), ("час|ч|hour", 16000000), ("дн|ден|day", 690000), ("нед|week", 98000)))
+    dot = "'(\\d{1,2})\\.(\\d{1,2})(?:\\.(\\d+))?'"
+    dd, mo, yy = (f"regexp_extract({t}, {dot}, {k})" for k in (1, 2, 3))
+    year = (f"(CASE WHEN {yy} = '' THEN year({asof}) WHEN length({yy}) = 2 THEN CAST({yy} AS INT) + 2000 WHEN length({yy}) <= 4 THEN CAST({yy} AS INT) END)")
+    named = "'(\\d{1,2})\\s+(" + "|".join(stem for stem, _ in lx.MONTH_STEMS) + ")[а-яa-z]*\\.?(?:\\s+(\\d{4})(?:[^0-9]|$))?'"
+    nd, stem, ny = (f"regexp_extract({t}, {named}, {k})" for k in (1, 2, 3))
+    month = "(CASE " + " ".join(f"WHEN regexp_matches({stem}, '{s}') THEN {m}" for s, m in lx.MONTH_STEMS) + " END)"
+    nyear = f"(CASE WHEN {ny} <> '' THEN CAST({ny} AS INT) ELSE year({asof}) - (CASE WHEN {month} > month({asof}) THEN 1 ELSE 0 END) END)"
+    return f"""CASE WHEN {t} = '' THEN NULL
+      WHEN {mins[0]} THEN {asof} - to_minutes({mins[1]}) WHEN {hours[0]} THEN {asof} - to_hours({hours[1]})
+      WHEN {days[0]} THEN {comb(f"({day0} - to_days({days[1]}))")} WHEN {weeks[0]} THEN {comb(f"({day0} - to_days(7 * {weeks[1]}))")}
+      WHEN {dd} <> '' THEN {comb(made(year, f"CAST({mo} AS INT)", f"CAST({dd} AS INT)"))}
+      WHEN {nd} <> '' THEN {comb(made(nyear, month, f"CAST({nd} AS INT)"))} END"""
+
+
+_WORDS_CTE = f"worded AS (SELECT *, {_form_case()} AS raw FROM (SELECT *, seq.l_orderkey AS ok, seq.l_linenumber AS ln FROM postings))"
+RANGE_FORMS = ["за 2 недели", "30", "последние 36 часов", "0", "за всё время", "3 мес.", "1 year", "99999999999"]
+RANGE_FORM_HOURS = [14 * 24, 30 * 24, 36, None, None, 90 * 24, 365 * 24, None]
+
+
+def _worded(p):
+    keyed = p.withColumns({"ok": F.col("seq.l_orderkey"), "ln": F.col("seq.l_linenumber")})
+    return keyed.withColumn("raw", F.expr(_form_case()))
+
+
+@register("rel_dates_words", with_postings(f"SELECT posting_id, raw, {_words_date_sql('raw')} AS posted_at FROM worded", _WORDS_CTE))
+def q_rel_dates_words(spark, sf_dir):
+    """Month names, minutes, odd years and amounts beyond any calendar."""
+    p = _worded(postings(spark, sf_dir))
+    return p.select("posting_id", "raw", X.relative_datetime(F.col("raw"), F.lit(AS_OF).cast("timestamp_ntz")).alias("posted_at"))
+
+
+@register("fresh_range", with_postings(
+    "SELECT posting_id, posted_at, word FROM (SELECT posting_id, " + _words_date_sql("raw") + " AS posted_at, ["
+    + ", ".join(sql_str(w) for w in RANGE_FORMS) + "][1 + pk % 8] AS word, ["
+    + ", ".join("NULL" if h is None else str(h) for h in RANGE_FORM_HOURS) + "][1 + pk % 8] AS h"
+    " FROM (SELECT *, seq.l_partkey AS pk FROM worded))"
+    f" WHERE posted_at IS NULL OR h IS NULL OR posted_at >= TIMESTAMP '{AS_OF}' - to_hours(h)", _WORDS_CTE))
+def q_fresh_range(spark, sf_dir):
+    """Freshness by a range in words, stated per row."""
+    from ..operators.dates import fresh_range
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    words = F.array(*[F.lit(w) for w in RANGE_FORMS])
+    p = _worded(postings(spark, sf_dir)).select("posting_id", X.relative_datetime(F.col("raw"), as_of).alias("posted_at"),
+                                                F.element_at(words, (F.col("seq.l_partkey") % 8 + 1).cast("int")).alias("word"))
+    return fresh_range(p, F.col("posted_at"), as_of, F.col("word"))
+
+
 # ------------------------------------------------------------------ T4 ----
 @register("shift_len")
 def q_shift_len(spark, sf_dir):

@@ -50,12 +50,6 @@ def page_title(html: Column) -> Column:
     return F.when(og != "", og).when(tt != "", tt)
 
 
-def meta_description(html: Column) -> Column:
-    d = F.regexp_extract(html, r"(?is)<[^>]*itemprop=[\"']description[\"'][^>]*>(.*?)</", 1)
-    d = F.trim(F.regexp_replace(unescape_basic(F.regexp_replace(d, r"<[^>]+>", " ")), r"\s+", " "))
-    return F.when(d != "", d)
-
-
 # -- S6 ---------------------------------------------------------------------
 JSONLD_RE = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 JOBPOSTING_SCHEMA = ("struct<`@type`:string,title:string,name:string,description:string,"
@@ -63,31 +57,50 @@ JOBPOSTING_SCHEMA = ("struct<`@type`:string,title:string,name:string,description
                      "baseSalary:struct<value:struct<minValue:string,value:string,maxValue:string>>>")
 
 
+def jsonld_posting(html: Column) -> Column:
+    """First JSON-LD JobPosting of a page, NULL where there is none: title or
+    name, description, employer, date cut at 'T'/'+', salary minimum (or
+    value) and maximum in thousands (0.1).  Row-local: no shuffle."""
+    # a block is one object or an array of objects; a type is a name or a list of names
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(JSONLD_RE), 1), lambda js: F.coalesce(
+        F.from_json(js, f"array<{JOBPOSTING_SCHEMA}>"), F.array(F.from_json(js, JOBPOSTING_SCHEMA))))
+    jobs = F.filter(F.flatten(blocks), lambda o: (o["@type"] == "JobPosting") | F.coalesce(
+        F.array_contains(F.from_json(o["@type"], "array<string>"), "JobPosting"), F.lit(False)))
+
+    def facts(o: Column) -> Column:
+        pay = o["baseSalary"]["value"]
+        amount = lambda c: F.nullif(c.try_cast("double"), F.lit(0.0))
+        low, high = F.coalesce(amount(pay["minValue"]), amount(pay["value"])), amount(pay["maxValue"])
+        thousands = lambda x: F.bround(x / 1000.0, 1)
+        return F.struct(F.coalesce(o["title"], o["name"]).alias("title"), o["description"].alias("description"),
+                        o["hiringOrganization"]["name"].alias("employer"),
+                        F.regexp_extract(o["datePosted"], "^([^T+]*)", 1).alias("published"),
+                        thousands(low).alias("salary_from_k"), thousands(high).alias("salary_to_k"))
+
+    return F.get(F.transform(jobs, facts), F.lit(0))
+
+
+JSONLD_COLUMNS = ["title", "description", "employer", "published", "salary_from_k", "salary_to_k"]
+
+
 def jsonld_postings(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """First JSON-LD JobPosting per page: title|name, description, employer,
-    datePosted cut at 'T'/'+', salary min|value and max in thousands (0.1)."""
-    blocks = pages.select(id_col, F.posexplode(F.regexp_extract_all("html", F.lit(JSONLD_RE), 1)).alias("bpos", "js"))
-    # a block is one object or an array of objects
-    objs = blocks.select(
-        id_col, "bpos",
-        F.posexplode(F.coalesce(F.from_json(F.col("js"), f"array<{JOBPOSTING_SCHEMA}>"),
-                                F.array(F.from_json(F.col("js"), JOBPOSTING_SCHEMA)))).alias("opos", "o"))
-    # a type may be a name or a list of names (which reads as its JSON text)
-    kind = F.col("o.`@type`")
-    jp = objs.where((kind == "JobPosting") | F.array_contains(F.coalesce(F.from_json(kind, "array<string>"), F.array().cast("array<string>")), "JobPosting"))
-    first = jp.groupBy(id_col).agg(F.min_by(F.col("o"), F.struct("bpos", "opos")).alias("o"))
-    vmin = F.coalesce(F.col("o.baseSalary.value.minValue"), F.col("o.baseSalary.value.value")).try_cast("double")
-    vmax = F.col("o.baseSalary.value.maxValue").try_cast("double")
-    date = F.split(F.split(F.col("o.datePosted"), "T", 2).getItem(0), r"\+", 2).getItem(0)
-    return first.select(
-        id_col,
-        F.coalesce(F.col("o.title"), F.col("o.name")).alias("title"),
-        F.col("o.description").alias("description"),
-        F.col("o.hiringOrganization.name").alias("employer"),
-        date.alias("published"),
-        F.when(vmin.isNotNull() & (vmin != 0), F.bround(vmin / 1000.0, 1)).alias("salary_from_k"),
-        F.when(vmax.isNotNull() & (vmax != 0), F.bround(vmax / 1000.0, 1)).alias("salary_to_k"),
-    )
+    """Pages that state a JobPosting, with its facts."""
+    found = pages.select(id_col, jsonld_posting(F.col("html")).alias("o")).where(F.col("o").isNotNull())
+    return found.select(id_col, *[F.col(f"o.{c}").alias(c) for c in JSONLD_COLUMNS])
+
+
+def page_posting(parsed: DataFrame, jsonld: str = "jsonld") -> DataFrame:
+    """Posting facts of a page by falling evidence: JSON-LD, then og:title or
+    the page's title, then elements marked as employer or description.
+    ``parsed``: parsed pages with the JSON-LD facts in a struct column."""
+    o, f = F.col(jsonld), F.col("fields")
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    rest = [F.col(c) for c in parsed.columns if c in ("page_id", "url")]
+    return parsed.select(
+        *rest, F.coalesce(filled(o["title"]), f["og_title"], f["page_title"]).alias("title"),
+        F.coalesce(filled(o["employer"]), filled(f["marked_employer"])).alias("employer"),
+        F.coalesce(filled(o["description"]), filled(f["marked_description"])).alias("description"),
+        filled(o["published"]).alias("published"), o["salary_from_k"].alias("salary_from_k"), o["salary_to_k"].alias("salary_to_k"))
 
 
 # -- S11 --------------------------------------------------------------------

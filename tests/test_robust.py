@@ -23,7 +23,7 @@ DETAIL = """<html lang="ru"><h1>Повар</h1><span data-marker="item-view/tota
 
 def test_repeated_labels_and_long_counts(spark):
     pages = spark.createDataFrame([(1, "u", DETAIL), (2, "u", None), (3, "u", "<p>unclosed <b")], "page_id long, url string, html string")
-    got = {r.page_id: r for r in H.detail_fields(H.elements(pages)).collect()}
+    got = {r.page_id: r for r in H.detail_fields(H.parse(pages)).collect()}
     assert got[1].params["график"] == "5/2" and got[1].params[""] == "два"
     assert got[1].views_count == 99999999999
     assert 3 in got
@@ -32,7 +32,7 @@ def test_repeated_labels_and_long_counts(spark):
 def test_nested_list_items_are_lines_of_their_own(spark):
     html = "<div><h2>Условия</h2><ul><li>один<ul><li>внутри</li></ul></li><li>два</li></ul></div>"
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
-    text = H.sections(H.elements(pages)).collect()[0].text
+    text = H.sections(H.parse(pages), "page_id").collect()[0].text
     assert text.split("\n") == ["один внутри", "внутри", "два"]
 
 
@@ -40,6 +40,8 @@ def test_numbers_beyond_their_type(spark):
     d = spark.createDataFrame([(t,) for t in ("99999999999 часов назад", "99999999999 дней назад", "2000000000 недель назад", "5 часов назад")], "t string")
     out = [r[0] for r in d.select(X.relative_datetime(F.col("t"), F.lit("2024-05-10 12:00:00").cast("timestamp_ntz"))).collect()]
     assert out[:3] == [None, None, None] and out[3] is not None
+    ago = spark.createDataFrame([(t,) for t in ("2000000000 дней назад", "2000000000 часов назад", "999999999999 минут назад", "01.02.99999", "32 мая")], "t string")
+    assert {r[0] for r in ago.select(X.relative_datetime(F.col("t"), F.lit("2024-05-10 12:00:00"))).collect()} == {None}
     s = spark.createDataFrame([("смена ١٢ часов",), ("смена 12 часов",)], "t string")
     hours = [r[0] for r in s.select(X.shift_length(F.col("t"))["hours"]).collect()]
     assert hours[1] == 12.0
