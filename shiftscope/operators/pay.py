@@ -117,18 +117,14 @@ def normalize_schedule(raw: Column) -> Column:
 
 def shift_params(df: DataFrame, schedule_hint="schedule_hint", pattern="shift_pattern",
                  hours_structured="shift_length_hours", raw_matches="raw_matches",
-                 schedule_dim: dict | None = None) -> DataFrame:
+                 config: DataFrame | None = None) -> DataFrame:
     """Schedule, hours per shift, shifts per month and the calc trail.
 
     schedule: from the hint, else the structured pattern; hours:
     structured (> 0) -> first 'N час/ч' of the raw matches -> schedule
-    default; shifts per month: schedule default.  ``schedule_dim`` is
-    {schedule: (shifts, hours)} (the merged configuration, see
-    ``relational.schedule_config``); default: the built-in board table."""
-    dim = schedule_dim or {s: (n, h) for s, n, h in lx.SCHEDULE_PROFILES["board"]}
-    from ..functions.lookups import lookup
-    spm_of = lambda k: lookup([(s, float(v[0])) for s, v in dim.items() if v[0]], k)
-    hrs_of = lambda k: lookup([(s, float(v[1])) for s, v in dim.items() if v[1]], k)
+    default; shifts per month: schedule default.  ``config`` is the merged
+    configuration (``relational.schedule_config``), joined by schedule; without
+    one the built-in board table is compiled into the plan."""
     hint = normalize_schedule(F.col(schedule_hint))
     sched = F.when(hint != "", hint).otherwise(normalize_schedule(F.col(pattern)))
     hs = F.col(hours_structured)
@@ -138,9 +134,17 @@ def shift_params(df: DataFrame, schedule_hint="schedule_hint", pattern="shift_pa
                     lambda m: F.regexp_extract(F.lower(clean_text(m)), r"(\d{1,2})\s*(?:час|ч)", 1)),
         F.lit(""), lambda acc, x: F.when(acc != "", acc).otherwise(x))
     text_hours = F.when(text_h != "", text_h.cast("double"))
-    dflt_h = F.when(sched != "", hrs_of(sched))
+    if config is None:
+        spm_of, hours_of = schedule_shifts(sched, "board"), schedule_hours(sched, "board")
+    else:
+        from .relational import schedule_lookup
+        named = config.select("schedule", F.nullif("shifts_per_month", F.lit(0.0)).alias("_cfg_shifts"),
+                              F.nullif("hours_per_shift", F.lit(0.0)).alias("_cfg_hours"))
+        df = schedule_lookup(df.withColumn("_cfg_schedule", sched), named, "_cfg_schedule")
+        sched, spm_of, hours_of = F.col("_cfg_schedule"), F.col("_cfg_shifts"), F.col("_cfg_hours")
+    dflt_h = F.when(sched != "", hours_of)
     hours = F.coalesce(structured, text_hours, dflt_h)
-    spm = F.when(sched != "", spm_of(sched))
+    spm = F.when(sched != "", spm_of)
     fmt = fmt_g
     notes = F.array_compact(F.array(
         F.when(structured.isNotNull(), F.concat(F.lit("часы/смену="), fmt(structured), F.lit(" (из normalized)"))),
@@ -150,8 +154,8 @@ def shift_params(df: DataFrame, schedule_hint="schedule_hint", pattern="shift_pa
                F.concat(F.lit("часы/смену="), fmt(dflt_h), F.lit(" (по умолчанию)"))),
         F.when(spm.isNotNull(), F.concat(F.lit("смен/мес="), fmt(spm), F.lit(" (по умолчанию)"))),
     ))
-    return df.withColumns({"schedule": sched, "hours_per_shift": hours,
-                           "shifts_per_month": spm, "param_notes": notes})
+    return df.withColumns({"schedule": sched, "hours_per_shift": hours, "shifts_per_month": spm,
+                           "param_notes": notes}).drop("_cfg_schedule", "_cfg_shifts", "_cfg_hours")
 
 
 # -- M4 -------------------------------------------------------------------

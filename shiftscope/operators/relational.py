@@ -108,30 +108,43 @@ def drop_shift_rated(df: DataFrame, rates: DataFrame, url: str = "url") -> DataF
 
 
 # -- J3 / S14 -----------------------------------------------------------------
-def schedule_config(spark: SparkSession, overrides: list[tuple[str, float | None, float | None]] | None = None,
+def read_schedule_overrides(spark: SparkSession, path: str, key: str = "graph_schedule_defaults") -> DataFrame:
+    """Overrides from a JSON configuration: the object under ``key``, or the
+    whole file where it has none, ``{schedule: {hours_per_shift, shifts_per_month}}``.
+    Entries that are no objects are ignored; amounts that are no numbers are NULL."""
+    text = spark.read.text(path, wholetext=True)
+    entries = F.from_json(F.coalesce(F.get_json_object("value", f"$.{key}"), F.col("value")), "map<string,string>")
+    e = text.select(F.explode(entries).alias("schedule", "o")).where(F.col("o").rlike(r"^\s*\{"))
+    amount = lambda f: F.get_json_object("o", f"$.{f}").try_cast("double")
+    return e.select("schedule", amount("shifts_per_month").alias("shifts_per_month"), amount("hours_per_shift").alias("hours_per_shift"))
+
+
+def schedule_config(spark: SparkSession, overrides: DataFrame | list[tuple[str, float | None, float | None]] | None = None,
                     profile: str = "board") -> DataFrame:
     """Built-in schedule table merged with (schedule, shifts, hours)
-    overrides: a non-positive override falls back to the built-in value;
-    entries with neither value positive are dropped."""
+    overrides: a missing or non-positive override falls back to the built-in
+    value; entries with neither value positive are dropped."""
     base = spark.createDataFrame([(s, float(n), None if h is None else float(h))
                                   for s, n, h in lx.SCHEDULE_PROFILES[profile]], SCHEDULE_DIM_SCHEMA)
-    if not overrides:
+    if overrides is None:
         return base
-    ov = spark.createDataFrame([(s, None if n is None else float(n), None if h is None else float(h))
-                                for s, n, h in overrides], SCHEDULE_DIM_SCHEMA)
-    j = base.alias("b").join(ov.alias("o"), "schedule", "full_outer")
+    if not isinstance(overrides, DataFrame):
+        overrides = spark.createDataFrame([(s, None if n is None else float(n), None if h is None else float(h))
+                                           for s, n, h in overrides], SCHEDULE_DIM_SCHEMA)
+    j = base.alias("b").join(overrides.alias("o"), "schedule", "full_outer")
+
     def pick(c):
-        return F.when(F.col(f"o.{c}").isNotNull() & (F.col(f"o.{c}") > 0), F.col(f"o.{c}")).otherwise(
-            F.coalesce(F.col(f"b.{c}"), F.lit(0.0)))
+        return F.when(F.col(f"o.{c}") > 0, F.col(f"o.{c}")).otherwise(F.coalesce(F.col(f"b.{c}"), F.lit(0.0)))
     out = j.select("schedule", pick("shifts_per_month").alias("shifts_per_month"),
                    pick("hours_per_shift").alias("hours_per_shift"))
     return out.where((F.col("shifts_per_month") > 0) | (F.col("hours_per_shift") > 0))
 
 
 def schedule_lookup(df: DataFrame, dim: DataFrame, schedule: str = "schedule") -> DataFrame:
-    """Left join with the schedule table.  The table is code-built (a few
-    rows), so broadcasting it is bounded by construction."""
-    return df.join(F.broadcast(dim), df[schedule] == dim["schedule"], "left").drop(dim["schedule"])
+    """Left join with the schedule table.  How to join is left to Spark, which
+    measures the table: a configuration may hold any number of entries."""
+    d = dim.withColumnRenamed("schedule", "_dim_schedule")
+    return df.join(d, df[schedule] == d["_dim_schedule"], "left").drop("_dim_schedule")
 
 
 # -- J4 -----------------------------------------------------------------------

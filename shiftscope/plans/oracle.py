@@ -121,3 +121,25 @@ def schedule_shifts_sql(expr: str, profile: str) -> str:
 
 def schedule_hours_sql(expr: str, profile: str) -> str:
     return case_map(expr, [(s, sql_num(h)) for s, _, h in lx.SCHEDULE_PROFILES[profile] if h is not None])
+
+
+# Configured overrides of the schedule table (a job parameter).
+SCHEDULE_OVERRIDES = [("2/2", 16.0, 11.0), ("5/2", -1.0, 9.0), ("1/1", 30.0, 12.0), ("9/9", 0.0, 0.0)]
+
+
+def sched_cfg_sql(overrides=SCHEDULE_OVERRIDES) -> str:
+    base = ", ".join(f"({sql_str(s)}, {n!r}::DOUBLE, {('NULL' if h is None else repr(h))}::DOUBLE)"
+                     for s, n, h in lx.SCHEDULE_PROFILES["board"])
+    ov = ", ".join(f"({sql_str(s)}, {n!r}::DOUBLE, {('NULL' if h is None else repr(h))}::DOUBLE)" for s, n, h in overrides)
+
+    def pick(c):
+        return f"CASE WHEN o.{c} IS NOT NULL AND o.{c} > 0 THEN o.{c} ELSE coalesce(b.{c}, 0.0) END"
+    return f"""
+b AS (SELECT * FROM (VALUES {base}) t(schedule, shifts_per_month, hours_per_shift)),
+o AS (SELECT * FROM (VALUES {ov}) t(schedule, shifts_per_month, hours_per_shift)),
+cfg AS (
+  SELECT * FROM (SELECT coalesce(b.schedule, o.schedule) AS schedule, {pick('shifts_per_month')} AS shifts_per_month,
+                        {pick('hours_per_shift')} AS hours_per_shift
+                 FROM b FULL OUTER JOIN o ON b.schedule = o.schedule)
+  WHERE shifts_per_month > 0 OR hours_per_shift > 0
+)"""

@@ -9,10 +9,12 @@ from ..functions.lookups import currency_code
 from ..functions.text import clean_text
 from ..operators import extract as X
 from ..operators import pay
+from ..operators import relational as R
+from ..session import shared_folder
 from ..sources.board import BOARD_SQL, board_records
 from ..sources.postings import postings
 from .catalog import register
-from .oracle import case_map, sql_num, sql_str, with_postings
+from .oracle import SCHEDULE_OVERRIDES, case_map, sched_cfg_sql, sql_num, sql_str, with_postings
 from .q_text import _clean_sql, _gross_sql
 
 _BOARD = {s: (n, h) for s, n, h in lx.SCHEDULE_PROFILES["board"]}
@@ -66,6 +68,33 @@ def q_shift_params(spark, sf_dir):
                                      F.array_join("param_notes", "; ").alias("notes"))
 
 
+def _config_path(spark):
+    """The schedule overrides as a landed configuration file."""
+    import json
+    entries = {s: {"shifts_per_month": n, "hours_per_shift": h} for s, n, h in SCHEDULE_OVERRIDES}
+    entries |= {"4/4": {"shifts_per_month": "14", "hours_per_shift": "many"}, "3/3": "not an object", "6/1": {}}
+    path = shared_folder(spark, "schedule_config")
+    spark.createDataFrame([(json.dumps({"queries": ["повар"], "graph_schedule_defaults": entries}),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+_CONFIG_M5 = (_M5_CTE.replace(case_map("sched", [(s, sql_num(v[1])) for s, v in _BOARD.items() if v[1]]), "nullif(c.hours_per_shift, 0.0)")
+              .replace(case_map("sched", [(s, sql_num(v[0])) for s, v in _BOARD.items() if v[0]]), "nullif(c.shifts_per_month, 0.0)")
+              .replace("SELECT *, CASE WHEN sched <> ''", "SELECT m5b.*, CASE WHEN sched <> ''")
+              .replace("  FROM m5b\n),\nm5 AS", "  FROM m5b LEFT JOIN cfg c ON c.schedule = sched\n),\nm5 AS"))
+
+
+@register("shift_params_config", with_postings(
+    "SELECT external_id, sched AS schedule, hours AS hours_per_shift, spm AS shifts_per_month,"
+    " array_to_string(pnotes, '; ') AS notes FROM m5", BOARD_SQL, sched_cfg_sql([*SCHEDULE_OVERRIDES, ("4/4", 14.0, None)]), _CONFIG_M5))
+def q_shift_params_config(spark, sf_dir):
+    """Shift parameters under a configuration read from JSON: overrides that
+    raise a value, are not positive, name an unknown schedule or are malformed."""
+    config = R.schedule_config(spark, R.read_schedule_overrides(spark, _config_path(spark)))
+    out = pay.shift_params(board_records(spark, sf_dir), config=config)
+    return out.select("external_id", "schedule", "hours_per_shift", "shifts_per_month", F.array_join("param_notes", "; ").alias("notes"))
+
+
 # ------------------------------------------------------------------ M4 ----
 def _conv_sql(x: str) -> str:
     return (f"(CASE WHEN per IN ('per_month', 'month', 'monthly') THEN {x} / 1000.0"
@@ -387,7 +416,6 @@ def normalize_board(board, min_salary=None, max_salary=None, city="Москва"
     period conversion (M4), defaults (P10), work format (T8), experience
     bucket (T9), merged conditions (T10), calc trail (P12); then the
     completeness merge per id (A13), the salary band (F4) and rounding."""
-    from ..operators import relational as R
     from ..operators.filters import salary_band
     m = pay.salary_notes(pay.monthly_pay(pay.shift_params(board), pay_from="salary_from", pay_to="salary_to"))
     m = m.withColumn("calc_notes", pay.calc_trail(F.col("param_notes"), F.col("salary_notes"), F.col("schedule"),

@@ -11,7 +11,7 @@ from ..operators import relational as R
 from ..session import cut_lineage, read_table
 from ..sources.postings import postings
 from .catalog import register
-from .oracle import sql_str, with_postings
+from .oracle import SCHEDULE_OVERRIDES, sched_cfg_sql, sql_str, with_postings
 from .q_text import AS_OF, _match_form_sql, _reldate_sql, re2, rx_any
 
 
@@ -208,31 +208,9 @@ def q_card_detail(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ J3 / S14 -
-# Configured overrides of the schedule table (a job parameter).
-SCHEDULE_OVERRIDES = [("2/2", 16.0, 11.0), ("5/2", -1.0, 9.0), ("1/1", 30.0, 12.0), ("9/9", 0.0, 0.0)]
-
-
-def _sched_cfg_sql() -> str:
-    base = ", ".join(f"({sql_str(s)}, {n!r}::DOUBLE, {('NULL' if h is None else repr(h))}::DOUBLE)"
-                     for s, n, h in lx.SCHEDULE_PROFILES["board"])
-    ov = ", ".join(f"({sql_str(s)}, {n!r}::DOUBLE, {h!r}::DOUBLE)" for s, n, h in SCHEDULE_OVERRIDES)
-
-    def pick(c):
-        return f"CASE WHEN o.{c} IS NOT NULL AND o.{c} > 0 THEN o.{c} ELSE coalesce(b.{c}, 0.0) END"
-    return f"""
-b AS (SELECT * FROM (VALUES {base}) t(schedule, shifts_per_month, hours_per_shift)),
-o AS (SELECT * FROM (VALUES {ov}) t(schedule, shifts_per_month, hours_per_shift)),
-cfg AS (
-  SELECT * FROM (SELECT coalesce(b.schedule, o.schedule) AS schedule, {pick('shifts_per_month')} AS shifts_per_month,
-                        {pick('hours_per_shift')} AS hours_per_shift
-                 FROM b FULL OUTER JOIN o ON b.schedule = o.schedule)
-  WHERE shifts_per_month > 0 OR hours_per_shift > 0
-)"""
-
-
 @register("sched_lookup", with_postings(
     "SELECT p.posting_id, p.schedule, c.shifts_per_month, c.hours_per_shift FROM postings p"
-    " LEFT JOIN cfg c ON p.schedule = c.schedule", _sched_cfg_sql()))
+    " LEFT JOIN cfg c ON p.schedule = c.schedule", sched_cfg_sql()))
 def q_sched_lookup(spark, sf_dir):
     dim = R.schedule_config(spark, SCHEDULE_OVERRIDES)
     return R.schedule_lookup(postings(spark, sf_dir).select("posting_id", "schedule"), dim)
