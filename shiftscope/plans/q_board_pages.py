@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import records as REC
-from ..session import cut_lineage, read_table
+from ..session import cut_lineage, read_table, shared_folder
 from ..sources import board_pages as BP
 from ..sources import html_parse as H
 from ..sources import pages as PG
@@ -246,7 +246,7 @@ def q_salary_candidates(spark, sf_dir):
 # ------------------------------------------------------------------ the chain --
 _STATE = f"""seen AS (
   SELECT c.external_id, c.page_id, c.pos, c.is_promoted, c.is_featured, c.url_listing, c.url_detail, c.title, c.posted_at_raw, c.location_text, c.address_raw,
-    CASE WHEN d.url_page IS NULL THEN NULL WHEN d.gone THEN 404 ELSE 200 END AS status, d.url_page IS NULL OR d.gone AS failed,
+    CASE WHEN d.url_page IS NULL THEN NULL WHEN d.gone THEN (CASE WHEN c.pk % 2 = 0 THEN 404 ELSE 429 END) ELSE 200 END AS status, d.url_page IS NULL OR d.gone AS failed,
     f.* EXCLUDE (title, salary_from, salary_to, salary_period),
     {_SALARY.replace('pk %', 'c.pk %').replace('sk %', 'c.sk %').replace('ln %', 'c.ln %').replace('q *', 'c.q *')},
     {_reldate_sql('c.posted_at_raw')} AS card_at
@@ -277,6 +277,26 @@ _STATE_DETAIL = {
     "favorites_count": "favs", "category_path": "'Работа|' || city", "photos_count": "photos", "lang": "'ru'"}
 
 
+_REPORT = _STATE[:_STATE.index(",\nlast AS")].replace(" AND (failed OR coalesce(salary_from, salary_to, 0) <> 0)", "")
+_REPORT = _REPORT + """,
+record AS (
+  SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY page_id DESC, pos DESC) AS r FROM kept
+)"""
+
+
+@register("collection_coverage", with_postings(
+    "SELECT (SELECT count(*) FROM kept) AS sightings, (SELECT count(*) FROM kept WHERE NOT failed) AS details,"
+    " (SELECT count(*) FROM kept WHERE failed) AS failures, (SELECT count(*) FROM kept WHERE status IN (403, 429)) AS blocks, count(*) AS records,"
+    " count(*) FILTER (NOT failed AND coalesce(salary_from, salary_to, 0) <> 0) * 100.0 / greatest(count(*), 1) AS salary_pct,"
+    " count(*) FILTER (NOT failed AND hint IS NOT NULL) * 100.0 / greatest(count(*), 1) AS hours_pct FROM record WHERE r = 1",
+    _AV, _CARDS, _DETAIL, _REPORT))
+def q_collection_coverage(spark, sf_dir):
+    """Report of one collection run over the board pages: records, shares,
+    details read, failures and refusals."""
+    parsed = cut_lineage(H.parse(BP.board_pages(spark, sf_dir)))
+    return REC.collection_coverage(parsed, F.lit(AS_OF).cast("timestamp_ntz"), shared_folder(spark, "collected"), F.lit(RANGE))
+
+
 @register("board_pages_state", with_postings(
     "SELECT external_id, NOT failed AS is_active, title, url_listing, url_detail, status, "
     + ", ".join(f"CASE WHEN NOT failed THEN {v} END AS {k}" for k, v in _STATE_DETAIL.items())

@@ -49,3 +49,14 @@ def q_first_seen_events(spark, sf_dir):
     """First sighting of each (user, event type), run as a stream."""
     run = S.new_run_dir(spark, "first_seen")
     return S.first_seen(spark, S.run_first_seen(spark, table_path(sf_dir, "events"), run))
+
+
+@register("first_seen_window", """
+SELECT window_start, event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_start, user_id, event_type ORDER BY ts, event_id) AS rn FROM (
+    SELECT *, time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01') AS window_start FROM events WHERE ts IS NOT NULL)) WHERE rn = 1""")
+def q_first_seen_window(spark, sf_dir):
+    """First sighting of each (user, event type) per 30 days, run as a stream
+    with a watermark."""
+    run = S.new_run_dir(spark, "first_window")
+    return S.first_seen_window(spark, S.run_first_in_window(spark, table_path(sf_dir, "events"), run))

@@ -119,5 +119,32 @@ def first_seen(spark: SparkSession, changelog: str) -> DataFrame:
                .select("f.event_id", "f.ts", "user_id", "event_type", "f.value", "f.props"))
 
 
+SEEN_WINDOW = "30 days"
+SEEN_DELAY = "7 days"
+
+
+def first_in_window(events: DataFrame, window: str = SEEN_WINDOW) -> DataFrame:
+    """First sighting of each (user, event type) in every window of event
+    time, by (ts, event_id).  Rows without a time belong to no window."""
+    first = F.min_by(F.struct("event_id", "ts", "value", "props"), F.struct("ts", "event_id"))
+    return events.where(F.col("ts").isNotNull()).groupBy(F.window("ts", window).alias("w"), "user_id", "event_type").agg(first.alias("first"))
+
+
+def run_first_in_window(spark: SparkSession, source: str, run_dir: str, window: str = SEEN_WINDOW, delay: str = SEEN_DELAY,
+                        max_files_per_trigger: int | None = None) -> str:
+    """The same over a stream, in bounded state: a window's keys are let go
+    once the watermark (latest event time seen, less ``delay``) has passed its
+    end; rows for such a window come too late and change nothing."""
+    changelog, ckpt = f"{run_dir}/first_window", f"{run_dir}/checkpoint_fw"
+    _drain(first_in_window(_source(spark, source, max_files_per_trigger).withWatermark("ts", delay), window), changelog, ckpt)
+    return changelog
+
+
+def first_seen_window(spark: SparkSession, changelog: str) -> DataFrame:
+    log = spark.read.parquet(changelog)
+    return (log.groupBy("w", "user_id", "event_type").agg(F.max_by("first", "epoch").alias("f"))
+               .select(F.col("w.start").alias("window_start"), "f.event_id", "f.ts", "user_id", "event_type", "f.value", "f.props"))
+
+
 def new_run_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, "streams", name, uuid.uuid4().hex[:12])
