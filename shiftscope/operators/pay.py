@@ -239,43 +239,50 @@ def calc_trail(param_notes: Column, salary_notes: Column, schedule: Column, hour
 
 
 # -- P13 ------------------------------------------------------------------
+BOARD_SOURCE = "avito.ru"
+
+
 def legacy_row(df: DataFrame) -> DataFrame:
-    """Board record -> export row: RUB-only salary in thousands (0.001),
-    explicit hourly/shift pay from the period, the rate cascade with a
-    structured shift length, the 12 h income, the sanitised schedule and
-    the human note."""
+    """Flat board record (``navigate.flat``) -> export row: RUB-only salary in
+    thousands (0.001), explicit hourly/shift pay from the period, the rate
+    cascade (M3) with the structured shift length or the one that the schedule
+    hint states, the 12 h income, the sanitised schedule, the notes of the
+    calculation and the human note."""
+    from . import extract as X
     cur = F.upper(F.coalesce(F.col("salary_currency"), F.lit("")))
-    rub = (cur == "") | (cur == "RUB")
-    lo, hi = F.col("salary_from"), F.col("salary_to")
-    from_tr = F.when(rub & lo.isNotNull(), F.bround(lo / 1000.0, 3))
-    to_tr = F.when(rub & hi.isNotNull(), F.bround(hi / 1000.0, 3))
+    rub = cur.isin("", "RUB")
+    lo, hi, per = F.col("salary_from"), F.col("salary_to"), F.col("salary_period")
     n_vals = F.when(lo.isNotNull(), 1).otherwise(0) + F.when(hi.isNotNull(), 1).otherwise(0)
-    mean = F.when(n_vals > 0, (F.coalesce(lo, F.lit(0.0)) + F.coalesce(hi, F.lit(0.0))) / n_vals)
-    per = F.col("salary_period")
-    explicit = F.when(per == "per_hour", mean)
-    shift_sum = F.when(per.isin("per_shift", "per_day"), mean)
-    slen = F.col("shift_length_hours")
-    first = (F.when(_truthy(explicit), F.struct(F.bround(explicit, 2).alias("r"), F.lit("exact:explicit_hourly").alias("m")))
-              .when(shift_sum.isNull(), F.struct(F.lit(None).cast("double").alias("r"), F.lit("unresolved:no_shift_payment").alias("m")))
-              .when(slen.isNull(), F.struct(F.lit(None).cast("double").alias("r"), F.lit("unresolved:shift_duration").alias("m")))
-              .when(slen <= 0, F.struct(F.lit(None).cast("double").alias("r"), F.lit("unresolved:invalid_shift_duration").alias("m")))
-              .otherwise(F.struct(F.bround(shift_sum / slen, 2).alias("r"),
-                                  F.lit("exact:shift_payment_div_shift_hours").alias("m"))))
-    sched = F.when(F.coalesce(F.col("schedule_hint"), F.lit("")) != "", F.col("schedule_hint")).otherwise(F.col("shift_pattern"))
-    len_out = F.coalesce(slen, F.when(F.coalesce(sched, F.lit("")) != "", schedule_hours(first_schedule(sched), "fetch")))
-    derived = derive_rate(from_tr, len_out, sched)
-    use_derived = first["r"].isNull() & (_truthy(from_tr) | _truthy(to_tr)) & _truthy(derived["hourly"])
-    hour = F.when(use_derived, derived["hourly"]).otherwise(first["r"])
-    method = F.when(use_derived, F.lit("derived:salary_based")).otherwise(first["m"])
-    shift12 = F.when(_truthy(hour), hour * 12.0).when(_truthy(shift_sum) & _truthy(len_out), shift_sum * (12.0 / len_out))
-    sane = F.when(F.trim(sched).rlike(r"^\d+/\d+(?:\s*,\s*\d+/\d+)*$"), F.trim(sched))
-    note = F.concat_ws("; ", F.when(F.coalesce(sched, F.lit("")) == "", F.lit("График не распознан")),
-                       F.when(len_out.isNull(), F.lit("Длительность смены не указана")))
-    return df.select(
-        "external_id",
-        F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit(lx.NO_TITLE)).alias("title"),
-        F.col("employer_name").alias("employer"),
-        from_tr.alias("salary_from_k"), to_tr.alias("salary_to_k"),
-        shift12.alias("income_12h"), hour.alias("hourly"), method.alias("hourly_method"),
-        len_out.alias("shift_hours"), sane.alias("schedule"),
-        F.col("url_detail").alias("url"), note.alias("note"))
+    hint = F.coalesce("schedule_hint", F.lit(""))
+    d = df.withColumns({
+        "salary_from_k": F.when(rub, F.bround(lo / 1000.0, 3)), "salary_to_k": F.when(rub, F.bround(hi / 1000.0, 3)),
+        "_mean": F.when(n_vals > 0, (F.coalesce(lo, F.lit(0.0)) + F.coalesce(hi, F.lit(0.0))) / n_vals),
+        "_len": F.coalesce("shift_length_hours", F.when(hint.rlike(r"\d\s*(?:ч|[-–—:])"), X.shift_length(hint)["hours"])),
+        "schedule": F.coalesce(F.nullif(hint, F.lit("")), F.col("shift_pattern"))})
+    d = d.withColumns({"hourly": F.when(per == "per_hour", F.col("_mean")), "shift_pay": F.when(per.isin("per_shift", "per_day"), F.col("_mean")),
+                       "_sure": F.lit("high"), "_unsure": F.lit(False)})
+    d = rate_cascade(d, shift_len="_len", shift_confidence="_sure", shift_ambiguous="_unsure")
+    hour, pay, out, method = (F.col(c) for c in ("hourly_rate", "shift_pay", "shift_len_out", "hourly_method"))
+    derived = method == "derived:salary_based"
+    shown = lambda c, none: F.coalesce(c.cast("string"), F.lit(none))
+    notes = F.concat_ws(" | ", (
+        F.when(_truthy(F.col("hourly")), F.lit("hourly rate explicitly found in text")).when(pay.isNull(), F.lit("no shift payment found"))
+         .when(F.col("_len").isNull(), F.lit("shift duration unresolved")).when(F.col("_len") <= 0, F.lit("invalid shift duration"))
+         .otherwise(F.concat(F.lit("computed from shift payment "), pay.cast("string"), F.lit(" / "), F.col("_len").cast("string"), F.lit("h")))),
+        F.when(derived, F.concat(F.lit("derived from monthly salary (schedule="), shown(F.col("schedule"), "None"), F.lit(", shift="),
+                                 shown(out, "None"), F.lit("h)"))))
+    sched = F.trim("schedule")
+    return d.select(
+        "external_id", F.coalesce("title", F.lit(lx.NO_TITLE)).alias("title"), F.col("employer_name").alias("employer"), "published",
+        "salary_from_k", "salary_to_k",
+        F.when(_truthy(hour), hour * 12.0).when(_truthy(pay) & _truthy(out), pay * (12.0 / out)).alias("income_12h"),
+        hour.alias("hourly"), method.alias("hourly_method"), out.alias("shift_hours"),
+        F.when(F.col("_len").isNotNull(), "structured_field").otherwise("unresolved").alias("shift_source"),
+        F.when(F.col("_len").isNotNull(), "high").otherwise("low").alias("shift_confidence"), notes.alias("parsing_notes"),
+        "experience", F.col("employment_type").alias("employment"),
+        F.when(sched.rlike(r"^\d+/\d+(?:\s*,\s*\d+/\d+)*$"), sched).alias("schedule"), F.lit(None).cast("string").alias("pay_frequency"),
+        F.array_join(F.coalesce("benefits", F.array().cast("array<string>")), ", ").alias("benefits"), F.col("duties_raw").alias("duties"),
+        F.col("url_detail").alias("url"),
+        F.concat_ws("; ", F.when(F.coalesce("schedule", F.lit("")) == "", F.lit("График не распознан")),
+                    F.when(out.isNull(), F.lit("Длительность смены не указана"))).alias("note"),
+        F.lit(BOARD_SOURCE).alias("source"))

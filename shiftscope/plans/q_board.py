@@ -8,10 +8,10 @@ from .. import lexicon as lx
 from ..functions.lookups import currency_code
 from ..functions.text import clean_text
 from ..operators import extract as X
-from ..operators import pay
+from ..operators import navigate, pay
 from ..operators import relational as R
 from ..session import shared_folder
-from ..sources.board import BOARD_SQL, board_records
+from ..sources.board import BOARD_SQL, NESTED_SQL, board_records, nested_records
 from ..sources.postings import postings
 from .catalog import register
 from .oracle import SCHEDULE_OVERRIDES, case_map, sched_cfg_sql, sql_num, sql_str, with_postings
@@ -198,15 +198,19 @@ def q_audit_log(spark, sf_dir):
 
 # ------------------------------------------------------------------ P10 ---
 _CITY_EXPR = "coalesce(location_city, 'Москва')"
+
+
 @register("defaults", with_postings(
     f"SELECT external_id, coalesce(nullif({_clean_sql('employer_name')}, ''), {sql_str(lx.NO_COMPANY)}) AS company,"
-    f" {_clean_sql('title')} AS title, {_clean_sql(_CITY_EXPR)} AS city FROM board", BOARD_SQL))
+    f" {_clean_sql('title')} AS title, {_clean_sql(_CITY_EXPR)} AS city, coalesce(region, 'Москва') AS region FROM nested", BOARD_SQL, NESTED_SQL))
 def q_defaults(spark, sf_dir):
-    b = board_records(spark, sf_dir)
+    b = nested_records(spark, sf_dir)
+    region = navigate.first_of(["location_area", "region"], navigate.TEXT)
     return b.select("external_id",
                     F.coalesce(F.nullif(clean_text(F.col("employer_name")), F.lit("")), F.lit(lx.NO_COMPANY)).alias("company"),
                     clean_text(F.col("title")).alias("title"),
-                    clean_text(F.coalesce(F.col("location_city"), F.lit("Москва"))).alias("city"))
+                    clean_text(F.coalesce(F.col("location_city"), F.lit("Москва"))).alias("city"),
+                    navigate.pick_region(region, None, "Москва").alias("region"))
 
 
 # ------------------------------------------------------------------ P11 ---
@@ -232,8 +236,9 @@ _P13_CTE = f"""
 l0 AS (
   SELECT *, upper(coalesce(salary_currency, '')) AS cur,
     (CASE WHEN salary_from IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN salary_to IS NOT NULL THEN 1 ELSE 0 END) AS nv,
-    CASE WHEN coalesce(schedule_hint, '') <> '' THEN schedule_hint ELSE shift_pattern END AS sch
-  FROM board
+    coalesce(nullif(schedule_hint, ''), shift_pattern) AS sch,
+    coalesce(structured, CASE WHEN contains(schedule_hint, ' по 11 часов') THEN 11.0 END) AS shift_length_hours
+  FROM nested
 ),
 l1 AS (
   SELECT *, CASE WHEN cur IN ('', 'RUB') AND salary_from IS NOT NULL THEN round_even(salary_from / 1000.0, 3) END AS from_tr,
@@ -273,23 +278,31 @@ l5 AS (
             AND dh IS NOT NULL AND dh <> 0 AS use_d FROM l4
 ),
 legacy AS (
-  SELECT external_id, coalesce(nullif(title, ''), {sql_str(lx.NO_TITLE)}) AS title, employer_name AS employer,
+  SELECT external_id, coalesce(title, {sql_str(lx.NO_TITLE)}) AS title, employer_name AS employer, published,
     from_tr AS salary_from_k, to_tr AS salary_to_k,
     CASE WHEN h IS NOT NULL AND h <> 0 THEN h * 12.0
          WHEN shift_sum IS NOT NULL AND shift_sum <> 0 AND len_out IS NOT NULL AND len_out <> 0 THEN shift_sum * (12.0 / len_out) END AS income_12h,
-    h AS hourly, CASE WHEN use_d THEN 'derived:salary_based' ELSE m1 END AS hourly_method,
-    len_out AS shift_hours,
+    h AS hourly, CASE WHEN use_d THEN 'derived:salary_based' ELSE m1 END AS hourly_method, len_out AS shift_hours,
+    CASE WHEN shift_length_hours IS NOT NULL THEN 'structured_field' ELSE 'unresolved' END AS shift_source,
+    CASE WHEN shift_length_hours IS NOT NULL THEN 'high' ELSE 'low' END AS shift_confidence,
+    concat_ws(' | ', CASE m1 WHEN 'exact:explicit_hourly' THEN 'hourly rate explicitly found in text'
+        WHEN 'unresolved:no_shift_payment' THEN 'no shift payment found' WHEN 'unresolved:shift_duration' THEN 'shift duration unresolved'
+        ELSE 'computed from shift payment ' || CAST(shift_sum AS VARCHAR) || ' / ' || CAST(CAST(shift_length_hours AS DOUBLE) AS VARCHAR) || 'h' END,
+      CASE WHEN use_d THEN 'derived from monthly salary (schedule=' || coalesce(sch, 'None') || ', shift='
+        || coalesce(CAST(CAST(len_out AS DOUBLE) AS VARCHAR), 'None') || 'h)' END) AS parsing_notes,
+    experience, employment_type AS employment,
     CASE WHEN regexp_full_match(trim(sch), '\\d+/\\d+(?:\\s*,\\s*\\d+/\\d+)*') THEN trim(sch) END AS schedule,
-    url_detail AS url,
+    NULL AS pay_frequency, benefits, duties_raw AS duties, url_detail AS url,
     concat_ws('; ', CASE WHEN coalesce(sch, '') = '' THEN 'График не распознан' END,
-              CASE WHEN len_out IS NULL THEN 'Длительность смены не указана' END) AS note
+              CASE WHEN len_out IS NULL THEN 'Длительность смены не указана' END) AS note, 'avito.ru' AS source
   FROM (SELECT *, CASE WHEN use_d THEN dh ELSE r1 END AS h FROM l5)
 )"""
 
 
-@register("legacy_row", with_postings("SELECT * FROM legacy", BOARD_SQL, _P13_CTE))
+@register("legacy_row", with_postings("SELECT * FROM legacy", BOARD_SQL, NESTED_SQL, _P13_CTE))
 def q_legacy_row(spark, sf_dir):
-    return pay.legacy_row(board_records(spark, sf_dir))
+    """Export rows of nested board records, with all their columns."""
+    return pay.legacy_row(navigate.flat(nested_records(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ M3 ----
