@@ -39,8 +39,10 @@ from pyspark.sql import types as T
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK_CHARS = 2_000_000
-CACHE_SEGMENTS = 200_000
+CHUNK_CHARS = 500_000
+CACHE_SEGMENTS = 150_000
+RUN_CHARS = 200_000        # characters of new segments that are indexed at once
+PAIRS = 500_000            # answers about neighbouring tokens that are kept
 
 
 def read_model(path: str = DEFAULT_MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -274,13 +276,15 @@ class Model:
         new = [s for s in number if s not in cache]
         fresh: dict[str, tuple[int, ...]] = {s: self._direct(s) for s in new if s.startswith(BLANK * 2)}
         plain = [s for s in new if not s.startswith(BLANK * 2)]
-        if plain:
-            fresh.update(zip(plain, self.encode_segments(plain)))
+        for run in _runs(plain):
+            fresh.update(zip(run, self.encode_segments(run)))
+            if len(self._pair) > PAIRS:
+                self._pair.clear()
         found = [fresh[s] if s in fresh else cache[s] for s in number]
-        if len(cache) < CACHE_SEGMENTS:
+        if len(cache) + len(fresh) > CACHE_SEGMENTS:
+            cache.clear()               # newer texts' segments take the place of older ones'
+        if len(fresh) <= CACHE_SEGMENTS:
             cache.update(fresh)
-        if len(self._pair) > 4_000_000:
-            self._pair.clear()
         size = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for f in found for i in f), np.int32, int(size.sum()))
         first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.zeros(0, np.int64)
@@ -296,6 +300,20 @@ class Model:
         return s[1:] if s[:1] == " " else s
 
 
+def _runs(segs: list[str]) -> Iterator[list[str]]:
+    """Segments in runs of about ``RUN_CHARS`` characters: the index of a run
+    takes some hundred bytes a character.  A segment is never divided."""
+    run, size = [], 0
+    for s in segs:
+        run.append(s)
+        size += len(s) + 1
+        if size >= RUN_CHARS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 _MODELS: dict[int, Model] = {}
 
 
