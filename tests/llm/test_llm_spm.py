@@ -57,11 +57,10 @@ def test_runs_and_a_full_cache_change_nothing(spark, monkeypatch):
     from shiftscope.llm import spm
     texts = [t or "" for t in ODD_TEXTS] + [f"neu{i} wört{i * 7} 漢{i}" for i in range(400)]
     want, sizes = spm.Model(*spm.read_model(spm.DEFAULT_MODEL)).encode(texts)
-    monkeypatch.setattr(spm, "RUN_CHARS", 50)
     monkeypatch.setattr(spm, "CACHE_SEGMENTS", 30)
     monkeypatch.setattr(spm, "PAIRS", 5)
     small = spm.Model(*spm.read_model(spm.DEFAULT_MODEL))
     for part in (texts, texts[5:60], texts):
-        got, n = small.encode(part)
+        got, n = small.encode(part, 50)
         assert len(n) == len(part)
     assert got.tolist() == want.tolist() and n.tolist() == sizes.tolist()
