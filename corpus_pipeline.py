@@ -47,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d = spm.encode_checked(docs.select("doc_id", "source", "lang", "text"))
+    # in a long-running application the encoder shares its executor with what the other stages left
+    d = spm.encode_checked(docs.select("doc_id", "source", "lang", "text"), chunk_chars=spm.FRUGAL_CHARS)
     return d.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
