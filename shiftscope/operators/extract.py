@@ -9,6 +9,8 @@ here carries it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,28 @@ from .dates import relative_datetime  # noqa: F401
 U = "(?iU)"
 
 
+# Word edges on lower-cased Latin and Cyrillic text, as classes: much cheaper
+# than Unicode-aware, case-folding boundaries.
+WORD_CLASS = "0-9a-zа-яёієїґ_"
+E0, E1 = f"(?<![{WORD_CLASS}])", f"(?![{WORD_CLASS}])"
+GAP = r"[\s\u00a0\u202f]"
+
+
 def _rx(p: str) -> Column:
     return F.lit(U + p)
 
 
-def _pairs(t: Column, pattern: str, fmt=None) -> Column:
-    """Array of 'a/b' strings from all (group1, group2) matches.
+def _pairs(t: Column, pattern: str, literal: Column, fmt=None) -> Column:
+    """Array of 'a/b' strings from all (group1, group2) matches in lower-cased
+    text; ``literal`` is a cheap test without which there can be none.
 
     One scan for the whole matches; the groups are then taken from each
     short match string, so the lambda never re-reads the full text."""
     conv = fmt or (lambda x: x)
-    ms = F.regexp_extract_all(t, _rx(pattern), 0)
-    return F.transform(ms, lambda m: F.concat(conv(F.regexp_extract(m, U + pattern, 1)), F.lit("/"),
-                                              conv(F.regexp_extract(m, U + pattern, 2))))
+    ms = F.regexp_extract_all(t, F.lit(pattern), 0)
+    found = F.transform(ms, lambda m: F.concat(conv(F.regexp_extract(m, pattern, 1)), F.lit("/"),
+                                               conv(F.regexp_extract(m, pattern, 2))))
+    return F.when(literal, found).otherwise(F.array().cast("array<string>"))
 
 
 # -- T5 / F8 ---------------------------------------------------------------
@@ -60,14 +71,19 @@ def schedule_list(text: Column, src: Column | None = None, prepared: bool = Fals
     ``prepared``: ``text`` already is ``schedule_text(...)``."""
     t = text if prepared else schedule_text(text, src)
     word_num = lambda x: lookup([(w, str(n)) for w, n in lx.SCHEDULE_NUMBER_WORDS], x)
+    number, through = "([1-9][0-9]?)", t.contains("через")
+    sep = SCHED_SEP.replace(r"\s", GAP)
+    pair = E0 + number + sep + number + E1
     parts = [
-        _pairs(t, r"\b([1-9]\d?)" + SCHED_SEP + r"([1-9]\d?)\b"),
-        _pairs(t, r"\b(" + NUM_WORDS + r")\s+через\s+(" + NUM_WORDS + r")\b", word_num),
-        _pairs(t, r"\b([1-9]\d?)\s+через\s+([1-9]\d?)\b"),
-        _pairs(t, r"\bвахт\w*\s*([1-9]\d?)" + SCHED_SEP + r"([1-9]\d?)\b"),
+        _pairs(t, pair, t.rlike(f"[0-9]{sep}[1-9]")),
+        _pairs(t, f"{E0}({NUM_WORDS}){GAP}+через{GAP}+({NUM_WORDS}){E1}", through, word_num),
+        _pairs(t, f"{E0}{number}{GAP}+через{GAP}+{number}{E1}", through),
+        _pairs(t, f"{E0}вахт[{WORD_CLASS}]*{GAP}*{number}{sep}{number}{E1}", t.contains("вахт")),
     ]
     for pat, val in lx.SCHEDULE_PHRASES:
-        parts.append(F.when(t.rlike(U + pat), F.array(F.lit(val))).otherwise(F.array().cast("array<string>")))
+        first = re.match("[а-я]+", pat).group()
+        plain = pat.replace(r"\w", f"[{WORD_CLASS}]").replace(r"\s", GAP)
+        parts.append(F.when(t.contains(first) & t.rlike(plain), F.array(F.lit(val))).otherwise(F.array().cast("array<string>")))
     found = F.array_distinct(F.concat(*parts))
     return F.when(F.size(found) > 0, F.array_join(found, ", "))
 
@@ -311,8 +327,10 @@ def iso_date(s: Column) -> Column:
 
 
 # -- T4 -------------------------------------------------------------------
-TIME_RANGE_RE = r"(?:\bс\s*)?(\d{1,2})(?::(\d{1,2}))?\s*(?:до|по|-|—|–)\s*(\d{1,2})(?::(\d{1,2}))?"
-HOURS_RE = r"\b(\d{1,2}(?:[\.,]\d+)?)\s*(?:-|‑)?\s*(?:час(?:ов|а|овой|овая|овые|овый)?|ч\.?\b)"
+# (on lower-cased text with plain blanks)
+TIME_RANGE_RE = rf"(?:{E0}с\s*)?([0-9]{{1,2}})(?::([0-9]{{1,2}}))?\s*(?:до|по|-|—|–)\s*([0-9]{{1,2}})(?::([0-9]{{1,2}}))?"
+HOURS_RE = rf"{E0}([0-9]{{1,2}}(?:[\.,][0-9]+)?)\s*(?:-|‑)?\s*(?:час(?:ов|а|овой|овая|овые|овый)?|ч{E1})"
+MARK = "\u0001"   # stands for a match while a text is cut at it
 
 
 def _shift_norm(text: Column) -> Column:
@@ -329,14 +347,14 @@ def _match_spans(t: Column, pattern: str, ctx: int = 25, tail: int = 6) -> Colum
     """Array<struct<m, s, tail, ctx>>: every match with its 0-based start,
     the ``tail`` chars after it and +-``ctx`` chars around it.
 
-    ``split`` and ``regexp_extract_all`` scan with the same matcher, so the
-    cumulative fragment and match lengths give each match's offset.  One
+    ``regexp_replace`` and ``regexp_extract_all`` scan with the same matcher, so
+    the cumulative fragment and match lengths give each match's offset (a
+    ``split`` by the pattern would compile it for every row).  One
     ``aggregate`` pass over (fragment, match, text) triples computes all
     offsets; the lambda touches only its element, so nothing outside it
     is re-evaluated per match."""
-    rx = U + pattern
-    frags = F.split(t, rx, -1)
-    ms = F.regexp_extract_all(t, F.lit(rx), 0)
+    frags = F.split(F.regexp_replace(F.translate(t, MARK, " "), pattern, MARK), MARK, -1)
+    ms = F.regexp_extract_all(t, F.lit(pattern), 0)
     n = F.size(ms)
     z = F.arrays_zip(F.slice(frags, 1, n).alias("f"), ms.alias("m"), F.array_repeat(t, n).alias("t"))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
@@ -374,11 +392,12 @@ def shift_length(text: Column, prepared: bool = False) -> Column:
     (weight, hours); several distinct hours -> ambiguous; a best weight
     <= -1 leaves it unresolved.  ``prepared``: ``text`` is already normalised."""
     t = text if prepared else _shift_norm(text)
-    tr = _match_spans(t, TIME_RANGE_RE)
+    none = F.array().cast(SPAN_TYPE)
+    tr = F.when(t.rlike("[0-9]\\s*(?:до|по|[-—–])"), _match_spans(t, TIME_RANGE_RE)).otherwise(none)
 
     def time_cand(x):
         raw = F.trim(x["m"])
-        g = lambda k: F.regexp_extract(x["m"], U + TIME_RANGE_RE, k)
+        g = lambda k: F.regexp_extract(x["m"], TIME_RANGE_RE, k)
         sh, sm, eh, em = g(1).try_cast("int"), g(2), g(3).try_cast("int"), g(4)
         sm = F.when(sm == "", 0).otherwise(sm.try_cast("int"))
         em = F.when(em == "", 0).otherwise(em.try_cast("int"))
@@ -389,10 +408,10 @@ def shift_length(text: Column, prepared: bool = False) -> Column:
               & sh.between(0, 23) & eh.between(0, 23) & dur.between(0.5, 24.0))
         return F.when(ok, F.struct(F.lit(3.0).alias("w"), F.bround(dur, 2).alias("h"), raw.alias("raw"),
                                    F.lit("description_time_range").alias("src"), F.lit("high").alias("conf")))
-    hr = _match_spans(t, HOURS_RE)
+    hr = F.when(t.rlike("[0-9]\\s*[-‑]?\\s*ч"), _match_spans(t, HOURS_RE)).otherwise(none)
 
     def hour_cand(x):
-        val = F.regexp_replace(F.regexp_extract(x["m"], U + HOURS_RE, 1), ",", ".").try_cast("double")
+        val = F.regexp_replace(F.regexp_extract(x["m"], HOURS_RE, 1), ",", ".").try_cast("double")
         tail = x["tail"]
         ctx = x["ctx"]
         w = (F.when(_any_contains(ctx, lx.SHIFT_BAD_WORDS), -3.0).otherwise(0.0)
@@ -514,7 +533,7 @@ def rate_segments(df: DataFrame, url: str = "url", text: str = "text", order: st
         for k, p in enumerate(pats):
             # the span pass (interpreted lambdas) runs only when the cheap
             # codegen'd rlike finds the marker at all
-            hits.append(F.when(low.rlike(U + p), F.transform(_match_spans(low, p), tag(typ, k)))
+            hits.append(F.when(low.rlike(U + p), F.transform(_match_spans(low, U + p), tag(typ, k)))
                          .otherwise(F.array().cast("array<struct<type:string,k:int,pos:int,s:int,len:int>>")))
     m = base.select("url", "ord", "cleaned", F.explode(F.concat(*hits)).alias("h")).select("url", "ord", "cleaned", "h.*")
     c = F.col("cleaned")

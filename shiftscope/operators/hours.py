@@ -1,12 +1,10 @@
-"""Working hours (T6, T13): contexts -> trigger lines -> normalised
-candidates -> best per record.
-
-Contexts are ``(id, ctx, text, url, selector, weight)`` rows.  Lines are
-exploded with their next three lines (``arrays_zip`` of shifted slices,
-so no window and no re-evaluation per element); only trigger lines
-become candidate rows, so the per-candidate array work runs on a small
-mention table.  The best candidate per id is a ``max_by`` aggregation
-(partial-aggregated before the shuffle).
+"""Working hours (T6): contexts -> trigger lines -> normalised candidates ->
+the best of a record, with the log of the decision.
+
+A record's contexts are an array of ``(text, selector, url, weight)`` on its
+own row.  Lines, triggers, normalised candidates and the pick are arrays on
+that row too: nothing is exploded, nothing is shuffled, and a record needs no
+key.  Heavy parsing runs only behind cheap literal tests.
 """
 
 from __future__ import annotations
@@ -18,17 +16,21 @@ from .. import lexicon as lx
 from ..functions.lookups import lookup
 from ..functions.text import let
 from . import extract as X
+from .extract import E0, E1, WORD_CLASS
 
 U = "(?iU)"
-_TOKS = "|".join(sorted((t for t, _ in lx.DAY_TOKENS), key=len, reverse=True)).replace("'", "'")
-DAY_TOKEN_RE = r"\b(" + _TOKS + r")\.?\b"
-DAY_RANGE_RE = r"\b(" + _TOKS + r")\.?\s*[-–—]\s*(" + _TOKS + r")\.?\b"
+_TOKS = "|".join(sorted((t for t, _ in lx.DAY_TOKENS), key=len, reverse=True))
+# patterns on lower-cased text
+DAY_TOKEN_RE = f"{E0}({_TOKS}){E1}"
+DAY_RANGE_RE = rf"{E0}({_TOKS})\.?\s*[-–—]\s*({_TOKS}){E1}"
+DAY_WORDS_RE = r"ежеднев|daily|каждый\s+день|щодн|будн|weekdays|выходн|weekend"
 SEG_SPLIT_RE = r"(?:(?:;|\||\n)|,(?=\s*(?:" + _TOKS + r"|ежеднев|daily|будн|weekdays|выходн|weekend)))"
 AMPM = r"(?:am|pm|a\.m\.|p\.m\.)"
 TIME_RANGE_RE = r"(\d{1,2}(?::\d{1,2})?\s*" + AMPM + r"?)\s*[-–—~]\s*(\d{1,2}(?::\d{1,2})?\s*" + AMPM + r"?)"
 FROM_TO_RE = r"(?:с|from)\s*(\d{1,2}(?::\d{1,2})?)\s*(?:до|to)\s*(\d{1,2}(?::\d{1,2})?)"
 SIMPLE_RANGE_RE = r"\b(\d{1,2})\s*[-–—]\s*(\d{1,2})\b"
 SHIFT_WORDS = ["смен", "shift", "сутк", "вахт"]
+_FLEXIBLE, _IS247 = (p.replace(r"\w", f"[{WORD_CLASS}]") for p in (lx.FLEXIBLE_RE, lx.IS247_RE))
 
 
 def _day_code(tok: Column) -> Column:
@@ -43,58 +45,50 @@ def _any_contains(c: Column, words) -> Column:
     return out
 
 
-def reason(line: Column, sched: Column | None = None) -> Column:
-    """Why a line (or joined lines) is a working-hours candidate, or NULL.
-    ``sched``: the line's schedule list when already computed."""
-    low = F.lower(line)
-    sched = X.schedule_list(line) if sched is None else sched
-    timey = (line.rlike(U + TIME_RANGE_RE) | line.rlike(U + FROM_TO_RE) | line.rlike(U + SIMPLE_RANGE_RE))
-    return (F.when(low.rlike(U + lx.FLEXIBLE_RE), F.lit("flexible"))
-             .when(low.rlike(U + lx.IS247_RE), F.lit("247"))
-             .when(low.rlike(U + DAY_TOKEN_RE) & (timey | line.rlike(r"\d{1,2}:\d{2}")), F.lit("day-time"))
-             .when(_any_contains(low, lx.WORK_SECTION_HINTS) & timey, F.lit("section-range"))
-             # any shift word triggers: the length result is always truthy there
-             .when(_any_contains(low, SHIFT_WORDS), F.lit("shift-length"))
-             .when(sched.isNotNull(), F.lit("schedule")))
-
-
-def candidates(ctx: DataFrame) -> DataFrame:
-    """(id, ctx, line_no, raw, reason): trigger lines, or a hint line joined
-    with up to three following non-empty lines until one triggers."""
-    lines = F.transform(F.split(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\r"), F.lit("\n")), "\n"),
-                        lambda s: F.trim(s))
-    d = ctx.withColumn("_l", lines)
-    n = F.size("_l")
-    z = F.arrays_zip(F.col("_l").alias("l"), F.slice("_l", 2, n).alias("n1"), F.slice("_l", 3, n).alias("n2"),
-                     F.slice("_l", 4, n).alias("n3"))
-    e = d.select("id", "ctx", "url", "selector", "weight", F.posexplode(z).alias("line_no", "z")).where(
-        F.col("z.l") != "")
-    l, n1, n2, n3 = F.col("z.l"), F.col("z.n1"), F.col("z.n2"), F.col("z.n3")
-    j1 = F.when(F.coalesce(n1, F.lit("")) != "", F.concat_ws(" ", l, n1))
-    j2 = F.when(j1.isNotNull() & (F.coalesce(n2, F.lit("")) != ""), F.concat_ws(" ", l, n1, n2))
-    j3 = F.when(j2.isNotNull() & (F.coalesce(n3, F.lit("")) != ""), F.concat_ws(" ", l, n1, n2, n3))
-    # the line's schedule list is computed once: the trigger test and the
-    # candidate normalisation both need it
-    e = e.withColumn("_s0", X.schedule_list(l))
-    e = e.withColumns({"_r0": reason(l, F.col("_s0")), "_hint": _any_contains(F.lower(l), lx.WORK_SECTION_HINTS)})
-    e = e.withColumn("_r1", F.when(F.col("_r0").isNull() & F.col("_hint"), reason(j1)))
-    e = e.withColumn("_r2", F.when(F.col("_r0").isNull() & F.col("_hint") & F.col("_r1").isNull(), reason(j2)))
-    e = e.withColumn("_r3", F.when(F.col("_r0").isNull() & F.col("_hint") & F.col("_r1").isNull()
-                                   & F.col("_r2").isNull(), reason(j3)))
-    raw = (F.when(F.col("_r0").isNotNull(), l).when(F.col("_r1").isNotNull(), j1)
-            .when(F.col("_r2").isNotNull(), j2).when(F.col("_r3").isNotNull(), j3))
-    why = F.coalesce("_r0", "_r1", "_r2", "_r3")
-    c = e.select("id", "ctx", "url", "selector", "weight", "line_no", F.trim(raw).alias("raw"), why.alias("reason"),
-                 F.col("_r0").isNotNull().alias("sched_done"), F.col("_s0").alias("sched_known"))
-    # unique raw text per context, first occurrence kept.  Non-trigger lines
-    # get a NULL order (skipped by min_by) and are dropped on the aggregate
-    # output: a filter on the computed reason would be pushed down with all
-    # staged reason columns inlined into it.
-    keep = F.min_by(F.struct("line_no", "url", "selector", "weight", "reason", "sched_done", "sched_known"),
-                    F.when(F.col("reason").isNotNull(), F.col("line_no")))
-    return c.groupBy("id", "ctx", "raw").agg(keep.alias("_k")).where(F.col("_k").isNotNull()).select(
-        "id", "ctx", F.col("_k.line_no").alias("line_no"), "_k.url", "_k.selector", "_k.weight", "raw", "_k.reason",
-        "_k.sched_done", "_k.sched_known")
+def reason(line: Column) -> Column:
+    """Why a line (or joined lines) is a working-hours candidate, or NULL."""
+    def why(low: Column) -> Column:
+        digits = low.rlike("[0-9]")
+        timey = digits & (low.rlike(TIME_RANGE_RE) | low.rlike(FROM_TO_RE) | low.rlike(SIMPLE_RANGE_RE))
+        return (F.when(low.rlike(_FLEXIBLE), F.lit("flexible"))
+                 .when(low.rlike(_IS247), F.lit("247"))
+                 .when(digits & low.rlike(DAY_TOKEN_RE) & (timey | low.rlike(r"\d{1,2}:\d{2}")), F.lit("day-time"))
+                 .when(_any_contains(low, lx.WORK_SECTION_HINTS) & timey, F.lit("section-range"))
+                 # any shift word triggers: the length result is always truthy there
+                 .when(_any_contains(low, SHIFT_WORDS), F.lit("shift-length"))
+                 .when(X.schedule_list(X.schedule_text(low), prepared=True).isNotNull(), F.lit("schedule")))
+    return let(F.lower(line), why)
+
+
+CANDIDATE = "struct<raw:string,reason:string>"
+
+
+def line_candidates(text: Column) -> Column:
+    """Array of (raw, reason): trigger lines, or a section hint joined with up
+    to three following non-empty lines until one triggers; of equal texts the
+    first."""
+    def from_lines(lines: Column) -> Column:
+        n = F.size(lines)
+        near = F.arrays_zip(lines.alias("l"), F.slice(lines, 2, n).alias("n1"), F.slice(lines, 3, n).alias("n2"), F.slice(lines, 4, n).alias("n3"))
+
+        def of_line(z: Column) -> Column:
+            there = lambda c: F.coalesce(c, F.lit("")) != ""
+
+            def with_reason(raw: Column, otherwise: Column) -> Column:
+                return let(reason(raw), lambda r: F.when(r.isNotNull(), F.struct(F.trim(raw).alias("raw"), r.alias("reason"))).otherwise(otherwise))
+
+            none = F.lit(None).cast(CANDIDATE)
+            j1, j2, j3 = (F.concat_ws(" ", *[z[k] for k in ("l", "n1", "n2", "n3")[:m]]) for m in (2, 3, 4))
+            third = F.when(there(z["n3"]), with_reason(j3, none)).otherwise(none)
+            second = F.when(there(z["n2"]), with_reason(j2, third)).otherwise(none)
+            first = F.when(there(z["n1"]), with_reason(j1, second)).otherwise(none)
+            joined = F.when(_any_contains(F.lower(z["l"]), lx.WORK_SECTION_HINTS), first).otherwise(none)
+            return F.when(z["l"] != "", with_reason(z["l"], joined)).otherwise(none)
+
+        return let(F.filter(F.transform(near, of_line), lambda c: c.isNotNull()),
+                   lambda cs: F.filter(cs, lambda c, i: F.array_position(F.transform(cs, lambda x: x["raw"]), c["raw"]) == i + 1))
+
+    return let(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.trim(x)), from_lines)
 
 
 # ---------------------------------------------------------------- times ---
@@ -124,19 +118,19 @@ def _minutes(v: Column) -> Column:
 def time_range(seg: Column) -> Column:
     """Struct(start, end) of a segment: 'с X до Y' / 'X–Y' with am/pm /
     'H–H' hours, else NULL.  Every intermediate is bound once (``let``)."""
-    t0 = F.regexp_replace(F.translate(seg, X.NBSP + "—–", " --"), r"(?<=\d)\.(?=\d)", ":")
+    t0 = F.regexp_replace(F.translate(F.lower(seg), X.NBSP + "—–", " --"), r"(?<=\d)\.(?=\d)", ":")
     rt = "struct<start:string,end:string>"
 
     def from_to(t):
-        g = F.struct(F.regexp_extract(t, U + FROM_TO_RE, 1).alias("a"), F.regexp_extract(t, U + FROM_TO_RE, 2).alias("b"))
+        g = F.struct(F.regexp_extract(t, FROM_TO_RE, 1).alias("a"), F.regexp_extract(t, FROM_TO_RE, 2).alias("b"))
         return let(g, lambda g: let(
             F.struct(_norm_time(g["a"])["v"].alias("s"), _norm_time(g["b"])["v"].alias("e")),
             lambda v: F.when((g["a"] != "") & v["s"].isNotNull() & v["e"].isNotNull(),
                              F.struct(v["s"].alias("start"), v["e"].alias("end")))))
 
     def ampm_range(t):
-        g = F.struct(F.regexp_extract(t, U + TIME_RANGE_RE, 1).alias("a"),
-                     F.regexp_extract(t, U + TIME_RANGE_RE, 2).alias("b"))
+        g = F.struct(F.regexp_extract(t, TIME_RANGE_RE, 1).alias("a"),
+                     F.regexp_extract(t, TIME_RANGE_RE, 2).alias("b"))
 
         def with_end(g, e):
             s = F.struct(_norm_time(g["a"], e["ampm"]).alias("st"), _norm_time(g["a"])["v"].alias("fb"))
@@ -170,17 +164,20 @@ def _expand(a: Column, b: Column) -> Column:
 def chunk_days(chunk: Column) -> Column:
     """Days named in a chunk: ranges first, then single names outside the
     ranges; 'daily'/'weekdays'/'weekend' words when no name is present."""
-    norm = F.translate(F.lower(F.translate(chunk, X.NBSP, " ")), "—–", "--")
-    rngs = F.regexp_extract_all(norm, F.lit(U + DAY_RANGE_RE), 0)
+    return let(F.translate(F.lower(F.translate(chunk, X.NBSP, " ")), "—–", "--"), _days_of)
+
+
+def _days_of(norm: Column) -> Column:
+    rngs = F.regexp_extract_all(norm, F.lit(DAY_RANGE_RE), 0)
     from_r = F.flatten(F.transform(rngs, lambda r: _expand(
-        _day_code(F.regexp_extract(r, U + DAY_RANGE_RE, 1)), _day_code(F.regexp_extract(r, U + DAY_RANGE_RE, 2)))))
-    rest = F.regexp_replace(norm, U + DAY_RANGE_RE, " ")
-    singles = F.filter(F.transform(F.regexp_extract_all(rest, F.lit(U + DAY_TOKEN_RE), 1), lambda s: _day_code(s)),
+        _day_code(F.regexp_extract(r, DAY_RANGE_RE, 1)), _day_code(F.regexp_extract(r, DAY_RANGE_RE, 2)))))
+    rest = F.regexp_replace(norm, DAY_RANGE_RE, " ")
+    singles = F.filter(F.transform(F.regexp_extract_all(rest, F.lit(DAY_TOKEN_RE), 1), lambda s: _day_code(s)),
                        lambda s: s.isNotNull())
     named = F.concat(from_r, singles)
-    words = (F.when(norm.rlike(U + r"ежеднев|daily|каждый\s+день|щодн"), F.array(*[F.lit(d) for d in lx.DAY_ORDER]))
-              .when(norm.rlike(U + r"будн|weekdays"), F.array(*[F.lit(d) for d in lx.DAY_ORDER[:5]]))
-              .when(norm.rlike(U + r"выходн|weekend"), F.array(*[F.lit(d) for d in lx.DAY_ORDER[5:]]))
+    words = (F.when(norm.rlike(r"ежеднев|daily|каждый\s+день|щодн"), F.array(*[F.lit(d) for d in lx.DAY_ORDER]))
+              .when(norm.rlike("будн|weekdays"), F.array(*[F.lit(d) for d in lx.DAY_ORDER[:5]]))
+              .when(norm.rlike("выходн|weekend"), F.array(*[F.lit(d) for d in lx.DAY_ORDER[5:]]))
               .otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.when(F.size(named) > 0, named).otherwise(words))
 
@@ -190,9 +187,9 @@ BY_DAY_T = "array<struct<day:string,start:string,end:string>>"
 
 def by_days(raw: Column) -> Column:
     """Struct(days array<struct<day,start,end>>, notes array<string>)."""
-    chunks = F.filter(F.transform(F.split(raw, U + SEG_SPLIT_RE), lambda s: F.trim(s)), lambda s: s != "")
+    chunks = F.filter(F.transform(F.split(F.regexp_replace(F.translate(raw, X.MARK, " "), U + SEG_SPLIT_RE, X.MARK), X.MARK), lambda s: F.trim(s)), lambda s: s != "")
     per0 = F.transform(chunks, lambda ch: F.struct(chunk_days(ch).alias("d"),
-                                                   F.lower(ch).rlike(U + lx.CLOSED_RE).alias("closed"),
+                                                   F.lower(ch).rlike(lx.CLOSED_RE).alias("closed"),
                                                    time_range(ch).alias("tr")))
     return let(per0, lambda per: _by_days_from(per))
 
@@ -209,70 +206,74 @@ def _by_days_from(per: Column) -> Column:
 
 
 # ------------------------------------------------------------ normalise ---
-def normalize(cands: DataFrame) -> DataFrame:
-    """Per candidate: by-days hours, 24/7, schedule + shift length,
-    confidence (1.0 / 0.9 / 0.6 / 0.5 / 0.3) and script language."""
-    # the day-by-day parser only runs where a day name or day word occurs
-    # (CaseWhen evaluates its branch lazily); elsewhere it would find nothing
+SHIFT_T = "struct<pattern:string,shift_length_hours:double>"
+
+
+def normalize(raw: Column) -> Column:
+    """Struct of a candidate: normalized{by_days, is_247, shift_based},
+    schedule_hint, notes, confidence (1.0 / 0.9 / 0.6 / 0.5 / 0.3), lang."""
     no_days = F.struct(F.array().cast(BY_DAY_T).alias("days"), F.array().cast("array<string>").alias("notes"))
-    dayish = F.col("raw").rlike(U + DAY_TOKEN_RE) | F.lower("raw").rlike(
-        U + r"ежеднев|daily|каждый\s+день|щодн|будн|weekdays|выходн|weekend")
-    known = F.coalesce(F.col("sched_done"), F.lit(False)) if "sched_done" in cands.columns else F.lit(False)
-    prior = F.col("sched_known") if "sched_known" in cands.columns else F.lit(None).cast("string")
-    c = cands.withColumns({"_low": F.lower("raw"),
-                           "_sched": F.when(known, prior).otherwise(X.schedule_list(F.col("raw"))),
-                           "_bd": F.when(dayish, by_days(F.col("raw"))).otherwise(no_days)})
-    c = c.withColumns({"_247": F.col("_low").rlike(U + lx.IS247_RE),
-                       "_shw": _any_contains(F.col("_low"), SHIFT_WORDS),
-                       "_flex": F.col("_low").rlike(U + lx.FLEXIBLE_RE)})
-    c = c.withColumn("_sn", X._shift_norm(F.col("raw")))
-    c = c.withColumn("_sl", F.when(F.col("_sched").isNotNull() | F.col("_shw"),
-                                   X.shift_length(F.col("_sn"), prepared=True)["hours"]))
-    has_days = F.size("_bd.days") > 0
-    shift = (F.when(F.col("_sched").isNotNull(), F.struct(F.col("_sched").alias("pattern"),
-                                                          F.col("_sl").alias("shift_length_hours")))
-              .when(F.col("_shw") & F.col("_sl").isNotNull(),
-                    F.struct(F.lit(None).cast("string").alias("pattern"), F.col("_sl").alias("shift_length_hours"))))
-    c = c.withColumn("_shift", shift)
-    conf = F.greatest(F.when(F.col("_247"), 0.9).otherwise(0.0), F.when(has_days, 1.0).otherwise(0.0),
-                      F.when(F.col("_sched").isNotNull(), F.when(F.col("_sl").isNotNull(), 0.6).otherwise(0.5))
-                       .when(F.col("_shift").isNotNull(), 0.6).otherwise(0.0))
-    conf = F.when(~has_days & ~F.col("_247") & F.col("_shift").isNull() & (F.col("_flex") | (conf == 0.0)),
-                  F.greatest(conf, F.lit(0.3))).otherwise(conf)
-    return c.select("id", "ctx", "line_no", "url", "selector", "weight", "raw", "reason",
-                    F.struct(F.col("_bd.days").alias("by_days"), F.col("_247").alias("is_247"),
-                             F.col("_shift").alias("shift_based")).alias("normalized"),
-                    F.col("_sched").alias("schedule_hint"),
-                    F.when(has_days, F.col("_bd.notes")).otherwise(F.array().cast("array<string>")).alias("notes"),
-                    F.bround(conf, 2).alias("confidence"), X.script_lang(F.col("raw")).alias("lang"))
-
-
-def working_hours(contexts: DataFrame) -> DataFrame:
-    """One row per id: raw_matches, schedule_hint, confidence, lang, notes,
-    normalized{by_days, is_247, shift_based}, source[{selector, url}]."""
-    n = normalize(candidates(contexts))
-    order = F.struct(F.col("ctx"), F.col("line_no"))
-    # (confidence, weight), then the earliest candidate; the text settles
-    # any remaining tie so the pick never depends on row arrival order
-    rank = F.struct(F.col("confidence"), F.coalesce(F.col("weight"), F.lit(0)), (-F.col("ctx")).alias("c"),
-                    (-F.col("line_no")).alias("l"), F.col("raw"))
-    best = F.struct("normalized", "schedule_hint", "confidence", "lang", "notes")
-    g = n.groupBy("id").agg(
-        F.max_by(best, rank).alias("b"),
-        F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("raw").alias("raw")))).alias("_raws"),
-        F.min_by(F.col("schedule_hint"), F.when(F.col("schedule_hint").isNotNull(), order)).alias("_first_sched"),
-        F.sort_array(F.collect_set(F.struct(F.col("ctx"), F.col("selector"), F.col("url")))).alias("_src"))
-    sched = F.coalesce(F.col("b.schedule_hint"), F.col("_first_sched"))
-    shift = F.coalesce(F.col("b.normalized.shift_based"),
-                       F.when(sched.isNotNull(), F.struct(sched.alias("pattern"),
-                                                          F.lit(None).cast("double").alias("shift_length_hours"))))
-    return g.select(
-        "id",
-        F.array_distinct(F.transform("_raws", lambda x: x["raw"])).alias("raw_matches"),
-        sched.alias("schedule_hint"),
-        F.col("b.confidence").alias("confidence"), F.col("b.lang").alias("lang"),
-        F.when(F.size("b.notes") > 0, F.array_join("b.notes", "; ")).alias("notes"),
-        F.struct(F.col("b.normalized.by_days").alias("by_days"), F.col("b.normalized.is_247").alias("is_247"),
-                 shift.alias("shift_based")).alias("normalized"),
-        F.array_distinct(F.transform("_src", lambda s: F.struct(s["selector"].alias("selector"),
-                                                                s["url"].alias("url")))).alias("source"))
+
+    def parts(low: Column) -> Column:
+        # the day parser only runs where a day is named; elsewhere it would find nothing
+        dayish = low.rlike(DAY_TOKEN_RE) | low.rlike(DAY_WORDS_RE)
+        return F.struct(F.when(dayish, by_days(raw)).otherwise(no_days).alias("bd"), X.schedule_list(X.schedule_text(low), prepared=True).alias("sched"),
+                        low.rlike(_IS247).alias("is_247"), _any_contains(low, SHIFT_WORDS).alias("words"), low.rlike(_FLEXIBLE).alias("flexible"))
+
+    def with_length(p: Column) -> Column:
+        hours = F.when(p["sched"].isNotNull() | p["words"], let(X._shift_norm(raw), lambda t: X.shift_length(t, prepared=True)["hours"]))
+        return let(hours, lambda h: result(p, h))
+
+    def result(p: Column, hours: Column) -> Column:
+        shift = (F.when(p["sched"].isNotNull(), F.struct(p["sched"].alias("pattern"), hours.alias("shift_length_hours")))
+                  .when(p["words"] & hours.isNotNull(), F.struct(F.lit(None).cast("string").alias("pattern"), hours.alias("shift_length_hours"))))
+        days = F.size(p["bd"]["days"]) > 0
+        found = p["sched"].isNotNull() | (p["words"] & hours.isNotNull())
+        sure = F.greatest(F.when(p["is_247"], 0.9).otherwise(0.0), F.when(days, 1.0).otherwise(0.0),
+                          F.when(p["sched"].isNotNull(), F.when(hours.isNotNull(), 0.6).otherwise(0.5)).when(found, 0.6).otherwise(0.0))
+        vague = ~days & ~p["is_247"] & ~found & (p["flexible"] | (sure == 0.0))
+        return F.struct(
+            F.struct(p["bd"]["days"].alias("by_days"), p["is_247"].alias("is_247"), shift.alias("shift_based")).alias("normalized"),
+            p["sched"].alias("schedule_hint"), F.when(days, p["bd"]["notes"]).otherwise(F.array().cast("array<string>")).alias("notes"),
+            F.bround(F.when(vague, F.greatest(sure, F.lit(0.3))).otherwise(sure), 2).alias("confidence"), X.script_lang(raw).alias("lang"))
+
+    return let(let(F.lower(raw), parts), with_length)
+
+
+def working_hours(df: DataFrame, contexts: str = "contexts") -> DataFrame:
+    """``df``'s other columns and, from its array of contexts (text, selector,
+    url, weight): raw_matches, schedule_hint, confidence, lang, notes,
+    normalized{by_days, is_247, shift_based}, source[{selector, url}] and log,
+    the decision in order: one entry a candidate (selector, raw, reason,
+    confidence, chosen), or one that names a context without any."""
+    rest = [F.col(c) for c in df.columns if c != contexts]
+
+    def entries(c: Column) -> Column:
+        empty = F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("reason"))
+        found = let(line_candidates(c["text"]), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(empty)))
+        return F.transform(found, lambda k: F.struct(
+            c["selector"].alias("selector"), c["url"].alias("url"), F.coalesce(c["weight"], F.lit(0)).alias("weight"), k["raw"].alias("raw"),
+            k["reason"].alias("reason"), F.when(k["raw"].isNotNull(), normalize(k["raw"])).alias("n")))
+
+    d = df.select(*rest, F.flatten(F.transform(contexts, entries)).alias("_all"))
+    # (confidence, weight), then the earliest candidate
+    rank = lambda e: F.struct(e["n"]["confidence"], e["weight"])
+    best = F.aggregate(F.transform("_all", lambda e, i: F.struct(i.alias("i"), e["n"].isNotNull().alias("ok"), rank(e).alias("r"))),
+                       F.struct(F.lit(-1).alias("i"), F.lit(None).cast("struct<confidence:double,weight:int>").alias("r")),
+                       lambda a, e: F.when(e["ok"] & ((a["i"] < 0) | (e["r"] > a["r"])), F.struct(e["i"].alias("i"), e["r"].alias("r"))).otherwise(a),
+                       lambda a: a["i"])
+    d = d.select(*rest, "_all", best.alias("_i")).select(
+        *rest, "_all", "_i", F.get("_all", F.col("_i"))["n"].alias("_b"), F.filter("_all", lambda e: e["n"].isNotNull()).alias("_hits"))
+    d = d.select("*", F.coalesce(F.col("_b.schedule_hint"), F.get(F.filter(F.transform("_hits", lambda e: e["n"]["schedule_hint"]),
+                                                                          lambda x: x.isNotNull()), F.lit(0))).alias("_sched"))
+    shift = F.coalesce(F.col("_b.normalized.shift_based"), F.when(F.col("_sched").isNotNull(), F.struct(
+        F.col("_sched").alias("pattern"), F.lit(None).cast("double").alias("shift_length_hours"))))
+    return d.select(
+        *rest, F.array_distinct(F.transform("_hits", lambda e: e["raw"])).alias("raw_matches"), F.col("_sched").alias("schedule_hint"),
+        F.coalesce(F.col("_b.confidence"), F.lit(0.0)).alias("confidence"), F.col("_b.lang").alias("lang"),
+        F.when(F.size("_b.notes") > 0, F.array_join("_b.notes", "; ")).alias("notes"),
+        F.struct(F.col("_b.normalized.by_days").alias("by_days"), F.col("_b.normalized.is_247").alias("is_247"), shift.alias("shift_based")).alias("normalized"),
+        F.array_distinct(F.transform("_hits", lambda e: F.struct(e["selector"].alias("selector"), e["url"].alias("url")))).alias("source"),
+        F.transform("_all", lambda e, i: F.struct(
+            e["selector"].alias("selector"), e["raw"].alias("raw"), F.coalesce(e["reason"], F.lit("no triggers")).alias("reason"),
+            e["n"]["confidence"].alias("confidence"), (i == F.col("_i")).alias("chosen"))).alias("log"))

@@ -484,18 +484,13 @@ def q_rates_wide(spark, sf_dir):
 
 # ------------------------------------------------------------------ T6 ----
 def hours_contexts(spark, sf_dir):
-    """Two contexts per posting: the hours parameter (weight 6) and the
+    """Contexts of every posting: the hours parameter (weight 6) and the
     description text (weight 10)."""
     p = postings(spark, sf_dir)
-    ctxs = F.array(
-        F.struct(F.lit(0).alias("ctx"), F.col("hours_text").alias("text"), F.lit("params:hours").alias("selector"),
-                 F.lit(6).alias("weight")),
-        F.struct(F.lit(1).alias("ctx"), F.col("description").alias("text"), F.lit("description").alias("selector"),
-                 F.lit(10).alias("weight")))
-    # one scan of the postings, two context rows per posting; the id is the
-    # unique row order (posting ids repeat), so no two postings share a key
-    return (p.select(F.struct("posting_id", "seq").alias("id"), "url", F.explode(ctxs).alias("c"))
-             .select("id", "c.ctx", "c.text", "url", "c.selector", "c.weight").where(F.col("text").isNotNull()))
+    ctx = lambda text, selector, weight: F.struct(F.col(text).alias("text"), F.lit(selector).alias("selector"), F.col("url").alias("url"),
+                                                  F.lit(weight).alias("weight"))
+    both = F.array(ctx("hours_text", "params:hours", 6), ctx("description", "description", 10))
+    return p.select("posting_id", F.filter(both, lambda c: c["text"].isNotNull()).alias("contexts"))
 
 
 # What the hours texts say, by the key (part % 7) that chose them: 2 is the
@@ -512,7 +507,7 @@ def q_working_hours(spark, sf_dir):
     """Working hours per posting."""
     from ..operators.hours import working_hours
     wh = working_hours(hours_contexts(spark, sf_dir))
-    return wh.select(F.col("id.posting_id").alias("posting_id"), "schedule_hint", "confidence", "lang", "notes",
+    return wh.select("posting_id", "schedule_hint", "confidence", "lang", "notes",
                      F.size("normalized.by_days").alias("n_day_rules"), F.col("normalized.is_247").alias("is_247"),
                      F.col("normalized.shift_based.shift_length_hours").alias("shift_hours"),
                      F.size("raw_matches").alias("n_matches"))
@@ -526,10 +521,26 @@ def q_weekday_hours(spark, sf_dir):
     """Per-day opening hours exploded from the working-hours result."""
     from ..operators.hours import working_hours
     wh = working_hours(hours_contexts(spark, sf_dir))
-    return wh.select(F.col("id.posting_id").alias("posting_id"), F.explode("normalized.by_days").alias("d")).select(
+    return wh.select("posting_id", F.explode("normalized.by_days").alias("d")).select(
         "posting_id", "d.day", "d.start", "d.end")
 
 
+# Each context is one line, so each has one candidate or none; by the key the
+# hours text triggers as 247 (4), by days (2), flexible (5) or by its words.
+@register("working_hours_log", with_postings(
+    "SELECT posting_id, pos, selector, raw, reason, confidence, chosen FROM ("
+    " SELECT posting_id, 0 AS pos, 'params:hours' AS selector, hours_text AS raw, ['section-range', 'section-range', 'day-time', 'shift-length', '247', 'flexible'][k + 1] AS reason,"
+    "  [0.6, 0.6, 1.0, 0.6, 0.9, 0.3][k + 1]::DOUBLE AS confidence, k IN (2, 4) AS chosen FROM q WHERE k < 6"
+    " UNION ALL SELECT posting_id, CASE WHEN k < 6 THEN 1 ELSE 0 END, 'description', description,"
+    "  CASE WHEN contains(description, 'смен') THEN 'shift-length' ELSE 'schedule' END, 0.6::DOUBLE, k NOT IN (2, 4) FROM q)",
+    "q AS (SELECT *, seq.l_partkey % 7 AS k FROM postings)"))
+def q_working_hours_log(spark, sf_dir):
+    """Every candidate that the decision on a posting's working hours looked at."""
+    from ..operators.hours import working_hours
+    wh = working_hours(hours_contexts(spark, sf_dir))
+    return wh.select("posting_id", F.posexplode("log").alias("pos", "e")).select("posting_id", "pos", "e.*")
+
+
 # ------------------------------------------------------------------ T9 (phrase) --
 def _exp_phrase_sql(c: str) -> str:
     t = f"lower(coalesce({c}, ''))"

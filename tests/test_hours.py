@@ -1,12 +1,15 @@
 """Working hours on the original pipeline's example contexts."""
 
+from pyspark.sql import functions as F
+
 from shiftscope.operators.hours import working_hours
 
 SCHEMA = "id long, ctx int, text string, url string, selector string, weight int"
 
 
 def _wh(spark, rows):
-    return {r["id"]: r for r in working_hours(spark.createDataFrame(rows, SCHEMA)).collect()}
+    c = spark.createDataFrame(rows, SCHEMA).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ctx", "text", "selector", "url", "weight"))).alias("contexts"))
+    return {r["id"]: r for r in working_hours(c).collect()}
 
 
 def test_week_hours(spark):
@@ -40,3 +43,19 @@ def test_weight_conflict(spark):
     days = {d["day"]: (d["start"], d["end"]) for d in r["normalized"]["by_days"]}
     assert days["Mon"] == ("10:00", "20:00")
     assert {s["selector"] for s in r["source"]} == {"footer", "card"}
+
+
+def test_log_names_every_candidate_and_the_choice(spark):
+    text = "О нас\nГрафик:\n2/2 по 12 часов\nПн–Пт 9:00–18:00\nПн–Пт 9:00–18:00"
+    got = _wh(spark, [(1, 0, text, "u", "desc", 1), (1, 1, "Дружный коллектив", "u", "about", 9), (1, 2, None, "u", "none", 1), (2, 0, "тихо", "u", "x", 1)])
+    log = got[1]["log"]
+    assert [(e["selector"], e["raw"], e["reason"], e["chosen"]) for e in log] == [
+        ("desc", "График: 2/2 по 12 часов", "schedule", False), ("desc", "2/2 по 12 часов", "schedule", False),
+        ("desc", "Пн–Пт 9:00–18:00", "day-time", True), ("about", None, "no triggers", False), ("none", None, "no triggers", False)]
+    assert got[1]["raw_matches"] == ["График: 2/2 по 12 часов", "2/2 по 12 часов", "Пн–Пт 9:00–18:00"] and got[1]["confidence"] == 1.0
+    assert got[2]["raw_matches"] == [] and got[2]["confidence"] == 0.0 and not got[2]["log"][0]["chosen"]
+
+
+def test_no_shuffle(spark):
+    d = spark.createDataFrame([(1, [("Пн 9:00-18:00", "s", "u", 1)])], "id int, contexts array<struct<text:string,selector:string,url:string,weight:int>>")
+    assert "Exchange" not in working_hours(d)._jdf.queryExecution().executedPlan().toString()
