@@ -84,7 +84,6 @@ SHIFT_MARKERS: list[str] = [
     r"\bper[-\s]?shift\b",
     r"\bshift\s*pay\b",
 ]
-RATE_SEPARATORS: list[str] = [" или ", " либо ", " / "]
 
 # Gross / net salary markers (negative markers win).
 GROSS_POSITIVE: list[str] = [
@@ -246,7 +245,6 @@ DAY_TOKENS: list[tuple[str, str]] = [
 ]
 
 # Experience buckets of the board normaliser.
-EXPERIENCE_NONE_MARKERS: list[str] = ["без опыта", "не требуется"]
 EXPERIENCE_NONE_LABEL = "без опыта"
 
 # Section headings by kind, and where pages state their schedule: block names

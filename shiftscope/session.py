@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,7 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        # one process only: the executors of "local-cluster[...]" are processes of their own
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="shiftscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
