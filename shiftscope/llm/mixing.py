@@ -23,6 +23,7 @@ Extra columns pass through; added columns have the prefix ``mix_``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,7 +108,7 @@ def with_source(docs: DataFrame, sources: list[Source], seed: int) -> DataFrame:
     t = _source_table(docs.sparkSession, sources)
     d = docs.join(t, F.col("source").eqNullSafe(F.col("mix_name")), "left").drop("mix_name")
     return d.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")),
-                                            (F.col("mix_a") * F.col("mix_b")).cast("long")).cast("int"))
+                                            F.col("mix_a").cast("long") * F.col("mix_b").cast("long")))
 
 
 def _permuted(epoch: Column, seed: int) -> Column:
@@ -158,17 +159,47 @@ def split_tree(quota: np.ndarray, draws: list[np.ndarray], n_shards: int, seed:
 def _mvh(rng: np.random.Generator, have: np.ndarray, want: int) -> np.ndarray:
     if have.sum() < 1_000_000_000:
         return rng.multivariate_hypergeometric(have, want, method="marginals")
-    # beyond the generator's range: one hypergeometric per source in units that fit it
-    unit = int(have.sum() // 500_000_000) + 1
-    left = rng.multivariate_hypergeometric(have // unit, min(want // unit, int((have // unit).sum())), method="marginals") * unit
-    short = want - int(left.sum())
-    for s in np.argsort(-(have - left), kind="stable"):
-        step = max(-int(left[s]), min(short, int(have[s] - left[s])))
-        left[s] += step
-        short -= step
+    # beyond the generator's range: the same marginals, source by source
+    left, others = np.zeros_like(have), int(have.sum())
+    for s, h in enumerate(have.tolist()):
+        others -= h
+        left[s] = hypergeometric(rng, h, others, want)
+        want -= int(left[s])
     return left
 
 
+def _log_factorial_step(x: int, d: int) -> float:
+    """log (x+d)! - log x!, without the loss of subtracting two large logs."""
+    if min(x, x + d) < 1_000_000:
+        return math.lgamma(x + d + 1) - math.lgamma(x + 1)
+    return (x + d + 0.5) * math.log1p(d / x) + d * math.log(x) - d + (1 / (x + d) - 1 / x) / 12
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good, at any size.
+
+    Rejection under the envelope that every log-concave law obeys around its
+    mode (flat up to ``w / p``, exponential beyond, ``p`` the mode's
+    probability); the law itself enters only through ratios to its mode."""
+    lo, hi = max(0, n - bad), min(good, n)
+    if lo == hi:
+        return lo
+    mode = min(hi, max(lo, (n + 1) * (good + 1) // (good + bad + 2)))
+    cells = (mode, good - mode, n - mode, bad - n + mode)
+    lf = [math.lgamma(x + 1) for x in (good, bad, n, good + bad - n, good + bad, *cells)]
+    # a tenth below the logarithms' value: a lower p only widens the envelope
+    p = min(1.0, 0.9 * math.exp(sum(lf[:4]) - sum(lf[4:])))
+    w = 1 + p / 2
+    while True:
+        y = rng.random() * w / p if rng.random() * (1 + w) <= w else (w + rng.standard_exponential()) / p
+        d = round(y) if rng.random() < 0.5 else -round(y)
+        if not lo <= mode + d <= hi:
+            continue
+        ratio = -sum(_log_factorial_step(x, e) for x, e in zip(cells, (d, -d, -d, d)))
+        if math.log(1 - rng.random()) + min(0.0, w - p * y) <= ratio:
+            return mode + d
+
+
 def plan_draws(narrow: DataFrame, sources: list[Source], seed: int = SEED, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
     """One row per block: ``mix_draws array<struct<copy, shard>>`` and, for a
     source's last block, where its partial draw ends.
@@ -221,7 +252,7 @@ def plan_draws(narrow: DataFrame, sources: list[Source], seed: int = SEED, shard
     draws = draws.unionByName(placed.filter("in_rest > 0").select(
         "mix_ix", "mix_block", F.col("mix_epochs").alias("copy"), "p", F.when(
             F.col("in_rest") < F.col("words"), F.col("in_rest")).alias("in_rest")))
-    dealt = draws.mapInPandas(assign, "mix_ix int, mix_block int, copy int, shard long, in_rest long")
+    dealt = draws.mapInPandas(assign, "mix_ix int, mix_block long, copy int, shard long, in_rest long")
     # a cut block: documents in keyed order; where the cut falls, and how many words it leaves there
     cut = placed.filter((F.col("in_rest") > 0) & (F.col("in_rest") < F.col("words"))).select("mix_ix", "mix_block", "in_rest")
     in_cut = d.filter(F.col("mix_size") > 0).join(F.broadcast(cut), ["mix_ix", "mix_block"])  # one row per source

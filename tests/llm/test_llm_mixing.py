@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -105,3 +107,37 @@ def test_first_words_keeps_white_space(spark):
     d = spark.createDataFrame([(t, k) for k in range(1, 5)], "text string, k int")
     got = [r[0] for r in d.orderBy("k").select(mixing.first_words(F.col("text"), F.col("k"))).collect()]
     assert got[0] == "  a" and got[2] == "  a b\n\nc" and [len(words(x)) for x in got] == [1, 2, 3, 4]
+
+
+def test_hypergeometric_follows_its_law_at_every_size():
+    rng = np.random.Generator(np.random.PCG64(3))
+    for good, bad, n in ((7, 5, 6), (3, 2_000_000_000, 700_000_000), (40, 2 * 10 ** 12, 10 ** 11), (5, 0, 3), (0, 9, 4)):
+        x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(20_000)])
+        logs = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+        for k in range(max(0, n - bad), min(good, n) + 1):
+            if good + bad < 100:
+                p = math.exp(logs(good, k) + logs(bad, n - k) - logs(good + bad, n))
+            else:  # few good ones among very many: as good as binomial
+                p = math.exp(logs(good, k) + k * math.log(n / (good + bad)) + (good - k) * math.log1p(-n / (good + bad)))
+            assert abs((x == k).mean() - p) < 5 * math.sqrt(p * (1 - p) / len(x)) + 1e-9, (good, bad, n, k)
+    for good, bad, n in ((10 ** 12, 3 * 10 ** 12, 2 * 10 ** 12), (6 * 10 ** 8, 5 * 10 ** 8, 10 ** 6)):
+        x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(20_000)], dtype=float)
+        total, share = good + bad, good / (good + bad)
+        sd = math.sqrt(n * share * (1 - share) * (total - n) / (total - 1))
+        z = (x - n * share) / sd
+        assert abs(z.mean()) < 0.04 and abs(z.std() - 1) < 0.03 and abs((np.abs(z) < 1).mean() - 0.6827) < 0.02
+
+
+def test_splits_beyond_the_generators_range_keep_all_draws():
+    have = np.array([4 * 10 ** 12, 10, 3 * 10 ** 9, 0], dtype=np.int64)
+    left = mixing._mvh(np.random.Generator(np.random.PCG64(1)), have, 2 * 10 ** 12)
+    assert left.sum() == 2 * 10 ** 12 and (left <= have).all() and (left >= 0).all()
+
+
+def test_blocks_of_very_large_sources(spark):
+    big = mixing.Source("a", 0, 1, 1.0, 3_000_000, 3_000_000, 0, 1)
+    d = spark.createDataFrame([(i, "a") for i in range(50)], "doc_id long, source string")
+    got = [r[0] for r in mixing.with_source(d, [big], 1).select("mix_block").collect()]
+    assert all(0 <= x < big.blocks for x in got) and max(got) > 1 << 31
+    at = [r[0] for r in mixing.with_source(d, [big], 1).select(mixing._permuted(F.lit(0), 1)).collect()]
+    assert all(0 <= x < big.blocks for x in at) and len(set(at)) == 50
