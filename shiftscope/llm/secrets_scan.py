@@ -94,10 +94,14 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def read_ledger(spark, path: str) -> DataFrame | None:
-    """The ledger's table, or None where none was written yet."""
+    """The ledger's table, or None where none was written yet.  Scans that
+    ran at the same time may both have appended a pair; equal content and
+    rules give equal findings, so any one of its rows stands for it."""
     try:
-        return spark.read.schema("blob string, rule_version string, spans string, base_spans string, counts array<long>") \
+        rows = spark.read.schema("blob string, rule_version string, spans string, base_spans string, counts array<long>") \
             .parquet(path)
+        return rows.groupBy("blob", "rule_version").agg(
+            *[F.any_value(c).alias(c) for c in ("spans", "base_spans", "counts")])
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -122,9 +126,12 @@ def scan(versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule
     return v.drop(text).join(found, "scan_blob", "left")
 
 
-def op5_secrets(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the base kinds, digest of their spans, all spans."""
-    got = scan(docs.select("doc_id", "text"), shared_folder(docs.sparkSession, "secret-ledger"))
+def op5_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """Per document: counts of the base kinds, digest of their spans, all spans.
+
+    ``ledger`` names a ledger to go on with; without it the scan starts a new
+    one in the shared folder."""
+    got = scan(docs.select("doc_id", "text"), ledger or shared_folder(docs.sparkSession, "secret-ledger"))
     c = F.col("scan_counts")
     return got.select("doc_id", *[F.get(c, F.lit(i)).alias(f"n_{r.kind}") for i, r in enumerate(RULES) if r.base],
                       F.sha2(F.col("scan_base_spans").cast("binary"), 256).alias("base_sha256"),

@@ -47,3 +47,12 @@ def test_odd_rows_and_empty(spark):
     d = docs(spark)
     assert S.op5_secrets(d).count() == d.count()
     assert S.op5_secrets(empty(spark)).count() == 0
+
+
+def test_pairs_appended_twice_multiply_nothing(spark):
+    path = shared_folder(spark, "doubled-ledger")
+    d = docs(spark, TEXTS)
+    want = sorted(tuple(r) for r in S.op5_secrets(d, path).collect())
+    spark.read.parquet(path).write.mode("append").parquet(path + "-copy")
+    spark.read.parquet(path + "-copy").write.mode("append").parquet(path)   # what a scan at the same time appends
+    assert sorted(tuple(r) for r in S.op5_secrets(d, path).collect()) == want
