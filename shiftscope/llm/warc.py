@@ -11,6 +11,8 @@ live on any file system Spark reaches.  Gzip files are not split; one task
 streams a file record by record, holding one record at a time.
 
 Defined results: NULL html is an empty payload; NULL url writes no target;
+a url is written and read as it is, save for line breaks (percent-encoded)
+and blanks at its ends (not kept);
 NULL ids are written as such and read back as NULL.  Repeated rows are
 captures of their own: the first is the response, the others revisit it.
 Payloads under ``min_revisit_bytes`` are never revisited.  An empty table
@@ -33,6 +35,7 @@ SEP = "\r\n\r\n"
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 100
+CAPTURES_PER_FILE = 20_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD_SCHEMA = """record_type string, record_id string, concurrent_to string, refers_to string, target_uri string,
@@ -46,8 +49,8 @@ def _uuid(kind: str, key: Column) -> Column:
 
 
 def _header_value(c: Column) -> Column:
-    """Control characters cannot stand in a header line: percent-encode them."""
-    out = F.replace(c, F.lit("%"), F.lit("%25"))
+    """Line breaks cannot stand in a header line: percent-encode them, nothing else."""
+    out = c
     for ch, code in (("\r", "%0D"), ("\n", "%0A")):
         out = F.replace(out, F.lit(ch), F.lit(code))
     return out
@@ -127,9 +130,12 @@ def capture_text(min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -
     return F.concat_ws(SEP, request, F.when(c("record_type") == "response", response).otherwise(revisit), metadata)
 
 
-def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> None:
+def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE,
+                  captures_per_file: int = CAPTURES_PER_FILE) -> None:
+    """Gzip files are read whole by one task each: ``captures_per_file`` bounds
+    them, however many captures a task writes."""
     (plan_captures(pages, min_revisit_bytes).select(capture_text(min_revisit_bytes, date).alias("value"))
-     .write.option("lineSep", SEP).option("compression", "gzip").text(path))
+     .write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path))
 
 
 def _headers(head: bytes) -> dict[str, str]:

@@ -50,3 +50,21 @@ def test_captures_are_assembled_with_payloads(spark):
 
 def test_empty(spark):
     assert warc.op9_warc(frame(spark, PAGES).limit(0)).count() == 0
+
+
+def test_urls_are_read_as_they_were(spark):
+    urls = ["http://x/a%20b", "http://x/a%2520b", "http://x/%", "http://x/?q=é:1", None]
+    path = shared_folder(spark, "urls-warc")
+    warc.write_archive(frame(spark, [(i, u, "h") for i, u in enumerate(urls)]), path)
+    caps = warc.assemble(warc.read_records(spark, path)).collect()
+    assert {int(c.metadata["fields"]["pageid"]): c.target_uri for c in caps} == dict(enumerate(urls))
+    broken = shared_folder(spark, "broken-warc")
+    warc.write_archive(frame(spark, [(1, "http://x/1\r\nX: y", "h")]), broken)
+    assert [r.target_uri for r in warc.read_records(spark, broken).collect()] == ["http://x/1%0D%0AX: y"] * 3
+
+
+def test_files_are_bounded(spark):
+    path = shared_folder(spark, "small-warc")
+    warc.write_archive(frame(spark, PAGES).coalesce(1), path, captures_per_file=2)
+    assert len(spark.read.text(path).inputFiles()) >= len(PAGES) // 2
+    assert warc.read_records(spark, path).count() == 3 * len(PAGES)
