@@ -5,7 +5,9 @@ random rotation and keeps one bit a dimension (packed) with two scalars: its
 length and how well the bits follow it.  From these the inner product with a
 query is estimated, with an error bound that holds with high probability;
 only vectors whose upper bound reaches the exact 20th best found so far are
-ranked by their original components, in double precision.
+ranked by their original components.  Estimates and scores are in double
+precision, and the bound holds their rounding, so neither large components
+nor a distant centre lose a neighbour.
 
 Distribution: distinct vectors are packed into blocks, queries into query
 blocks; each pair of blocks is one cell of work (queries against all rows in
@@ -57,11 +59,13 @@ def search_block(ids: list[np.ndarray], v: np.ndarray, code: np.ndarray, length:
                  q_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int = K):
     """Best ``k`` of a block for each query: (query number, id, score) arrays."""
     dim = v.shape[1]
-    signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+    signs = np.unpackbits(code, axis=1, count=dim) * 2.0 - 1
     turned = q @ turn
     scale = length / (agree * np.sqrt(dim))
-    est = (signs @ turned.T.astype(np.float32)) * scale[:, None].astype(np.float32) + (q @ centre)[None, :].astype(np.float32)
+    est = (signs @ turned.T) * scale[:, None] + (q @ centre)[None, :]
     spread = length * np.sqrt(np.maximum(0.0, 1 - agree ** 2)) / agree / np.sqrt(max(dim - 1, 1)) * EPSILON
+    # what rounding may add: of the rotated residual, and of the centre's share, however far off it lies
+    spread = spread + 1e-6 * length + 1e-12 * np.linalg.norm(centre)
     norms = np.linalg.norm(q, axis=1)
     first = min(len(v), 2 * (k + 1))
     out_q, out_id, out_s = [], [], []
@@ -71,7 +75,7 @@ def search_block(ids: list[np.ndarray], v: np.ndarray, code: np.ndarray, length:
         exact = (v[top] * q[j]).sum(axis=1)
         # own row may be among them: the (k+1)-th distinct vector is a safe threshold
         floor = np.sort(exact)[::-1][k] if len(exact) > k else -np.inf
-        cand = np.flatnonzero(e + spread * norms[j] + 1e-4 * norms[j] * (length + 1) >= floor)
+        cand = np.flatnonzero(e + spread * norms[j] >= floor)
         score = (v[cand] * q[j]).sum(axis=1)
         if len(cand) > k + 1:
             cut = np.partition(-score, k)[k]

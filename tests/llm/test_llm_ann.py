@@ -64,3 +64,14 @@ def test_few_candidates_and_empty(spark):
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.op7_ann(d).collect()}
     assert got == {(0, 1): 3, (0, 2): 20, (20, 1): 3, (20, 2): 0}
     assert ann.op7_ann(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale, offset", [(1e20, 0.0), (1e30, 0.0), (1e-30, 0.0), (1.0, 1e7)])
+def test_large_components_and_distant_centres_lose_nothing(spark, scale, offset):
+    docs(spark)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(16) * scale + offset).tolist()) for i in range(400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, lambda i: i % 20 == 0)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in ann.op7_ann(d).collect()} == {
+        (q, k + 1): i for q, x in want.items() for k, (i, _) in enumerate(x)}
