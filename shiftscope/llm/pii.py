@@ -14,7 +14,10 @@ the network as higher-order functions over one match.
 
 Defined results: NULL text stays NULL with no findings, empty text stays
 empty; text without a valid value is returned unchanged, byte for byte.
-Repeated rows are changed alike.  Extra columns pass through untouched.
+Repeated rows are changed alike.  Extra columns pass through untouched, but
+for one named like the findings, which they replace.  Left as they are: digits without any
+separator (too often no phone number), dates with the month first (not to be
+told from those with the day first), lower-case IBANs, IPv6 addresses.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 
-KEY = "shiftscope pseudonyms"
+KEY_SETTING = "spark.shiftscope.pii.key"
+PUBLIC_KEY = "shiftscope pseudonyms"  # for trial runs: whoever knows the key can undo the pseudonyms
 ROUNDS = 8
 
 # The formats.  None of them starts or ends inside a longer run.
@@ -43,11 +47,11 @@ _GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n
                     for n, c in IBAN_LENGTHS.items())
 IBAN = rf"(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_GROUPED})|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,4}})?)"
 PHONE = (r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}"
-         r"|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}")
+         r"|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}")
 CARD = r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
-DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1(?:19|20)[0-9]{2}"
+DATE = r"(?:19|20)[0-9]{2}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2(?:19|20)[0-9]{2}"
 KINDS = ("email", "iban", "phone", "card", "ssn", "ip", "date")
 _FORMS = {"email": EMAIL, "iban": IBAN, "phone": PHONE, "card": CARD, "ssn": SSN, "ip": IP, "date": DATE}
 DAY_ZERO, DAYS = "1900-01-01", (150, 487)  # 150 * 487 days: up to 2100-01-01
@@ -73,7 +77,7 @@ PATTERN = _any_pattern()
 
 # -- the network
 
-def permute(items: Column, tweak: str, key: str = KEY, rounds: int = ROUNDS) -> Column:
+def permute(items: Column, tweak: str, key: str, rounds: int = ROUNDS) -> Column:
     """``items array<struct<b, v, m>>``: symbols ``b + v`` with ``0 <= v < m``.
     Returns the permuted symbols ``array<int>``."""
     def net(it: Column) -> Column:
@@ -162,16 +166,16 @@ def _card(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         n = F.length(d)
-        fixed = F.when(n > 10, n - 10).when(m.startswith("+"), F.lit(2)).otherwise(F.lit(0))  # the country code
+        # the country code stays and is no part of what is permuted: a number with and without it stays linked
+        code = F.when(n > 10, n - 10).when(m.startswith("+"), F.lit(2)).otherwise(F.lit(0))
 
         def item(c: Column, i: Column) -> Column:
-            x, j = c.cast("int"), i - fixed
-            first = (j == 0) | (j == 3)  # area and exchange begin with 2 to 9
-            return (F.when(j < 0, _item(x + 48, F.lit(0), 1))
-                    .when(first & (x >= 2), _item(F.lit(50), x - 2, 8)).when(first, _item(F.lit(48), x, 2))
+            x, first = c.cast("int"), (i == 0) | (i == 3)  # area and exchange begin with 2 to 9
+            return (F.when(first & (x >= 2), _item(F.lit(50), x - 2, 8)).when(first, _item(F.lit(48), x, 2))
                     .otherwise(_item(F.lit(48), x, 10)))
 
-        return _text_of(permute(F.transform(_chars(d), item), "phone", key))
+        own = F.transform(_chars(F.substring(d, code + 1, n)), item)
+        return F.concat(F.substring(d, F.lit(1), code), _text_of(permute(own, "phone", key)))
 
     return let(_digits(m), lambda d: F.when(F.length(d).between(8, 15), let(new(d), lambda p: _thread(m, p))))
 
@@ -216,14 +220,14 @@ def _date(m: Column, key: str) -> Column:
         return F.when(day.isNotNull(), F.date_format(let(permute(items, "date", key), lambda v: F.date_add(
             F.lit(DAY_ZERO).cast("date"), v[0] * DAYS[1] + v[1])), fmt))
 
-    return (F.when(m.rlike("^[0-9]{4}-"), shifted("yyyy-MM-dd")).when(m.rlike(r"^[0-9]{2}\."), shifted("dd.MM.yyyy"))
+    return (F.when(m.rlike("^[0-9]{4}-"), shifted("yyyy-MM-dd")).when(m.rlike("^[0-9]{4}/"), shifted("yyyy/MM/dd")).when(m.rlike(r"^[0-9]{2}\."), shifted("dd.MM.yyyy"))
             .otherwise(shifted("dd/MM/yyyy")))
 
 
 _NEW = {"email": _email, "iban": _iban, "phone": _phone, "card": _card, "ssn": _ssn, "ip": _ip, "date": _date}
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """``struct<kind, value>`` for one match; the value is NULL if the match
     is not a valid value of its kind."""
     kind = None
@@ -240,9 +244,12 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return let(kind, value)
 
 
-def with_pseudonyms(df: DataFrame, text: str = "text", hits: str = "pii_hits", key: str = KEY) -> DataFrame:
+def with_pseudonyms(df: DataFrame, key: str, text: str = "text", hits: str = "pii_hits") -> DataFrame:
     """Replace ``text`` and add ``hits array<struct<kind, value, original>>``-like
-    findings without the originals: ``array<struct<kind, value>>``."""
+    findings without the originals: ``array<struct<kind, value>>``.
+
+    A column named like ``hits`` is replaced by them."""
+    df = df.drop(hits)
     t = F.col(f"`{text}`")
     may = t.rlike("@|[0-9]")  # every format has one of these
     none = F.array().cast("array<string>")
@@ -256,7 +263,13 @@ def with_pseudonyms(df: DataFrame, text: str = "text", hits: str = "pii_hits", k
                     F.filter("__h", lambda h: h["value"].isNotNull()).alias(hits))
 
 
+def session_key(spark) -> str:
+    """The key that the session names in ``spark.shiftscope.pii.key``; the
+    published one, good for trial runs only, where it names none."""
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
+
+
 def op4_pii(docs: DataFrame) -> DataFrame:
     """Per document: the text with pseudonyms, and how many of each kind."""
-    d = with_pseudonyms(docs.select("doc_id", "text"))
+    d = with_pseudonyms(docs.select("doc_id", "text"), session_key(docs.sparkSession))
     return d.select("doc_id", "text", *[F.size(F.filter("pii_hits", lambda h: h["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS])
