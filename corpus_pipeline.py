@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(pii.with_pseudonyms(docs, hits="__pii_hits"), docs)
+    return _columns(pii.with_pseudonyms(docs, pii.session_key(spark), hits="__pii_hits"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
