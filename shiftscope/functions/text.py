@@ -79,6 +79,35 @@ def slugify(c: Column) -> Column:
     return F.coalesce(lookup(lx.CITY_SLUGS, t), F.nullif(s, F.lit("")), F.lit("vakansii"))
 
 
+def _collapsed(t: Column) -> Column:
+    return F.nullif(F.btrim(F.regexp_replace(t, "[^0-9a-z]+", "_"), F.lit("_")), F.lit(""))
+
+
+def region_slug(c: Column) -> Column:
+    """Path part of a region: known names, else Latin letters and digits
+    joined by '_'; 'all' where nothing is left."""
+    from .lookups import lookup
+    t = F.lower(F.trim(c))
+    return F.coalesce(lookup(lx.REGION_SLUGS, t), _collapsed(t), F.lit("all"))
+
+
+def category_slug(c: Column) -> Column:
+    """Path part of a category; NULL where nothing is left."""
+    return _collapsed(F.lower(F.trim(c)))
+
+
+def city_subdomain(c: Column) -> Column:
+    """Sub-domain of a city; '' for an unknown one."""
+    from .lookups import lookup
+    return F.coalesce(lookup(lx.CITY_SLUGS, F.lower(F.trim(c))), F.lit(""))
+
+
+def listing_city(c: Column) -> Column:
+    """City part of a listing; the whole country for an unknown one."""
+    from .lookups import lookup
+    return F.coalesce(lookup(lx.LISTING_CITIES, F.lower(F.trim(c))), F.lit("rossiya"))
+
+
 def let(expr: Column, body) -> Column:
     """Evaluate ``expr`` once and pass it to ``body`` as a lambda variable.
 

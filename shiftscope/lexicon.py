@@ -280,6 +280,22 @@ CITY_SLUGS: list[tuple[str, str]] = [
     ("пермь", "perm"), ("воронеж", "voronezh"), ("волгоград", "volgograd"),
 ]
 
+# Regions of the board's paths.
+REGION_SLUGS: list[tuple[str, str]] = [
+    ("москва", "moskva"), ("moscow", "moskva"), ("санкт-петербург", "sankt-peterburg"),
+    ("санкт петербург", "sankt-peterburg"), ("спб", "sankt-peterburg"), ("ekaterinburg", "ekaterinburg"),
+    ("екатеринбург", "ekaterinburg"), ("новосибирск", "novosibirsk"), ("казань", "kazan"),
+    ("нижний новгород", "nizhniy_novgorod"), ("самара", "samara"), ("ростов-на-дону", "rostov-na-donu"),
+    ("ростов на дону", "rostov-na-donu"), ("уфа", "ufa"), ("красноярск", "krasnoyarsk"),
+    ("пермь", "perm"), ("воронеж", "voronezh"), ("волгоград", "volgograd"),
+]
+
+# Cities of the listing paths.
+LISTING_CITIES: list[tuple[str, str]] = [
+    ("москва", "moskva"), ("moscow", "moskva"), ("санкт-петербург", "sankt-peterburg"), ("spb", "sankt-peterburg"),
+    ("казань", "kazan"), ("новосибирск", "novosibirsk"),
+]
+
 # Display defaults.
 UNKNOWN_LABEL = "(не указано)"
 NO_COMPANY = "Не указано"

@@ -108,6 +108,22 @@ def rate_cascade(df: DataFrame, explicit_hourly="hourly", shift_payment="shift_p
                            "shift_len_out": len_out, "income_12h": income})
 
 
+def text_rate(df: DataFrame, pay_text: str, hours_text: str, schedule_text: str, schedule: str = "schedule",
+              salary_from_k: str = "salary_from_k", salary_to_k: str = "salary_to_k") -> DataFrame:
+    """``rate_cascade`` fed from a posting's own texts: explicit amounts (T3),
+    shift length (T4) and schedules (T5; ``schedule`` where the text names
+    none).  Row-local: no shuffle, whatever the size."""
+    from . import extract as X
+    d = X.with_schedule_list(X.with_shift_length(df, hours_text, "_shift"), schedule_text, "_found")
+    d = d.withColumn("_pay", X.explicit_pay(F.col(pay_text))).withColumns({
+        "_hourly": F.col("_pay.hourly"), "_shift_pay": F.col("_pay.shift_pay"), "_len": F.col("_shift.hours"),
+        "_ambiguous": F.col("_shift.ambiguous"), "_confidence": F.col("_shift.confidence"),
+        "_sched": F.coalesce("_found", schedule)})
+    out = rate_cascade(d, "_hourly", "_shift_pay", "_len", "_ambiguous", "_confidence", salary_from_k, salary_to_k, "_sched")
+    return out.withColumn("schedule_out", F.col("_sched")).drop(
+        "_shift", "_found", "_pay", "_hourly", "_shift_pay", "_len", "_ambiguous", "_confidence", "_sched")
+
+
 # -- M5 -------------------------------------------------------------------
 def normalize_schedule(raw: Column) -> Column:
     """First 'N/M' (spaces removed) of a free-text schedule, else ''."""

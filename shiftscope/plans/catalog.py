@@ -33,5 +33,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
-    from . import q_board, q_board_pages, q_core, q_files, q_pages, q_relational, q_stream, q_text  # noqa: F401
+    from . import q_board, q_board_pages, q_compose, q_core, q_files, q_pages, q_relational, q_stream, q_text  # noqa: F401
     return REGISTRY

@@ -306,19 +306,16 @@ def q_legacy_row(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ M3 ----
-_M3_CTE = f"""
-m3a AS (
-  SELECT posting_id, hourly AS exp_h, salary_from_k, salary_to_k, schedule, shift_hours AS slen,
-    CASE WHEN contains(description, 'за смену') THEN CAST(regexp_extract(description, 'Оплата (\\d+)', 1) AS DOUBLE) END AS pay
-  FROM postings
-),
+# over m3a(posting_id, exp_h, salary_from_k, salary_to_k, schedule, slen, pay, amb, conf)
+CASCADE_CTE = f"""
 m3b AS (
   SELECT *,
     CASE WHEN exp_h IS NOT NULL AND exp_h <> 0 THEN round_even(exp_h, 2)
-         WHEN pay IS NULL OR slen IS NULL OR slen <= 0 THEN NULL ELSE round_even(pay / slen, 2) END AS r1,
+         WHEN pay IS NULL OR slen IS NULL OR amb OR slen <= 0 THEN NULL ELSE round_even(pay / slen, 2) END AS r1,
     CASE WHEN exp_h IS NOT NULL AND exp_h <> 0 THEN 'exact:explicit_hourly' WHEN pay IS NULL THEN 'unresolved:no_shift_payment'
-         WHEN slen IS NULL THEN 'unresolved:shift_duration' WHEN slen <= 0 THEN 'unresolved:invalid_shift_duration'
-         ELSE 'exact:shift_payment_div_shift_hours' END AS m1,
+         WHEN slen IS NULL THEN 'unresolved:shift_duration' WHEN amb THEN 'unresolved:ambiguous_shift_duration'
+         WHEN slen <= 0 THEN 'unresolved:invalid_shift_duration'
+         WHEN conf = 'high' THEN 'exact:shift_payment_div_shift_hours' ELSE 'heuristic:shift_payment_div_shift_hours' END AS m1,
     coalesce(slen, CASE WHEN coalesce(schedule, '') <> '' THEN
       {case_map(_first_sched('schedule'), [(s, sql_num(h)) for s, _, h in lx.SCHEDULE_PROFILES['fetch'] if h])} END) AS len_out,
     {_first_sched('schedule')} AS sk
@@ -339,13 +336,17 @@ m3 AS (
   SELECT *, r1 IS NULL AND ((salary_from_k IS NOT NULL AND salary_from_k <> 0) OR (salary_to_k IS NOT NULL AND salary_to_k <> 0))
             AND dh IS NOT NULL AND dh <> 0 AS use_d FROM m3d
 )"""
-
-
-@register("rate_cascade", with_postings(
+CASCADE_SQL = (
     "SELECT posting_id, h AS hourly_rate, CASE WHEN use_d THEN 'derived:salary_based' ELSE m1 END AS hourly_method,"
     " len_out AS shift_len, CASE WHEN pay IS NOT NULL AND pay <> 0 AND len_out = 12.0 THEN pay"
     " WHEN h IS NOT NULL AND h <> 0 THEN h * 12.0 END AS income_12h"
-    " FROM (SELECT *, CASE WHEN use_d THEN dh ELSE r1 END AS h FROM m3)", _M3_CTE))
+    " FROM (SELECT *, CASE WHEN use_d THEN dh ELSE r1 END AS h FROM m3)")
+
+
+@register("rate_cascade", with_postings(CASCADE_SQL, """m3a AS (
+  SELECT posting_id, hourly AS exp_h, salary_from_k, salary_to_k, schedule, shift_hours AS slen, false AS amb, 'high' AS conf,
+    CASE WHEN contains(description, 'за смену') THEN CAST(regexp_extract(description, 'Оплата (\\d+)', 1) AS DOUBLE) END AS pay
+  FROM postings)""", CASCADE_CTE))
 def q_rate_cascade(spark, sf_dir):
     p = postings(spark, sf_dir)
     shift_pay = F.when(F.col("description").contains("за смену"),

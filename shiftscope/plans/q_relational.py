@@ -119,9 +119,10 @@ def q_fill_to_n(spark, sf_dir):
     f" WHERE regexp_matches({_match_form_sql('r.full_text')}, {rx_any(lx.SHIFT_MARKERS)})"
     " AND trim(r.url) <> '' AND trim(r.url) = trim(p.url))"))
 def q_no_shift_rates(spark, sf_dir):
-    p = postings(spark, sf_dir)
-    rates = p.where(X.is_shift_rate(F.col("full_text"))).select(F.lit("shift").alias("type"), "url")
-    return R.drop_shift_rated(p.select("posting_id", "url"), rates)
+    # the view is built, and its texts are tested, once: both sides read the narrow result
+    p = cut_lineage(postings(spark, sf_dir).select("posting_id", "url", X.is_shift_rate(F.col("full_text")).alias("shift")))
+    rates = p.where("shift").select(F.lit("shift").alias("type"), "url")
+    return R.drop_shift_rated(p.drop("shift"), rates)
 
 
 # ------------------------------------------------------------------ A13 ---
@@ -257,21 +258,12 @@ def q_coverage_grid(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ F1 ----
-def _role_cond_spark(t, rules):
-    inc = X.U + "(?:" + "|".join(rules.get("inc", [".*"])) + ")"
-    exc = rules.get("exc", [])
-    cond = t.rlike(inc)
-    if exc:
-        cond = cond & ~t.rlike(X.U + "(?:" + "|".join(exc) + ")")
-    return cond
-
-
-def _role_cond_sql(t: str, rules) -> str:
+def role_cond_sql(t: str, rules) -> str:
     inc = "|".join(re2(p) for p in rules.get("inc", [".*"]))
     exc_plain = [p for p in rules.get("exc", []) if "(?=" not in p]
-    cond = f"regexp_matches({t}, {sql_str(inc)})"
+    cond = f"regexp_matches({t}, {sql_str('(?i)' + inc)})"
     if exc_plain:
-        cond += f" AND NOT regexp_matches({t}, {sql_str('|'.join(re2(p) for p in exc_plain))})"
+        cond += f" AND NOT regexp_matches({t}, {sql_str('(?i)' + '|'.join(re2(p) for p in exc_plain))})"
     for p in rules.get("exc", []):
         if "(?=" in p:  # '^(?=.*A)(?!.*B).*$' == contains A and not contains B
             a = p.split("(?=.*", 1)[1].split(")(?!", 1)[0]
@@ -285,16 +277,16 @@ ROLE_TITLES_SQL = "lower(concat_ws(' ', title, employer))"
 
 @register("role_filter", with_postings(
     "SELECT role, count(*) AS n FROM (SELECT unnest(list_filter(["
-    + ", ".join(f"CASE WHEN {_role_cond_sql(ROLE_TITLES_SQL, r)} THEN {sql_str(name)} END"
+    + ", ".join(f"CASE WHEN {role_cond_sql(ROLE_TITLES_SQL, r)} THEN {sql_str(name)} END"
                 for name, r in lx.ROLE_FILTERS.items())
     + ", 'any'], lambda x: x IS NOT NULL)) AS role FROM postings) GROUP BY role"))
 def q_role_filter(spark, sf_dir):
     """Postings kept per role filter (plus 'any' = an unknown role, which
     keeps everything), evaluated in one scan."""
+    from ..operators.filters import role_condition
     p = postings(spark, sf_dir)
     t = F.lower(F.concat_ws(" ", "title", "employer"))
-    roles = F.array_compact(F.array(*[F.when(_role_cond_spark(t, r), F.lit(name)) for name, r in lx.ROLE_FILTERS.items()],
-                                    F.lit("any")))
+    roles = F.array_compact(F.array(*[F.when(role_condition(t, name), F.lit(name)) for name in lx.ROLE_FILTERS], F.lit("any")))
     return p.select(F.explode(roles).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 

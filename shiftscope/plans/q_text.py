@@ -64,16 +64,16 @@ def _phrase_sql() -> str:
 
 SCHED_CTE = f"""
 sched_t AS (
-  SELECT posting_id, schedule, translate(lower(coalesce(full_text, '') || ' '), '–х', '-x') AS t FROM postings
+  SELECT posting_id, seq, schedule, translate(lower(coalesce(full_text, '') || ' '), '–х', '-x') AS t FROM postings
 ),
 sched_l AS (
-  SELECT posting_id, schedule,
+  SELECT posting_id, seq, schedule,
     {_pairs_sql(_P_NUM)} || {_pairs_sql(_P_WORD, _WORD_NUM, _WORD_NUM_B)}
     || {_pairs_sql(_P_DIG)} || {_pairs_sql(_P_VAHTA)} {_phrase_sql()} AS l
   FROM sched_t
 ),
 sched AS (
-  SELECT posting_id, schedule,
+  SELECT posting_id, seq, schedule,
     CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') END AS schedules
   FROM sched_l
 )"""
@@ -416,9 +416,9 @@ def q_shift_len(spark, sf_dir):
 # ------------------------------------------------------------------ T3 ----
 _HOUR_RE2 = ("((?:^|[^\\d])(\\d[\\d\\s]{1,}(?:[\\.,]\\d+)?)\\s*(?:₽|р|руб)?\\s*(?:/|за|в)?\\s*(?:ч|час|hour|hr))"
              + W1)
-_EP_CTE = f"""
+EXPLICIT_PAY_CTE = f"""
 ep0 AS (
-  SELECT posting_id, translate(translate(lower(coalesce(full_text, '')), ' ', ' '), '–—−', '---') AS t FROM postings
+  SELECT posting_id, seq, translate(translate(lower(coalesce(full_text, '')), ' ', ' '), '–—−', '---') AS t FROM postings
 ),
 ep1 AS (
   SELECT *, regexp_extract(t, {sql_str(_HOUR_RE2)}, 1) AS whole, regexp_extract(t, {sql_str(_HOUR_RE2)}, 2) AS hnum,
@@ -426,7 +426,7 @@ ep1 AS (
   FROM ep0
 ),
 ep2 AS (
-  SELECT posting_id,
+  SELECT posting_id, seq,
     CASE WHEN whole <> '' AND NOT regexp_matches(substr(t, greatest(strpos(t, whole) - 24, 1),
                                  length(whole) + 48 + least(strpos(t, whole) - 25, 0)), '(мес|месяц|год)')
          THEN TRY_CAST(replace(regexp_replace(hnum, '[^\\d\\.,]', '', 'g'), ',', '.') AS DOUBLE) END AS h0,
@@ -437,7 +437,7 @@ ep2 AS (
 
 @register("explicit_pay", with_postings(
     "SELECT posting_id, CASE WHEN h0 IS NOT NULL AND h0 <> 0 THEN round_even(h0, 2) END AS hourly,"
-    " CASE WHEN s0 IS NOT NULL AND s0 <> 0 THEN round_even(s0, 2) END AS shift_pay FROM ep2", _EP_CTE))
+    " CASE WHEN s0 IS NOT NULL AND s0 <> 0 THEN round_even(s0, 2) END AS shift_pay FROM ep2", EXPLICIT_PAY_CTE))
 def q_explicit_pay(spark, sf_dir):
     e = postings(spark, sf_dir).select("posting_id", X.explicit_pay(F.col("full_text")).alias("_e"))
     return e.select("posting_id", F.col("_e.hourly").alias("hourly"), F.col("_e.shift_pay").alias("shift_pay"))
@@ -592,7 +592,7 @@ def _any_sql(c, words):
     return "(" + " OR ".join(f"contains({c}, {sql_str(w)})" for w in words) + ")"
 
 
-_SL_CTE = f"""
+SHIFT_LEN_CTE = f"""
 sl0 AS (
   SELECT posting_id, seq, trim(regexp_replace(replace(replace(translate(translate(lower(concat_ws('. ', hours_text, description)),
          ' ', ' '), '–—−', '---'), 'ч.', 'ч'), 'час.', 'час'), '\\s+', ' ', 'g')) AS t
@@ -659,7 +659,7 @@ def _shift_len_oracle() -> str:
         " CASE WHEN b.w > -1.0 THEN b.src ELSE 'unresolved' END AS source,"
         " CASE WHEN b.w > -1.0 THEN (CASE WHEN amb THEN 'medium' ELSE b.conf END) ELSE 'low' END AS confidence,"
         " coalesce(b.w > -1.0 AND amb, false) AS ambiguous"
-        " FROM postings p LEFT JOIN sl_best s ON p.seq = s.seq", _SL_CTE)
+        " FROM postings p LEFT JOIN sl_best s ON p.seq = s.seq", SHIFT_LEN_CTE)
 
 
 from . import catalog as _catalog  # noqa: E402
