@@ -81,17 +81,22 @@ def range_days(text: Column) -> Column:
     number) in days: the first number, times its unit (none or unknown: days;
     hours are a fraction).  No number, or not a positive one: NULL, no limit."""
     t = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    n = F.regexp_extract(t, RANGE_RE, 1).try_cast("int")
-    unit = F.regexp_extract(t, RANGE_RE, 2)
-    days = F.coalesce(first_label(unit, [("^" + s, d) for s, d in lx.RANGE_UNIT_DAYS]), F.lit(1.0))
-    return F.when((n > 0) & (n * days <= UNIT_BOUNDS["day"]), n * days)
+    said = F.struct(F.regexp_extract(t, RANGE_RE, 1).try_cast("int").alias("n"), F.regexp_extract(t, RANGE_RE, 2).alias("unit"))
+
+    def total(v: Column) -> Column:
+        days = F.coalesce(first_label(v["unit"], [("^" + s, d) for s, d in lx.RANGE_UNIT_DAYS]), F.lit(1.0))
+        return let(v["n"] * days, lambda d: F.when((v["n"] > 0) & (d <= UNIT_BOUNDS["day"]), d))
+
+    return let(said, total)
 
 
 def range_interval(text: Column) -> Column:
     """:func:`range_days` as an INTERVAL DAY TO SECOND."""
-    days = range_days(text)
-    whole = F.floor(days).cast("int")
-    return F.make_dt_interval(whole, F.round((days - whole) * 24).cast("int"))
+    def interval(days: Column) -> Column:
+        whole = F.floor(days).cast("int")
+        return F.make_dt_interval(whole, F.round((days - whole) * 24).cast("int"))
+
+    return let(range_days(text), interval)
 
 
 def fresh_range(df: DataFrame, posted: Column, as_of: Column, limit: Column) -> DataFrame:
