@@ -3,8 +3,10 @@
 from conftest import SF001, one_col
 from pyspark.sql import functions as F
 
+from shiftscope import session
 from shiftscope.functions import text as T
 from shiftscope.operators import extract as X
+from shiftscope.operators import pay
 from shiftscope.plans.catalog import load_all
 
 
@@ -46,3 +48,26 @@ def test_spans_scan_once(spark):
     (first,), second = df.collect()[0].s, df.collect()[1].s
     assert (first.m, first.s, first.ctx, second) == ("8 часов", 25, "с 9:00 до 21:00, \u0001смена\u0002 8 часов", [])
     assert _plan(df).count("regexp_extract_all") == 0
+
+
+def test_legacy_row_states_each_step_once(spark):
+    rec = spark.createDataFrame([("1", None, "e", "p", 100.0, 200.0, "RUB", "per_month", None, "2/2, 5/2", "2/2", None, None, ["a"], None, "u", None)],
+                                "external_id string, title string, employer_name string, published string, salary_from double, salary_to double,"
+                                " salary_currency string, salary_period string, shift_length_hours double, schedule_hint string, shift_pattern string,"
+                                " experience string, employment_type string, benefits array<string>, duties_raw string, url_detail string, region string")
+    out = pay.legacy_row(rec)
+    plan = _plan(out)
+    assert plan.count("keys: [5/2,2/2") < 12                 # the schedule tables were stated over and over
+    row = out.first()
+    assert (row.hourly_method, row.shift_hours, row.schedule) == ("derived:salary_based", 12.0, "2/2, 5/2")
+
+
+def test_a_limit_of_the_submitter_stays(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    session.compile_wide_rows(spark)
+    assert spark.conf.get(key) == "8000"
+    spark.conf.set(key, "9000")
+    session.compile_wide_rows(spark)
+    assert spark.conf.get(key) == "9000"
+    spark.conf.unset(key)
