@@ -62,6 +62,15 @@ def test_legacy_row_states_each_step_once(spark):
     assert (row.hourly_method, row.shift_hours, row.schedule) == ("derived:salary_based", 12.0, "2/2, 5/2")
 
 
+def test_benefit_lines_in_one_pass(spark):
+    values = ["x\r- ФОРМА -\r\n\n• обеды\t", "сменн\nграфик", "Сменный график", "прое\u1c83т проез\u1c81", " -•\t", "", None, "пита" * 20_000]
+    want = [["ФОРМА", "обеды"], [], ["Сменный график"], ["прое\u1c83т проез\u1c81"], [], [], [], []]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, t string").select("i", X.benefit_lines(F.col("t")).alias("lines"))
+    assert [r.lines for r in df.orderBy("i").collect()] == want
+    plan = _plan(df)
+    assert "split(" not in plan and "filter(" not in plan
+
+
 def test_a_limit_of_the_submitter_stays(spark):
     key = "spark.sql.codegen.hugeMethodLimit"
     spark.conf.unset(key)
