@@ -30,6 +30,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,20 @@ def read_model(path: str = DEFAULT_MODEL) -> tuple[list[str], list[float], list[
     return [p.id_to_piece(i) for i in range(n)], [p.get_score(i) for i in range(n)], kinds
 
 
+class _Numbers(dict):
+    """Numbers segments in order of appearance."""
+
+    def __missing__(self, segment: str) -> int:
+        n = self[segment] = len(self)
+        return n
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from ``first`` on, ``count`` of them, for one after the other."""
+    total = np.cumsum(count)
+    return np.repeat(first - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
+
+
 class Model:
     """Lookup tables of a vocabulary, built once per Python worker."""
 
@@ -80,7 +95,8 @@ class Model:
         stop = "" if "\n" in joint else "\n"
         self.segment = re.compile(f"{BLANK}*[^{BLANK}{stop}]+|{BLANK}+" + (f"|{stop}" if stop else ""))
         top = max(map(ord, letters)) + 1
-        self.table = np.full(top + 1, 0xFFFE, dtype=np.uint16)
+        self.other = len(letters) + 1  # the rank of every character that no longer piece holds
+        self.table = np.full(top + 1, self.other, dtype=np.uint16)
         for c, r in self.rank.items():
             self.table[ord(c)] = r
         self.top = top
@@ -89,20 +105,39 @@ class Model:
         self.search += [t for p, t in self.ids.items() if len(p) == 1 and p not in joint]
         single = [t for t in self.search if len(self.tokens[t]) == 1 and self.tokens[t] not in joint]
         self.alone = {self.tokens[t]: t for t in single}  # pieces of one character that merge with nothing
-        self.search = np.array([t for t in self.search if t not in set(single)], dtype=np.int64)
-        self.len = np.array([len(t) for t in self.tokens], dtype=np.int64)
-        keys = np.zeros((len(self.search), self.depth), dtype=">u2")
-        ends = np.full((len(self.search), self.depth), 0xFFFF, dtype=">u2")
-        for k, t in enumerate(self.search):
-            r = [self.rank[c] for c in self.tokens[t]]
-            keys[k, :len(r)] = r
-            ends[k, :len(r)] = r
-        width = f"S{2 * self.depth}"
-        self.low = keys.view(width).ravel()
-        self.high = ends.view(width).ravel()
+        self.search = np.array([t for t in self.search if t not in set(single)], dtype=np.int32)
+        self.len = np.array([len(t) for t in self.tokens], dtype=np.int32)
+        self.bits = self.other.bit_length()
+        self.per = 64 // self.bits     # ranks in a word
+        self.levels = self._levels()
+        self._made = np.full(len(self.tokens), -1, dtype=np.int8)  # whether the merges make a token, -1: not looked into
+        self._slots = np.full(1 << 20, -1, dtype=np.int64)         # 2 * pair + answer, for the pairs last asked about
         self._split: dict[int, tuple] = {}
         self._pair: dict[int, bool] = {}
-        self._segments: dict[str, tuple[int, ...]] = {}
+        # segments that are kept: their number, and by number where their ids are
+        self._number = _Numbers()
+        self._first, self._size, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _levels(self) -> list[tuple]:
+        """The searched pieces by the number of words of ranks they take: for
+        each level (tokens, groups, least, greatest last word; groups, words
+        that longer pieces go on from).  Pieces of a level are in one group if
+        all their words before are equal."""
+        out, pieces, group = [], self.search, np.zeros(len(self.search), np.int64)
+        for lo in range(0, self.depth, self.per):
+            low, high = np.zeros(len(pieces), np.uint64), np.zeros(len(pieces), np.uint64)
+            for k, t in enumerate(pieces.tolist()):
+                r = [self.rank[c] for c in self.tokens[t][lo:lo + self.per]]
+                x = 0
+                for i in range(self.per):
+                    x = x << self.bits | (r[i] if i < len(r) else 0)
+                low[k], high[k] = x, x | (1 << self.bits * (self.per - len(r))) - 1
+            ends = self.len[pieces] <= lo + self.per
+            on, inv = np.unique(np.array(list(zip(group[~ends].tolist(), low[~ends].tolist())), dtype=np.uint64).reshape(-1, 2),
+                                axis=0, return_inverse=True)
+            out.append((pieces[ends], group[ends], low[ends], high[ends], on[:, 0].astype(np.int64), on[:, 1]))
+            pieces, group = pieces[~ends], inv.ravel().astype(np.int64)
+        return out
 
     # -- merging directly
 
@@ -182,76 +217,124 @@ class Model:
 
     # -- a batch
 
-    def encode_segments(self, segs: list[str]) -> list[tuple[int, ...]]:
-        """Token ids of distinct segments by suffix array, lattice and relaxation."""
-        text = "\x00".join(segs) + "\x00"
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    def _words(self, ranks: np.ndarray) -> np.ndarray:
+        """The next ``per`` ranks of every position as one number, 0 from the segment's end on."""
+        n = len(ranks)
+        padded = np.concatenate((ranks, np.zeros(self.per, dtype=ranks.dtype)))
+        out, inside = np.zeros(n, np.uint64), np.ones(n, bool)
+        for i in range(self.per):
+            r = padded[i:i + n]
+            inside &= r != 0
+            out <<= np.uint64(self.bits)
+            out |= np.where(inside, r, 0).astype(np.uint64)
+        return out
+
+    def _edges(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, token) of every occurrence of a searched piece: suffixes are
+        sorted by their first word of ranks, those that longer pieces share it
+        with by the next one too, and so on; a piece's suffixes stand together."""
+        words = self._words(ranks)
+        at, group = np.arange(len(ranks), dtype=np.int32), None
+        starts, toks = [], []
+        for level, (tok, g, low, high, on_g, on_word) in enumerate(self.levels):
+            key = words[at + level * self.per] if level else words
+            lows, highs = np.concatenate((low, on_word)), np.concatenate((high, on_word))
+            if level:
+                known, key = np.unique(key, return_inverse=True)
+                base = np.concatenate((g, on_g)) * len(known)
+                lows, highs = base + np.searchsorted(known, lows, "left"), base + np.searchsorted(known, highs, "right") - 1
+                key = group * len(known) + key.ravel()
+            sa = np.argsort(key)
+            key = key[sa]
+            lo = np.searchsorted(key, lows, "left")
+            count = np.maximum(np.searchsorted(key, highs, "right") - lo, 0)
+            mine, on = count[:len(tok)], count[len(tok):]
+            starts.append(at[sa[_spans(lo[:len(tok)], mine)]])
+            toks.append(np.repeat(tok, mine))
+            at, group = at[sa[_spans(lo[len(tok):], on)]], np.repeat(np.arange(len(on)), on)
+            if not len(at):
+                break
+        return np.concatenate(starts), np.concatenate(toks)
+
+    def _are_made(self, toks: np.ndarray) -> np.ndarray:
+        """Which of the tokens the merges make."""
+        for t in np.unique(toks[self._made[toks] < 0]).tolist():
+            self._made[t] = self.split(t) is not None
+        return self._made[toks] > 0
+
+    def _follows(self, pairs: np.ndarray) -> np.ndarray:
+        """``may_follow`` of many pairs (first token * number of tokens + second)."""
+        slot = (pairs * 0x1E3779B97F4A7C15 >> 24) % len(self._slots)
+        held = self._slots[slot]
+        out = (held & 1).astype(bool)
+        miss = np.flatnonzero(held >> 1 != pairs)
+        if len(miss):
+            size = len(self.tokens)
+            uniq, at, inv = np.unique(pairs[miss], return_index=True, return_inverse=True)
+            good = np.fromiter((self.may_follow(k // size, k % size) for k in uniq.tolist()), bool, len(uniq))
+            out[miss] = good[inv]
+            self._slots[slot[miss[at]]] = 2 * uniq + good
+        return out
+
+    def encode_segments(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of distinct segments in a row, and each segment's number
+        of ids, by suffix array, lattice and relaxation."""
+        codes = np.frombuffer(("\x00".join(segs) + "\x00").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         lens = np.fromiter(map(len, segs), np.int64, len(segs))
         starts = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
-        n = len(codes)
-        ranks = self.table[np.minimum(codes, self.top)].astype(">u2")
         ends = starts + lens
+        n = len(codes)
+        ranks = self.table[np.minimum(codes, self.top)]
         ranks[ends] = 0
-        padded = np.concatenate((ranks, np.zeros(self.depth, dtype=">u2"))).astype(">u2")  # big-endian: bytes sort as numbers
-        # suffix keys: the next ``depth`` ranks, nothing after the segment's end
-        mat = np.lib.stride_tricks.sliding_window_view(padded, self.depth)[:n].copy()
-        left = np.repeat(ends, lens + 1) - np.arange(n)  # characters up to the segment's end
-        mat[np.arange(self.depth)[None, :] >= left[:, None]] = 0
-        keys = np.ascontiguousarray(mat).view(f"S{2 * self.depth}").ravel()
-        sa = np.argsort(keys, kind="stable")
-        ordered = keys[sa]
-        lo = np.searchsorted(ordered, self.low, "left")
-        hi = np.searchsorted(ordered, self.high, "right")
-        count = hi - lo
-        hit = np.flatnonzero(count > 0)
-        count = count[hit]
-        offs = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        e_start, e_tok = sa[offs], np.repeat(self.search[hit], count)
+        e_start, e_tok = self._edges(ranks)
+        made = self._are_made(e_tok)
         # characters that no edge covers alone: their own piece, or bytes (marked by -1)
-        lone = np.flatnonzero((ranks == 0xFFFE))
-        e_start = np.concatenate((e_start, lone))
-        e_tok = np.concatenate((e_tok, np.full(len(lone), -1)))
-        e_len = np.where(e_tok >= 0, self.len[e_tok], 1)
-        e_end = e_start + e_len
-        seg0 = np.repeat(starts, lens + 1)
-        local = e_end - seg0[e_start]
+        lone = np.flatnonzero(ranks == self.other).astype(np.int32)
+        e_start = np.concatenate((e_start[made], lone))
+        e_tok = np.concatenate((e_tok[made], np.full(len(lone), -1, np.int32)))
+        e_end = e_start + np.where(e_tok >= 0, self.len[e_tok], 1).astype(np.int32)
+        longest = int(lens.max(initial=0))
+        place = (np.arange(n) - np.repeat(starts, lens + 1)).astype(np.uint16 if longest < 1 << 16 else np.int64)
+        local = place[e_end]
         order = np.argsort(local, kind="stable")
-        e_start, e_tok, e_end, local = e_start[order], e_tok[order], e_end[order], local[order]
-        bounds = np.searchsorted(local, np.arange(1, int(lens.max(initial=0)) + 2))
-        last = np.full(n + 1, -2, dtype=np.int64)  # -2: nothing, -1: a character of its own
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(local, minlength=longest + 1))))
+        e_start, e_tok, e_end = e_start[order], e_tok[order], e_end[order]
+        last = np.full(n + 1, -2, dtype=np.int32)  # -2: nothing, -1: a character of its own
         last[starts] = -3  # a segment's start
         size = len(self.tokens)
-        for j in range(len(bounds) - 1):
+        for j in range(1, longest + 1):
             x, y = bounds[j], bounds[j + 1]
             if x == y:
                 continue
             before, tok = last[e_start[x:y]], e_tok[x:y]
-            free = (before == -3) | (before == -1) | (tok == -1)
             ok = before != -2
-            pairs = np.flatnonzero(ok & ~free)
+            pairs = np.flatnonzero((before >= 0) & (tok >= 0))
             if len(pairs):
-                uniq, inv = np.unique(before[pairs] * size + tok[pairs], return_inverse=True)
-                good = np.fromiter((self._pair[k] if k in self._pair else self.may_follow(k // size, k % size)
-                                    for k in uniq.tolist()), bool, len(uniq))
-                ok[pairs] = good[inv]
-            good = np.flatnonzero(ok)
-            made = np.fromiter((t < 0 or self.split(t) is not None for t in tok[good].tolist()), bool, len(good))
-            good = good[made]
-            last[e_end[x:y][good]] = tok[good]
-        out = []
-        for s, a, e in zip(segs, starts.tolist(), ends.tolist()):
-            ids: list[int] = []
-            pos = e
-            while pos > a:
-                t = int(last[pos])
-                if 0 <= t < self.n:
-                    ids.append(t)
-                    pos -= int(self.len[t])
-                else:
-                    pos -= 1
-                    ids.extend(reversed(self._lone(text[pos])))
-            out.append(tuple(reversed(ids)))
-        return out
+                ok[pairs] = self._follows(before[pairs].astype(np.int64) * size + tok[pairs])
+            last[e_end[x:y][ok]] = tok[ok]
+        # back from every segment's end
+        used, at, first = np.zeros(n + 1, bool), ends, starts
+        while len(at):
+            used[at] = True
+            t = last[at]
+            at = at - np.where(t >= 0, self.len[t], 1)
+            more = at > first
+            at, first = at[more], first[more]
+        at = np.flatnonzero(used)
+        ids = last[at]
+        odd = np.flatnonzero((ids < 0) | (ids >= self.n))  # characters without a piece of their own among the ids
+        number = np.ones(len(at), np.int64)
+        if len(odd):
+            chars, inv = np.unique(codes[at[odd] - 1], return_inverse=True)
+            lists = [self._lone(chr(c)) for c in chars.tolist()]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            number[odd] = sizes[inv]
+            flat = np.array([i for x in lists for i in x], dtype=np.int32)
+            ids = np.repeat(ids, number)
+            ids[_spans((np.cumsum(number) - number)[odd], number[odd])] = flat[_spans((np.cumsum(sizes) - sizes)[inv], sizes[inv])]
+        total = np.concatenate(([0], np.cumsum(number)))
+        bound = np.concatenate(([0], np.searchsorted(at, ends, "right")))
+        return ids, np.diff(total[bound])
 
     def _lone(self, c: str) -> list[int]:
         t = self.alone.get(c)
@@ -267,32 +350,41 @@ class Model:
     def encode(self, texts: list[str], run_chars: int = CHUNK_CHARS) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's number of ids; new
         segments are indexed in runs of about ``run_chars`` characters."""
-        cache = self._segments
-        per_text, flat = [], []
-        for t in texts:
-            segs = self.segment.findall((BLANK + t).replace(" ", BLANK)) if t else []
-            per_text.append(len(segs))
-            flat.extend(segs)
-        number: dict[str, int] = {}
-        codes = np.fromiter((number.setdefault(s, len(number)) for s in flat), np.int64, len(flat))
-        new = [s for s in number if s not in cache]
-        fresh: dict[str, tuple[int, ...]] = {s: self._direct(s) for s in new if s.startswith(BLANK * 2)}
-        plain = [s for s in new if not s.startswith(BLANK * 2)]
-        for run in _runs(plain, run_chars):
-            fresh.update(zip(run, self.encode_segments(run)))
-            if len(self._pair) > PAIRS:
-                self._pair.clear()
-        found = [fresh[s] if s in fresh else cache[s] for s in number]
-        if len(cache) < CACHE_SEGMENTS:
-            cache.update(fresh)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for f in found for i in f), np.int32, int(size.sum()))
-        first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.zeros(0, np.int64)
+        number, kept = self._number, len(self._size)
+        try:
+            per_text, flat = [], []
+            for t in texts:
+                segs = self.segment.findall((BLANK + t).replace(" ", BLANK)) if t else []
+                per_text.append(len(segs))
+                flat.extend(segs)
+            codes = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+            del flat
+            new = list(islice(reversed(number), len(number) - kept))[::-1]
+            several = np.fromiter((s.startswith(BLANK * 2) for s in new), bool, len(new))
+            direct = [self._direct(new[i]) for i in np.flatnonzero(several).tolist()]
+            ids, sizes = [self._ids], []
+            for run in _runs([s for s in new if not s.startswith(BLANK * 2)] if direct else new, run_chars):
+                for got, to in zip(self.encode_segments(run), (ids, sizes)):
+                    to.append(got)
+                if len(self._pair) > PAIRS:
+                    self._pair.clear()
+            ids.append(np.array([i for x in direct for i in x], dtype=np.int32))
+            sizes.append(np.fromiter(map(len, direct), np.int64, len(direct)))
+            ids, made = np.concatenate(ids), np.concatenate(sizes)
+            size = np.empty(len(new), np.int64)
+            first = np.empty(len(new), np.int64)
+            place = np.argsort(several, kind="stable")
+            size[place], first[place] = made, np.cumsum(made) - made + len(self._ids)
+            size, first = np.concatenate((self._size, size)), np.concatenate((self._first, first))
+            if kept < CACHE_SEGMENTS:
+                self._first, self._size, self._ids = first, size, ids
+        finally:
+            while len(number) > len(self._size):  # not kept
+                number.popitem()
         n = size[codes]
         total = np.concatenate(([0], np.cumsum(n)))
-        out = ids[np.repeat(first[codes] - total[:-1], n) + np.arange(total[-1])] if len(codes) else ids
         at = np.concatenate(([0], np.cumsum(per_text))).astype(np.int64)
-        return out, total[at[1:]] - total[at[:-1]]
+        return ids[_spans(first[codes], n)], total[at[1:]] - total[at[:-1]]
 
     def decode(self, ids) -> str:
         raw = self.raw

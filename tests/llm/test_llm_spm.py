@@ -64,3 +64,34 @@ def test_runs_and_a_full_cache_change_nothing(spark, monkeypatch):
         got, n = small.encode(part, 50)
         assert len(n) == len(part)
     assert got.tolist() == want.tolist() and n.tolist() == sizes.tolist()
+
+
+def test_known_pairs_and_tokens_are_not_asked_again(library, monkeypatch):
+    """Segments that are not kept are encoded by array look-ups alone once their tokens were seen."""
+    from collections import Counter
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choice(("an", "the", "tion", "é", "漢", "😀", "x")) for _ in range(rnd.randint(1, 9))) for _ in range(40)) for _ in range(20)]
+    monkeypatch.setattr(spm, "CACHE_SEGMENTS", 0)
+    m = spm.Model(*spm.read_model())
+    m.encode(texts)
+    asked = Counter()
+    for name in ("split", "may_follow", "_lone"):
+        def count(*a, _name=name, _f=getattr(m, name)):
+            asked[_name] += 1
+            return _f(*a)
+        monkeypatch.setattr(m, name, count)
+    ids, n = m.encode(texts)
+    assert ids.tolist() == [i for x in library.encode(texts) for i in x] and n.sum() == len(ids)
+    assert asked["split"] == 0 and asked["may_follow"] <= 2 and asked["_lone"] <= 2
+    assert len(m._number) == len(m._size) == 0 and len(m._ids) == 0
+
+
+def test_kept_segments_stay_in_step_after_an_error(library, monkeypatch):
+    m = spm.Model(*spm.read_model())
+    m.encode(["ein zwei"])
+    with monkeypatch.context() as at:
+        at.setattr(m, "encode_segments", lambda segs: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            m.encode(["drei vier"])
+    ids, _ = m.encode(["vier    fünf zwei drei"])
+    assert ids.tolist() == library.encode("vier    fünf zwei drei")
