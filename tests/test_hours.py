@@ -59,3 +59,27 @@ def test_log_names_every_candidate_and_the_choice(spark):
 def test_no_shuffle(spark):
     d = spark.createDataFrame([(1, [("Пн 9:00-18:00", "s", "u", 1)])], "id int, contexts array<struct<text:string,selector:string,url:string,weight:int>>")
     assert "Exchange" not in working_hours(d)._jdf.queryExecution().executedPlan().toString()
+
+
+CONTEXTS = "id int, contexts array<struct<text:string,selector:string,url:string,weight:int>>"
+
+
+def test_nothing_is_interpreted_row_by_row(spark):
+    # the parse was some hundred nested lambdas, which have no generated code
+    d = spark.createDataFrame([(1, [("Пн 9:00-18:00", "s", "u", 1)])], CONTEXTS)
+    assert "lambda" not in working_hours(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert working_hours(d, facts=["log", "lang"]).columns == ["id", "lang", "log"]
+
+
+def test_odd_texts(spark):
+    rows = [(1, None), (2, []), (3, [None]), (4, [("График:\r1-го\n9-18 x10-19 й11-20 ½12-21", "s", None, None)]),
+            (5, [("Пн. 10a.m.–7 p.m.; вс СУТКИ выходной", "s", "u", 1), ("Смена 8 часов, перерыв 1 час", "t", "u", 1)]),
+            (6, [("п'ятниця с 9.30 до 25; Mon\u00a0—\u00a0Wed 22–6", "s", "u", 2), (None, "t", "u", 9)]), (7, [("смена 11,255 часов", "s", "u", 1)])]
+    got = {r.id: r for r in working_hours(spark.createDataFrame(rows, CONTEXTS)).collect()}
+    assert (got[1].raw_matches, got[1].log, got[1].confidence, got[2].log, got[2].raw_matches) == (None, None, 0.0, [], [])
+    assert [(e.selector, e.reason) for e in got[3].log] == [(None, "no triggers")]
+    assert [(e.raw, e.reason) for e in got[4].log] == [("График: 1-го 9-18 x10-19 й11-20 ½12-21", "section-range"), ("9-18 x10-19 й11-20 ½12-21", "schedule")]
+    assert [(d.day, d.start, d.end) for d in got[5].normalized.by_days] == [("Mon", "10:00", "19:00")]
+    assert (got[5].notes, got[5].normalized.shift_based) == ("Sun: closed", None)
+    assert [(d.day, d.start, d.end) for d in got[6].normalized.by_days] == [(d, "22:00", "06:00") for d in ("Mon", "Tue", "Wed")]
+    assert got[7].normalized.shift_based.shift_length_hours == 11.255
