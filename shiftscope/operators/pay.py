@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import lexicon as lx
 from ..functions.lookups import schedule_hours, schedule_shifts
@@ -117,15 +118,21 @@ def text_rate(df: DataFrame, pay_text: str, hours_text: str, schedule_text: str,
     """``rate_cascade`` fed from a posting's own texts: explicit amounts (T3),
     shift length (T4) and schedules (T5; ``schedule`` where the text names
     none).  Row-local: no shuffle, whatever the size."""
+    from ..functions import scan
     from . import extract as X
-    d = X.with_schedule_list(X.with_shift_length(df, hours_text, "_shift"), schedule_text, "_found")
+    at_hours, at_schedule = df.columns.index(hours_text), df.columns.index(schedule_text)
+
+    def parse(rows):
+        shifts = [scan.shift_length(scan.shift_norm(t)) for t in scan.strings(rows.column(at_hours))]
+        return [*map(list, zip(*shifts)), [scan.schedule_list(scan.schedule_text(t)) for t in scan.strings(rows.column(at_schedule))]]
+
+    found = StructType.fromDDL("_len double, _confidence string, _ambiguous boolean, _found string")
+    d = scan.parse_rows(df, [], found, parse)
     d = d.withColumn("_pay", X.explicit_pay(F.col(pay_text))).withColumns({
-        "_hourly": F.col("_pay.hourly"), "_shift_pay": F.col("_pay.shift_pay"), "_len": F.col("_shift.hours"),
-        "_ambiguous": F.col("_shift.ambiguous"), "_confidence": F.col("_shift.confidence"),
-        "_sched": F.coalesce("_found", schedule)})
+        "_hourly": F.col("_pay.hourly"), "_shift_pay": F.col("_pay.shift_pay"), "_sched": F.coalesce("_found", schedule)})
     out = rate_cascade(d, "_hourly", "_shift_pay", "_len", "_ambiguous", "_confidence", salary_from_k, salary_to_k, "_sched")
     return out.withColumn("schedule_out", F.col("_sched")).drop(
-        "_shift", "_found", "_pay", "_hourly", "_shift_pay", "_len", "_ambiguous", "_confidence", "_sched")
+        "_found", "_pay", "_hourly", "_shift_pay", "_len", "_ambiguous", "_confidence", "_sched")
 
 
 # -- M5 -------------------------------------------------------------------

@@ -98,3 +98,15 @@ def test_board_pipeline_example(spark):
     assert "часы/смену=12" in r["calc_notes"] and "График=2/2" in r["calc_notes"]
     share = marts.hourly_share(normalize_board(b), hourly="hourly_rate").collect()[0]
     assert share["total"] == 1 and share["hourly_share_pct"] == 100.0
+
+
+def test_text_rate_reads_texts_outside_lambdas(spark):
+    rows = [(1, "300 руб/час", "смена с 9:00 до 21:30", "график 2/2, вахта 15/15 или два через два", None), (2, "2500 за смену", "8 часов, потом 10 часов", "", "5/2"),
+            (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, pay string, hours string, sched string, schedule string").selectExpr("*", "60D AS salary_from_k", "90D AS salary_to_k")
+    d = pay.text_rate(df, "pay", "hours", "sched")
+    # shift length and schedules were interpreted lambda by lambda
+    assert "lambda" not in d.select("shift_len_out", "schedule_out")._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.hourly_rate, r.hourly_method, r.shift_len_out, r.schedule_out) for r in d.collect()}
+    assert got[1] == (300.0, "exact:explicit_hourly", 12.5, "2/2, 15/15") and got[3][2:] == (None, None)
+    assert got[2] == (272.7, "derived:salary_based", 10.0, "5/2")
