@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 
 from conftest import SF001
+from pyspark.sql import functions as F
 
+from shiftscope.operators import extract as X
+from shiftscope.operators import relational as R
 from shiftscope.plans.catalog import load_all
 
 
@@ -27,3 +30,18 @@ def test_listing_pages_are_not_dealt_again(spark):
     above_join = plan[:plan.index("SortMergeJoin [l_orderkey")]
     # the only exchange above is that of the distinct links
     assert len(re.findall(r"Exchange hashpartitioning", above_join)) == 1 and "hashpartitioning(page_id" in above_join
+
+
+def test_rate_mentions_of_named_columns(spark):
+    df = spark.createDataFrame([("u", "Оплата 1800/смена или 200/час"), ("v", "за смену"), ("w", "  \t"), (" ", "5 в час"), (None, "5 в час"), ("x", None)],
+                               "url string, text string")
+    assert {tuple(r) for r in X.rate_mentions(df, columns=()).collect()} == {("u", "hourly"), ("u", "shift")}
+    assert {(r.url, r.type, r["min"]) for r in X.rate_mentions(df, columns=["min"]).collect()} == {("u", "hourly", 200.0), ("u", "shift", 1800.0)}
+    assert {tuple(r[:2]) for r in X.rate_mentions(df).collect()} == {("u", "hourly"), ("u", "shift")}
+
+
+def test_rate_markers_are_staged_before_they_are_exploded(spark):
+    # a generator's input is interpreted
+    df = spark.createDataFrame([("u", "200 в час")], "url string, text string")
+    lines = X.rate_segments(df)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [x for x in lines if "Generate explode" in x and "contains" in x.lower()] == []
