@@ -32,6 +32,16 @@ def test_listing_pages_are_not_dealt_again(spark):
     assert len(re.findall(r"Exchange hashpartitioning", above_join)) == 1 and "hashpartitioning(page_id" in above_join
 
 
+def _carried(df) -> str:
+    return "\n".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
+
+
+def test_export_chain_carries_no_clauses(spark):
+    # the rate clauses went through the shuffle, though only their URLs and types are read
+    plan = _carried(load_all()["export_rows"].build(spark, SF001))
+    assert "r_value" not in plan and "segment" not in plan
+
+
 def test_rate_mentions_of_named_columns(spark):
     df = spark.createDataFrame([("u", "Оплата 1800/смена или 200/час"), ("v", "за смену"), ("w", "  \t"), (" ", "5 в час"), (None, "5 в час"), ("x", None)],
                                "url string, text string")
