@@ -36,6 +36,20 @@ def _carried(df) -> str:
     return "\n".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
 
 
+def test_title_statistics_carry_no_texts(spark):
+    # the merge per posting carried every column of the row, though titles and amounts are read
+    plan = _carried(load_all()["board_job_stats"].build(spark, SF001))
+    assert "max_by" in plan and "named_struct(title" in plan.replace("struct(title", "named_struct(title")
+    carried = plan[plan.index("max_by("):].split(", struct(f")[0]
+    assert "calc_notes" not in carried and "conditions" not in carried and "seq" not in carried
+
+
+def test_best_record_weighs_columns_that_it_does_not_keep(spark):
+    df = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, None), ("b", 1, "p", "q"), ("b", 2, "r", "s")], "k string, seq int, x string, y string")
+    got = {tuple(r) for r in R.best_record(df, F.col("k"), ["x", "y"], columns=["k", "x"]).collect()}
+    assert got == {("a", "x"), ("b", "r")}
+
+
 def test_export_chain_carries_no_clauses(spark):
     # the rate clauses went through the shuffle, though only their URLs and types are read
     plan = _carried(load_all()["export_rows"].build(spark, SF001))
